@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tripforge.llm import exact_dedup
+from tripforge.llm import decontaminate, exact_dedup
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
+    "op4_decontaminate": decontaminate.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
