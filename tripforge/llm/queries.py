@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tripforge.llm import decontaminate, exact_dedup
+from tripforge.llm import decontaminate, exact_dedup, mixing, warc
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_warc": warc.op5_warc,
+    "op6_mixing": mixing.op6_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
