@@ -49,7 +49,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         counts = np.add.reduceat(now["_n"].to_numpy(), first)
         now = now.take(pa.array(first))
-        now = now.set_column(now.schema.get_field_index("_n"), "_n", pa.array(counts, pa.int64()))
+        now = now.set_column(now.schema.get_field_index("_n"), now.schema.field("_n"), pa.array(counts, pa.int64()))
         held = now.slice(now.num_rows - 1)
         if now.num_rows > 1:
             yield from now.slice(0, now.num_rows - 1).combine_chunks().to_batches()
