@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tripforge.llm import decontaminate, exact_dedup, mixing, warc
+from tripforge.llm import decontaminate, exact_dedup, mixing, repeats, warc
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
+    "op7_repeats": repeats.op7_repeats,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
