@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tripforge.llm import decontaminate, exact_dedup, mixing, repeats, warc
+from tripforge.llm import decontaminate, exact_dedup, mixing, near_join, repeats, warc
 
 QUERIES = {
+    "op1_near_join": near_join.op1_near_join,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
