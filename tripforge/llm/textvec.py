@@ -49,13 +49,15 @@ def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about `most` bytes of text each, at least a row."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with at most `rows` rows and about `most` bytes of text
+    each, but at least a row."""
     for batch in batches:
         offs, data = flat(batch.column(text))
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
+            j = min(j, i + rows)
             yield batch.slice(i, j - i), offs[i : j + 1] - offs[i], data[offs[i] : offs[j]]
             i = j
 
