@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripforge.llm import decontaminate, exact_dedup, langid, mixing, near_join, repeats, warc
+from tripforge.llm import decontaminate, exact_dedup, langid, mixing, near_join, repeats, toxicity, warc
 
 QUERIES = {
     "op1_near_join": near_join.op1_near_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_mixing": mixing.op6_mixing,
     "op7_repeats": repeats.op7_repeats,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_langid": langid.op10_langid,
 }
