@@ -334,8 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return empty
     few = {k: max(1.0, n * share[k]) for k, n in count.items()}
     terms = texts.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rate = (F.col("toxic") + 0.1) / few[1]
-    precision = rate * count[1] / (rate * count[1] + (F.col("clean") + 0.1) / few[0] * count[0])
+    rate = F.col("toxic") / few[1]
+    precision = rate * count[1] / (rate * count[1] + (F.col("clean") + 1.0) / few[0] * count[0])
     terms = terms.withColumn("precision", precision).where((F.col("toxic") >= MIN_TEXTS) & (precision >= MIN_PRECISION))
     found = terms.orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
     lexicon = Lexicon(shortest({r.term: (r.toxic, r.precision) for r in found}))
