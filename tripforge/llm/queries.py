@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tripforge.llm import decontaminate, exact_dedup, html_extract, langid, mixing, near_join, repeats, toxicity, warc
+from tripforge.llm import ctw, decontaminate, exact_dedup, html_extract, langid, mixing, near_join, repeats, toxicity, warc
 
 QUERIES = {
     "op1_near_join": near_join.op1_near_join,
+    "op2_ctw": ctw.op2_ctw,
     "op3_html_extract": html_extract.op3_html_extract,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
