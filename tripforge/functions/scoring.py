@@ -18,7 +18,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    """Null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def robust_minmax(x: Column, p5: Column, p95: Column) -> Column:

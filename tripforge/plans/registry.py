@@ -11,6 +11,10 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+#: The derived view has next to no riders of the level 'full' in its training days.
+LEVEL = "light"
+
+
 def query(sql: str | None = None, view: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
@@ -206,15 +210,15 @@ def cosine_topk(spark, sf_dir):
 @query()
 def rider_neighbours(spark, sf_dir):
     t = train(spark, sf_dir)
-    return rounded(riders.cosine_neighbours(riders.dense(riders.rider_vectors(riders.rider_profiles(t), riders.rider_areas(t)))))
+    return rounded(riders.cosine_neighbours(riders.dense(riders.rider_vectors(riders.rider_profiles(t), riders.rider_areas(t), LEVEL))))
 
 
 @query()
 def b_scores(spark, sf_dir):
     t = train(spark, sf_dir)
     profiles, visits = riders.rider_profiles(t), riders.rider_areas(t)
-    near = riders.cosine_neighbours(riders.dense(riders.rider_vectors(profiles, visits)))
-    return rounded(evaluate.b_scores(profiles.where("level = 'full'"), near, visits, riders.b_scale(visits, profiles)))
+    near = riders.cosine_neighbours(riders.dense(riders.rider_vectors(profiles, visits, LEVEL)))
+    return rounded(evaluate.b_scores(profiles.where(F.col("level") == LEVEL), near, visits, riders.b_scale(visits, profiles)))
 
 
 #: Questions of a split with all areas in reach, and their four scores.
