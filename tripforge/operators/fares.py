@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tripforge.functions.scoring import distance_bin
 
@@ -27,11 +27,11 @@ def fare_cube(trips: DataFrame, least: int = 30) -> DataFrame:
 def fare_ladder(requests: DataFrame, cube: DataFrame) -> DataFrame:
     """requests: request_id, distance_km, period, region -> the first rung that has a
     fare, null fares where none has."""
-    rung = lambda i, p, r: F.struct(F.lit(i).alias("rung"), p.alias("period"), r.alias("region"))
+    rung = lambda i, p, r: F.struct(F.lit(i).alias("rung"), F.lit(LADDER[i]).alias("source"), p.alias("period"), r.alias("region"))
     period, region = F.col("period"), F.col("region")
     rungs = F.array(rung(0, period, region), rung(1, period, F.lit(ALL_REGIONS)), rung(2, F.lit(ALL_PERIODS), region), rung(3, F.lit(ALL_PERIODS), F.lit(ALL_REGIONS)))
     keys = requests.select("request_id", distance_bin(F.col("distance_km")).alias("distance_bin"), F.explode(rungs).alias("k")).select("request_id", "distance_bin", "k.*")
     found = keys.join(cube, ["distance_bin", "period", "region"], "left")
-    hit = F.when(F.col("sample_count").isNotNull(), F.struct("rung", "fare_p25", "fare_p75", "sample_count"))
+    hit = F.when(F.col("sample_count").isNotNull(), F.struct("rung", "source", "fare_p25", "fare_p75", "sample_count"))
     best = found.groupBy("request_id", "distance_bin").agg(F.min(hit).alias("best"))
-    return best.select("request_id", "distance_bin", F.element_at(F.array(*map(F.lit, LADDER)), F.col("best.rung") + 1).alias("source"), "best.fare_p25", "best.fare_p75", "best.sample_count")
+    return best.select("request_id", "distance_bin", "best.source", "best.fare_p25", "best.fare_p75", "best.sample_count")

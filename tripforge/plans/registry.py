@@ -199,7 +199,7 @@ def b_scale(spark, sf_dir):
 
 @query("""WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) > 0),
 p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id),
-r AS (SELECT vec_id, neighbour, round(s, 6) AS similarity, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, neighbour) AS rank FROM p WHERE s > 0)
+r AS (SELECT vec_id, neighbour, round(round(s, 12), 6) AS similarity, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, neighbour) AS rank FROM p WHERE s > 0)
 SELECT * FROM r WHERE rank <= 50""", view=False)
 def cosine_topk(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
