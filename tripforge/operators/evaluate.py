@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripforge.functions.geo import road_distance_km
@@ -11,6 +14,12 @@ MODELS = ("global_popularity", "origin_period", "area_a", "area_a_plus_b", "area
 QUESTION = ["trip_id"]
 
 
+@F.pandas_udf("boolean")
+def in_tuning_sample(trip_id: pd.Series) -> pd.Series:
+    """One in eight, by a 4-byte blake2b of the id as text, which Spark has no function for."""
+    return trip_id.map(lambda x: int.from_bytes(hashlib.blake2b(str(int(x)).encode(), digest_size=4).digest(), "big") % 8 == 0)
+
+
 def candidates(questions: DataFrame, areas: DataFrame, near: float = 20.0, far: float = 30.0, least: int = 10) -> DataFrame:
     """Questions with each area in reach: road distance within `near`, or within `far`
     where fewer than `least` are near. Areas are few; their number is bounded by the grid
