@@ -6,6 +6,7 @@ import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType
 
 from tripforge.functions.geo import road_distance_km
 from tripforge.functions.scoring import clip, combine, distance_fit_batch, mobility_score, ratio
@@ -14,7 +15,7 @@ MODELS = ("global_popularity", "origin_period", "area_a", "area_a_plus_b", "area
 QUESTION = ["trip_id"]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def in_tuning_sample(trip_id: pd.Series) -> pd.Series:
     """One in eight, by a 4-byte blake2b of the id as text, which Spark has no function for."""
     return trip_id.map(lambda x: int.from_bytes(hashlib.blake2b(str(int(x)).encode(), digest_size=4).digest(), "big") % 8 == 0)
