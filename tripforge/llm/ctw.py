@@ -11,7 +11,8 @@ contexts of 2, then 1 and 0 bytes (a group has at most 256**(DEPTH - 1) strings)
 come down again, and each context of DEPTH bytes that occurs ends as one row with the
 log probability of each byte. Contexts that never occur share the row of their longest
 suffix that does. Rows are broadcast in shards of SHARD_BYTES, one scoring pass each, so
-what is broadcast has a bound however many contexts the corpus has.
+what is broadcast has a bound however many contexts the corpus has. On the way they are
+packed as differences to their suffixes' rows, in steps of 1/STEPS.
 
 A text is coded as its UTF-8 bytes and an end mark, 0xFF, after a start of DEPTH marks;
 0xFF is in no UTF-8 text. So scores are probabilities over all texts.
@@ -26,6 +27,7 @@ apart by position. Without training texts each bit has probability 1/2.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,56 +238,99 @@ class Top:
     def rows(self, c1, p2: np.ndarray) -> np.ndarray:
         """log10 P of bytes, given what contexts of two bytes say."""
         p = self.w1[c1] * self.p1[c1] + (1 - self.w1[c1]) * p2
-        return byte_rows(self.w0 * self.p0 + (1 - self.w0) * p).astype(np.float32)
+        return byte_rows(self.w0 * self.p0 + (1 - self.w0) * p)
 
     def defaults(self) -> tuple[np.ndarray, np.ndarray]:
         """Rows for contexts whose two last bytes, or last byte, never occur."""
         half = np.full((256, 256), 0.5)
-        none = byte_rows(self.w0 * self.p0 + (1 - self.w0) * 0.5).astype(np.float32)
+        none = byte_rows(self.w0 * self.p0 + (1 - self.w0) * 0.5)
         return self.rows(np.arange(256), half), none
 
 
+#: Steps per unit of log10 in packed rows.
+STEPS = 1 << 20
+PACKED = "last2 long, depth array<int>, context array<long>, rows binary"
+
+
+def parents(depth: np.ndarray, context: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at depth d, and the rows of their suffixes at d - 1. All are sorted."""
+    own, up = np.flatnonzero(depth == d), np.flatnonzero(depth == d - 1)
+    return own, up[np.searchsorted(context[up], context[own] & ((1 << 8 * (d - 1)) - 1))]
+
+
+def pack(depth: np.ndarray, context: np.ndarray, rows: np.ndarray) -> bytes:
+    """Rows as differences to those of their suffixes. Bytes that a context has never seen
+    differ from the suffix by the same amount for whole ranges, so they compress well."""
+    change = rows.copy()
+    for d in range(3, DEPTH + 1):
+        own, up = parents(depth, context, d)
+        change[own] -= rows[up]
+    steps = np.round(change * STEPS).astype(np.int32)
+    return zlib.compress(steps.tobytes(), 6)
+
+
+def unpack(depth: np.ndarray, context: np.ndarray, packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(zlib.decompress(packed), np.int32).reshape(-1, 256).copy()
+    for d in range(3, DEPTH + 1):
+        own, up = parents(depth, context, d)
+        steps[own] += steps[up]
+    return (steps / np.float64(STEPS)).astype(np.float32)
+
+
 def downward(top):
     def run(t: pa.Table) -> pa.Table:
-        depth, contexts, rows = [], [], []
-        for d, c, r in Subtree(t).rows(top.value):
-            depth += [d] * len(c)
-            contexts += c.tolist()
-            rows += [x.tobytes() for x in r]
-        return pa.table({"depth": pa.array(depth, pa.int32()), "context": pa.array(contexts, pa.int64()), "row": pa.array(rows, pa.binary())})
+        found = list(Subtree(t).rows(top.value))
+        depth = np.concatenate([np.full(len(c), d) for d, c, _ in found])
+        context, rows = np.concatenate([c for _, c, _ in found]), np.concatenate([r for *_, r in found])
+        order = np.lexsort((context, depth))
+        depth, context, rows = depth[order], context[order], rows[order]
+        out = [[int(context[0] & 0xFFFF)], [depth.tolist()], [context.tolist()], [pack(depth, context, rows)]]
+        return pa.table([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()))], ["last2", "depth", "context", "rows"])
 
     return run
 
 
 class Shard:
-    """The rows of all contexts with some last two bytes, and a trie that finds the
-    deepest context with a row. Row 0 is nothing: other shards have what is missing."""
+    """The rows of all contexts with some last two bytes, packed until they are used, and
+    then a trie that finds the deepest context with a row. Row 0 is nothing: other shards
+    have what is missing."""
+
+    def __init__(self, groups: list[tuple[np.ndarray, np.ndarray, bytes]], seen2: np.ndarray, top: Top | None):
+        self.groups, self.seen2, self.top, self.table = groups, seen2, top, None
 
-    def __init__(self, depth: np.ndarray, context: np.ndarray, rows: np.ndarray, seen2: np.ndarray, top: Top | None):
+    def ready(self) -> None:
+        if self.table is not None:
+            return
+        depth, context = (np.concatenate([g[k] for g in self.groups] or [np.zeros(0, np.int64)]) for k in (0, 1))
         order = np.lexsort((context, depth))
+        rows = np.zeros((len(depth) + 1 + (257 if self.top is not None else 0), 256), np.float32)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        at = 0
+        for d, c, packed in self.groups:
+            rows[place[at : at + len(d)]] = unpack(d, c, packed)
+            at += len(d)
         depth, context = depth[order], context[order]
-        table = [np.zeros((1, 256), np.float32), rows[order]]
         self.other = np.zeros(256, np.int32)
-        if top is not None:
-            one, none = top.defaults()
-            table += [one, none[None]]
-            self.other = np.where(top.seen, len(rows) + 1 + np.arange(256), len(rows) + 257).astype(np.int32)
-        self.table = np.concatenate(table)
-        self.seen2 = seen2
+        if self.top is not None:
+            n = len(depth) + 1
+            rows[n : n + 256], rows[n + 256] = self.top.defaults()
+            self.other = np.where(self.top.seen, n + np.arange(256), n + 256).astype(np.int32)
         #: ids count from 1 within a depth; first: the row before the first of a depth
         self.first = {d: int(np.searchsorted(depth, d)) for d in range(2, DEPTH + 1)}
         self.next: dict[int, np.ndarray] = {2: np.zeros(65536, np.int32)}
-        two = context[depth == 2]
-        self.next[2][two] = np.arange(1, len(two) + 1)
-        have = two
+        have = context[depth == 2]
+        self.next[2][have] = np.arange(1, len(have) + 1)
         for d in range(3, DEPTH + 1):
             now = context[depth == d]
             up = np.searchsorted(have, now & ((1 << 8 * (d - 1)) - 1)) + 1
             self.next[d] = np.zeros((len(have) + 1) * 256, np.int32)
             self.next[d][up * 256 + (now >> 8 * (d - 1))] = np.arange(1, len(now) + 1)
             have = now
+        self.groups, self.table = [], rows
 
     def score(self, offs: np.ndarray, data: np.ndarray) -> np.ndarray:
+        self.ready()
         context, byte, first = marked(offs, data)
         last2 = context & 0xFFFF
         found = self.next[2][last2]
@@ -298,14 +343,16 @@ class Shard:
 
 
 def shards(spark: SparkSession, rows: DataFrame, top: Top, size: int = SHARD_BYTES) -> Iterator[tuple]:
-    """rows: depth, context, row -> a broadcast for each shard, made one after the other."""
-    n = max(1, -(-rows.count() * 1024 // size))
+    """rows: PACKED -> a broadcast for each shard, made one after the other. size: bytes of
+    a shard when it is unpacked."""
+    total = rows.agg(F.sum(F.size("context"))).first()[0] or 0
+    n = max(1, -(-total * 1024 // size))
     seen2 = np.zeros(65536, bool)
-    seen2[rows.where("depth = 2").select("context").toArrow()["context"].to_numpy()] = True
+    seen2[rows.select("last2").toArrow()["last2"].to_numpy()] = True
     for k in range(n):
-        got = rows.where(F.pmod(F.xxhash64(F.col("context").bitwiseAND(0xFFFF)), F.lit(n)) == k).toArrow()
-        table_ = np.frombuffer(b"".join(x.as_py() for x in got["row"]), np.float32).reshape(-1, 256)
-        yield k, spark.sparkContext.broadcast(Shard(got["depth"].to_numpy(), got["context"].to_numpy(), table_, seen2, top if k == 0 else None))
+        got = rows.where(F.pmod(F.xxhash64("last2"), F.lit(n)) == k).toArrow()
+        groups = [(d.values.to_numpy(), c.values.to_numpy(), r.as_py()) for d, c, r in zip(got["depth"], got["context"], got["rows"])]
+        yield k, spark.sparkContext.broadcast(Shard(groups, seen2, top if k == 0 else None))
 
 
 SCORED = "_uid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, head_known long, head_log double, score double, tail array<struct<h:long,k:int>>"
@@ -361,7 +408,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     level2 = grams.groupBy(by_two.alias("_c2")).applyInArrow(upward, "c1 long, counts binary, weighted binary")
     top = Top(level2.groupBy("c1").applyInArrow(upward1, "c1 long, counts binary, weighted binary").collect())
     sent = spark.sparkContext.broadcast(top)
-    rows = keep.write(grams.groupBy(by_two.alias("_c2")).applyInArrow(downward(sent), "depth int, context long, row binary"), "rows")
+    rows = keep.write(grams.groupBy(by_two.alias("_c2")).applyInArrow(downward(sent), PACKED), "rows")
 
     tokens = counts.where("kind = 1").select(F.col("key").alias("h"), F.col("n").alias("c"))
     total = counts.where("kind > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).first()
