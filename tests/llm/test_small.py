@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,38 @@ def test_mix_meets_its_targets(spark):
     assert len(target) == 3 and all(abs(taken[s] - target[s]) <= 2 for s in target)
 
 
+@pytest.mark.parametrize("walk", [1 << 16, 1])
+def test_mix_passes_over_documents_that_do_not_fit(spark, monkeypatch, walk):
+    monkeypatch.setattr(mixing, "WALK", walk)
+    r = random.Random(8)
+    size = {"z": [10] * 2000} | {f"s{k}": [2000] + [r.randint(3, 10) for _ in range(150)] for k in range(6)}
+    rows = [(i, "w " * n, None, s) for i, (s, n) in enumerate((s, n) for s in size for n in size[s])]
+    weights = {s: 600 for s in size} | {"z": sum(map(sum, size.values())) - 3600}
+    taken, free = defaultdict(int), defaultdict(list)
+    for x in mixing.mix(docs(spark, rows), weights=weights).collect():
+        taken[x.pattern[0]] += x.taken
+        free[x.pattern[0]] += [x.size] * (x.repeats == 0)
+    for s in size:
+        assert abs(taken[s] - weights[s]) <= 10 and all(n > weights[s] - taken[s] for n in free[s])
+
+
+def test_walk_is_greedy():
+    r = random.Random(2)
+    rows = [(r.randrange(9), r.randrange(40), r.choice([None, 1, 2]), i, r.randint(1, 60)) for i in range(400)]
+    t = pa.table({"pattern": [["a"]] * 400, "gap": [1500] * 400, "begin": [0] * 400} | {c: pa.array([x[k] for x in rows], pa.int64()) for k, c in enumerate((*mixing.KEY, "size"))})
+    got = mixing.walked(t)
+    gap, want = 1500, set()
+    order = lambda x: (x[0], x[1], x[2] is not None, x[2] or 0, x[3])
+    for x in sorted(rows, key=order):
+        if x[4] <= gap:
+            gap -= x[4]
+            want.add(x[3])
+    place = lambda d: order([d[c] for c in mixing.KEY])
+    parts = got["parts"][0].as_py()
+    assert got["gap"][0].as_py() == gap and len(parts) > 1
+    assert {x[3] for x in rows if any((p["lo"] is None or order(x) > place(p["lo"])) and order(x) <= place(p["hi"]) and x[4] <= p["most"] for p in parts)} == want
+
+
 def test_mixing_odd_tables(spark, strange):
     assert mixing.mix(strange).count() == strange.count()
 

@@ -6,10 +6,11 @@ words once for nothing, a second and a third time at rising (convex) cost; a sou
 takes up to its quota. Only one row per distinct pattern reaches the driver, whatever
 the number of documents. Then documents are selected: all of a pattern's documents as
 often as its flow holds the whole pattern, and for the rest documents in the order of a
-seeded hash of id and text. Where that order stops is found by a histogram over BINS
-hash ranges and one window within a single range, so no task sees a whole source. The
-words that are then missing to the quota are filled with the largest fitting documents,
-and with one that doesn't fit if that comes nearer.
+seeded hash of id and text. A document that doesn't fit into what is missing to the quota
+is passed over, and the order goes on until no document fits that isn't chosen; then one
+that doesn't fit is taken if that comes nearer. Where documents stop to fit is found by a
+histogram over BINS hash ranges; the ranges from there on, WALK rows of a pattern or one
+range at a time, are walked through in a task, so no task sees a whole source.
 
 Targets share the total by weights; none exceeds `most` times its source's size, and what
 is above goes to the others by weight until none is above.
@@ -23,13 +24,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tripforge.llm.common import Scratch, table, tune, with_uid
 
 MOST = 3
 BINS = 4096
-FILLS = 4
+#: Rows of a pattern that one task walks through, a single range of hashes aside.
+WALK = 1 << 16
 SEED = 20240
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Extra cost per word of the first, second and third use of a document.
@@ -136,6 +141,75 @@ def plan(rows: DataFrame, most: int, weights: dict | None) -> tuple[dict, dict,
     return sizes, wanted, {p: (supply[p], take.get(p, 0)) for p in supply}
 
 
+KEY = ("bin", "h", "doc_id", "_uid")
+ID = "struct<bin:long,h:long,doc_id:long,_uid:long>"
+PART = f"struct<begin:long,lo:{ID},hi:{ID},most:long>"
+
+
+def walked(t: pa.Table) -> pa.Table:
+    """Rows of one pattern, with the words that are missing (gap) -> what is missing still,
+    and stretches of the hash order in which all documents up to a size are taken. What is
+    missing never grows, so a document that was passed over doesn't fit later."""
+    order = pc.sort_indices(t, [(c, "ascending") for c in KEY], null_placement="at_start")
+    t = t.take(order)
+    size, gap, at, lo, out = t["size"].to_numpy(), t["gap"][0].as_py(), 0, None, []
+    key = lambda i: {c: t[c][i].as_py() for c in KEY}
+    while gap > 0:
+        fit = at + np.flatnonzero(size[at:] <= gap)
+        total = np.cumsum(size[fit])
+        k = int(np.searchsorted(total, gap, "right"))
+        if k:
+            hi = key(int(fit[k - 1]))
+            out.append({"begin": t["begin"][0].as_py(), "lo": lo, "hi": hi, "most": gap})
+            gap, lo = gap - int(total[k - 1]), hi
+        if k == len(fit):
+            break
+        at = int(fit[k]) + 1
+    place = pa.struct([(c, pa.int64()) for c in KEY])
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("lo", place), ("hi", place), ("most", pa.int64())]))
+    return pa.table({"pattern": t["pattern"].slice(0, 1), "gap": pa.array([gap], pa.int64()), "parts": pa.array([out], kind)})
+
+
+def along(rows: DataFrame, gaps: dict) -> tuple[dict, dict, dict]:
+    """Takes documents in hash order wherever they fit. gaps: words that are missing, by
+    pattern. Gives, by pattern, spans of whole hash ranges and parts of others in which
+    all documents up to a size are taken, and what is missing in the end."""
+    spark = rows.sparkSession
+    spans, parts = {p: [] for p in gaps}, {p: [] for p in gaps}
+    gaps, done = dict(gaps), dict.fromkeys(gaps, -1)
+    before = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    while done:
+        state = spark.createDataFrame([(list(p), gaps[p], at) for p, at in done.items()], "pattern array<string>, gap long, done long")
+        free = rows.join(F.broadcast(state), "pattern").where("bin > done and size <= gap and size > 0")
+        bins = free.groupBy("pattern", "gap", "bin").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("k"))
+        bins = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("rows", F.coalesce(F.sum("k").over(before), F.lit(0)))
+        edge = bins.groupBy("pattern").agg(F.min(F.when(F.expr("before + n > gap"), F.struct("bin", "before", "rows"))).alias("edge"), F.sum("n").alias("n"))
+        last = bins.join(F.broadcast(edge.where("edge is not null").drop("n")), "pattern").where("bin = edge.bin or (bin > edge.bin and rows + k - edge.rows <= " + str(WALK) + ")")
+        last = last.groupBy("pattern").agg(F.max("bin").alias("last"))
+        found = {tuple(r.pattern): r for r in edge.join(last, "pattern", "left").collect()}
+        walk = []
+        for p in list(done):
+            r = found.get(p)
+            spans[p].append((done[p], r.edge.bin if r and r.edge else BINS, gaps[p]))
+            if r and r.edge:
+                gaps[p] -= r.edge.before
+                walk.append((list(p), gaps[p], r.edge.bin, r.last))
+                done[p] = r.last
+            else:
+                gaps[p] -= r.n if r else 0
+                del done[p]
+        if walk:
+            state = spark.createDataFrame(walk, "pattern array<string>, gap long, begin long, last long")
+            near = rows.join(F.broadcast(state), "pattern").where("bin between begin and last and size <= gap and size > 0")
+            near = near.select("pattern", "gap", "begin", "bin", "h", "doc_id", "_uid", "size")
+            for r in near.groupBy("pattern").applyInArrow(walked, f"pattern array<string>, gap long, parts array<{PART}>").collect():
+                p = tuple(r.pattern)
+                gaps[p] = r.gap
+                parts[p] += r.parts
+            done = {p: at for p, at in done.items() if gaps[p] > 0 and at < BINS - 1}
+    return spans, parts, gaps
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, weights: dict | None = None) -> DataFrame:
     """One row per document: _uid, doc_id, pattern, size, source_size and target (of its
     first source), taken, repeats."""
@@ -147,32 +221,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     params = [(list(p), sizes.get(p[0]) if p else None, wanted.get(p[0]) if p else None, n // size if size else 0, n % size if size else 0) for p, (size, n) in take.items()]
     rows = rows.join(spark.createDataFrame(params, schema), "pattern")
 
-    before = Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.where("rest > 0").groupBy("pattern", "rest", "bin").agg(F.sum("size").alias("n"))
-    bins = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    edge = bins.where("before <= rest and before + n > rest").select("pattern", F.col("bin").alias("edge"), "before")
-    edges = {tuple(r.pattern): r for r in edge.collect()}
-    schema = "pattern array<string>, edge long, before long"
-    rows = rows.join(spark.createDataFrame([(list(p), r.edge, r.before) for p, r in edges.items()], schema), "pattern", "left")
-    within = Window.partitionBy("pattern").orderBy("h", "doc_id", "_uid").rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.where("bin = edge").withColumn("sum", F.col("before") + F.sum("size").over(within)).where("sum <= rest")
-    last = {tuple(r.pattern): r for r in last.groupBy("pattern").agg(F.max(F.struct("h", "doc_id", "_uid")).alias("x"), F.max("sum").alias("sum")).collect()}
-    # the last row taken within the edge range, and the words that are missing still
-    cut = [(list(p), *((r.x.h, r.x.doc_id, r.x._uid) if (r := last.get(p)) else (None,) * 3), edges[p].before if p not in last else last[p].sum) for p in edges]
-    rows = rows.join(spark.createDataFrame(cut, "pattern array<string>, cut_h long, cut_id long, cut_uid long, got long"), "pattern", "left")
-    key, end = F.struct("h", "doc_id", "_uid"), F.struct(F.col("cut_h").alias("h"), F.col("cut_id").alias("doc_id"), F.col("cut_uid").alias("_uid"))
-    chosen = F.coalesce((F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & F.col("cut_uid").isNotNull() & (key <= end)), F.lit(False))
-    rows = rows.withColumn("chosen", (F.col("rest") > 0) & chosen)
-    gaps, fills = {p: take[p][1] % take[p][0] - (last[p].sum if p in last else edges[p].before) for p in edges}, []
-    for _ in range(FILLS):
-        gaps = {p: g for p, g in gaps.items() if g > 0}
-        if not gaps:
-            break
-        gap = spark.createDataFrame([(list(p), g) for p, g in gaps.items()], "pattern array<string>, gap long")
-        free = rows.where(~F.col("chosen") & (F.col("size") > 0) & ~F.col("_uid").isin(fills)).join(gap, "pattern").where("size <= gap")
-        best = free.groupBy("pattern").agg(F.max(F.struct("size", "h", "doc_id", "_uid")).alias("x")).collect()
-        fills += [r.x._uid for r in best]
-        gaps |= {tuple(r.pattern): gaps[tuple(r.pattern)] - r.x.size for r in best}
+    spans, parts, gaps = along(rows, {p: n % size for p, (size, n) in take.items() if size and n % size})
+    schema = f"pattern array<string>, spans array<struct<lo:long,hi:long,most:long>>, parts array<{PART}>"
+    rows = rows.join(F.broadcast(spark.createDataFrame([(list(p), spans[p], parts[p]) for p in spans], schema)), "pattern", "left")
+    in_span = F.exists("spans", lambda x: (F.col("bin") > x.lo) & (F.col("bin") < x.hi) & (F.col("size") <= x.most))
+    key = F.struct(*KEY)
+    in_part = F.exists("parts", lambda x: (F.col("bin") >= x.begin) & (x.lo.isNull() | (key > x.lo)) & (key <= x.hi) & (F.col("size") <= x.most))
+    rows = rows.withColumn("chosen", (F.col("rest") > 0) & F.coalesce(in_span | in_part, F.lit(False)))
+    fills: list[int] = []
     if gaps := {p: g for p, g in gaps.items() if g > 0}:  # one more, if that comes nearer
         gap = spark.createDataFrame([(list(p), g) for p, g in gaps.items()], "pattern array<string>, gap long")
         free = rows.where(~F.col("chosen") & ~F.col("_uid").isin(fills)).join(gap, "pattern").where("size > gap and size < 2 * gap")
