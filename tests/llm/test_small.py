@@ -2,6 +2,7 @@
 columns with clashing names."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -216,6 +217,29 @@ def test_salvage_loses_only_what_is_damaged(packed):
     assert edges[0][0] == 0 and edges[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(edges, edges[1:]))
 
 
+def test_damage_costs_one_record_of_a_written_archive(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, f"http://{i}/", " ".join(str(r.random()) for _ in range(400))) for i in range(40)] + [(99, "u", "x" * (17 << 20))]
+    path = warc.write_archives(page_table(spark, rows).coalesce(1), f"file://{tmp_path}/out", archive_bytes=1 << 40)
+    raw = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("part-*")))
+    assert sum(x.reason is None for x in warc.salvage(raw)) == 41 and gzip.decompress(raw).count(b"WARC-Payload-Length: ") == 41
+    assert all(x.reason is None for x in warc.salvage(raw)) and warc.read_archives(spark, path).count() == 41
+    whole = [x for x in warc.salvage(raw) if x.stop - x.start < 1 << 16]
+    hurt = bytearray(raw)
+    hurt[(whole[20].start + whole[20].stop) // 2] ^= 0x55
+    kept = {x.header["warc-page-id"] for x in warc.salvage(bytes(hurt)) if x.reason is None}
+    assert kept == {x.header["warc-page-id"] for x in warc.salvage(raw)} - {whole[20].header["warc-page-id"]}
+
+
+def test_output_before_the_damage_is_kept():
+    records = [warc.member({"WARC-Type": "resource", "WARC-Page-ID": str(i)}, random.Random(i).randbytes(2000), False) for i in range(20)]
+    raw = gzip.compress(b"".join(records))
+    for at, least in ((len(raw) // 2, 9), (len(raw) - 6, 20)):  # in the stream, in the CRC
+        hurt = bytearray(raw)
+        hurt[at] ^= 0x55
+        assert sum(x.reason is None for x in warc.salvage(bytes(hurt))) >= least
+
+
 # mixing
 
 

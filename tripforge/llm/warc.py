@@ -1,8 +1,9 @@
 """WARC archives: a writer, and a reader that salvages what damage has left.
 
 The writer sends records through Spark's own file writer, so archives can lie in any
-store that Spark reaches; each is one gzip stream with a bounded number of records.
-`member` gives single records as gzip members, for archives written elsewhere.
+store that Spark reaches; each has a bounded number of records, one gzip member each, so
+damage stays within a record. `member` gives single records as gzip members, for archives
+written elsewhere.
 
 The reader takes plain records, gzip members with one record and gzip streams with many.
 It checks the version line, the header, the length, the closing line breaks and the
@@ -19,6 +20,7 @@ rows with equal payload and id, the last in file order is the response.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -64,7 +66,7 @@ def planned(pages: DataFrame, id_col: str, url_col: str, text_col: str, min_byte
 
 
 def record_text(rows: DataFrame) -> F.Column:
-    """The record, without its last line feed, which Spark's writer adds."""
+    """The record as text."""
     crlf = F.lit("\r\n")
     name = lambda uid: F.concat(F.lit("<urn:x-record:"), F.col(uid).cast("string"), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, crlf)
@@ -81,15 +83,38 @@ def record_text(rows: DataFrame) -> F.Column:
         line("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.encode(block, "UTF-8")))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), crlf,
     )
-    return F.concat(header, block, F.lit("\r\n\r"))
+    return F.concat(header, block, F.lit("\r\n\r\n"))
+
+
+#: An empty gzip member, which a reader passes over.
+EMPTY = gzip.compress(b"", 6, mtime=0)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without its last byte, the highest of the four of the
+    length: 0 for records below 16 MiB, others get an empty member after theirs."""
+    for batch in batches:
+        out, held = [], 0
+        for x in batch.column(0):
+            squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+            raw = squeeze.compress(x.as_buffer()) + squeeze.flush()
+            out.append((raw if raw[-1] == 0 else raw + EMPTY)[:-1])
+            held += len(out[-1])
+            if held > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                out, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
 def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Writes a record per page; gives the folder of the archives."""
     path = path or fresh_dir(pages.sparkSession, "warc")
+    tune(pages.sparkSession)
     mean = pages.agg(F.avg(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     rows = planned(pages, id_col, url_col, text_col, min_bytes)
-    writer = rows.select(record_text(rows).alias("value")).write.option("lineSep", "\n").option("compression", "gzip")
+    members = rows.select(F.encode(record_text(rows), "UTF-8").alias("record")).mapInArrow(_members, "member binary")
+    # the text writer ends each row with the byte that the member is short of
+    writer = members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none")
     writer.option("maxRecordsPerFile", max(1, int(archive_bytes / (mean + 800)))).text(path)
     return path
 
@@ -145,13 +170,19 @@ def plain_record(data, at: int) -> Found:
 
 def gzip_member(data, at: int) -> tuple[bytes, int, bool]:
     """What the member holds as far as it can be inflated, where it ends, if it is whole."""
-    inflate, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not inflate.eof and pos < len(data):
-            out.append(inflate.decompress(data[pos : pos + (1 << 16)]))
-            pos += 1 << 16
-    except zlib.error:
-        return b"".join(out), pos, False
+    inflate, out, pos, step = zlib.decompressobj(31), [], at, 1 << 12
+    while not inflate.eof and pos < len(data):
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(data[pos : pos + step]))
+        except zlib.error:  # again byte by byte, for what comes before the damage
+            try:
+                for pos in range(pos, min(pos + step, len(data))):
+                    out.append(before.decompress(data[pos : pos + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), pos, False
+        pos, step = pos + step, min(2 * step, 1 << 16)
     return b"".join(out), min(pos, len(data)) - len(inflate.unused_data), inflate.eof
 
 
