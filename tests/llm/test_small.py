@@ -231,6 +231,12 @@ def test_damage_costs_one_record_of_a_written_archive(spark, tmp_path):
     assert kept == {x.header["warc-page-id"] for x in warc.salvage(raw)} - {whole[20].header["warc-page-id"]}
 
 
+def test_headers_have_no_limit(spark):
+    pages = page_table(spark, [(1, "http://a/" + "u" * (2 << 20), "text"), (2, "u", "more")])
+    got = {r.page_id: r for r in warc.read_archives(spark, warc.write_archives(pages)).collect()}
+    assert set(got) == {1, 2} and got[1].reason is None and len(got[1].url) == 9 + (2 << 20)
+
+
 def test_output_before_the_damage_is_kept():
     records = [warc.member({"WARC-Type": "resource", "WARC-Page-ID": str(i)}, random.Random(i).randbytes(2000), False) for i in range(20)]
     raw = gzip.compress(b"".join(records))

@@ -138,7 +138,7 @@ def plain_record(data, at: int) -> Found:
     """The record that starts there, or Bad with what is wrong."""
     if not (version := VERSION.match(data, at)):
         raise Bad("no version line")
-    stop = data.find(b"\r\n\r\n", version.end() - 2, at + (1 << 20))
+    stop = data.find(b"\r\n\r\n", version.end() - 2)
     if stop < 0:
         raise Bad("header does not end")
     header = {}
