@@ -75,6 +75,59 @@ def test_grid_sizes():
     assert [names.count(m) for m in ("area_a_plus_c", "area_a_plus_b", "area_a_plus_b_plus_c")] == [7, 7, 21]
 
 
+def test_all_models_and_weightings_against_brute_force(spark):
+    import math
+    import random
+    from collections import defaultdict
+
+    r = random.Random(6)
+    near = [(i, n, r.random()) for i in (1, 2) for n in range(10, 16)] + [(3, n, 0.5) for n in range(10, 14)] + [(3, 14, 0.0)]
+    visits = [(n, a, p, r.randint(1, 30)) for n in range(10, 16) for a in range(8) for p in ("dinner", "lunch") if r.random() < 0.4]
+    p5, p95 = 0.1, 1.1
+    rows, b = [], {}
+    for trip in range(40):
+        rider, period, actual = trip % 3 + 1, ("dinner", "lunch", "night")[trip % 4 % 3], r.randrange(9)
+        c = trip % 5 > 0
+        for area in range(9):
+            rows.append((trip, rider, period, area, actual, 1.0, r.randrange(50), r.randrange(50), r.random(), r.random() if c else None))
+            mine = [(n, s) for i, n, s in near if i == rider and s > 0]
+            raw = sum(s * math.log1p(v) for n, s in mine for m, a, p, v in visits if (m, a, p) == (n, area, period))
+            b[trip, area] = min(1, max(0, (raw / sum(s for _, s in mine) - p5) / (p95 - p5))) if len(mine) >= 5 else None
+    df = spark.createDataFrame(rows, "trip_id long, rider_id long, period string, candidate long, actual long, distance double, global_score long, origin_score long, a_score double, c_score double")
+    got = evaluate.with_b(
+        df, spark.createDataFrame([(1,), (2,), (3,)], "rider_id long"), spark.createDataFrame(near, "rider_id long, neighbour long, similarity double"),
+        spark.createDataFrame(visits, "rider_id long, area_id long, period string, visits long"), spark.createDataFrame([(p5, p95)], "p5 double, p95 double"),
+    ).cache()
+    for x in got.collect():
+        assert x.b_score == (None if b[x.trip_id, x.candidate] is None else pytest.approx(b[x.trip_id, x.candidate]))
+
+    def place(score, trip):
+        order = sorted((x for x in rows if x[0] == trip), key=lambda x: (-round(score(x), 9), x[3]))
+        return next(k for k, x in enumerate(order, 1) if x[3] == x[4])
+
+    def mean(w, x):
+        parts = [(k, v) for k, v in zip(w, (x[8], b[x[0], x[3]], x[9])) if k > 0 and v is not None]
+        return sum(k * v for k, v in parts) / sum(k for k, _ in parts)
+
+    tuned = {(x.model, x.weights): x for x in evaluate.tune(got, digits=9).collect()}
+    assert len(tuned) == 35
+    for m, *w in evaluate.weight_grid():
+        trips = [t for t in range(40) if (not w[1] or b[t, 0] is not None) and (not w[2] or t % 5)]
+        at = [place(lambda x: mean(w, x), t) for t in trips]
+        x = tuned[m, "%.1f/%.1f/%.1f" % tuple(w)]
+        assert x.questions == len(trips) > 0 and x.hit5 == pytest.approx(sum(k <= 5 for k in at) / len(at)) and x.mrr5 == pytest.approx(sum(1 / k for k in at if k <= 5) / len(at))
+
+    weights = evaluate.DEFAULT_WEIGHTS
+    score = {"global_popularity": lambda x: x[6], "origin_period": lambda x: x[7], "area_a": lambda x: x[8]} | {m: lambda x, w=w: mean(w, x) for m, w in weights.items()}
+    found = defaultdict(dict)
+    for x in evaluate.metrics(evaluate.ranked(evaluate.long_scores(got, weights), ["trip_id", "model"], 9), 9, ["period"]).collect():
+        found[x.model][x.value] = x
+    assert set(found) == set(evaluate.MODELS)
+    for m in found:
+        at = [place(score[m], t) for t in range(40)]
+        assert found[m]["all"].questions == 40 and found[m]["all"].hit5 == pytest.approx(sum(k <= 5 for k in at) / 40) and found[m]["all"].mrr5 == pytest.approx(sum(1 / k for k in at if k <= 5) / 40)
+
+
 def test_missing_truth_counts_as_hit_among_few_candidates(spark):
     rows = spark.createDataFrame([(1, c, 99, 0.5, None, 0.5) for c in range(3)], "trip_id long, candidate long, actual long, a_score double, b_score double, c_score double")
     assert evaluate.tune(rows).where("rank = 1").first().hit5 == 1.0

@@ -12,6 +12,8 @@ from tripforge.functions.geo import road_distance_km
 from tripforge.functions.scoring import clip, combine, distance_fit_batch, mobility_score, ratio
 
 MODELS = ("global_popularity", "origin_period", "area_a", "area_a_plus_b", "area_a_plus_c", "area_a_plus_b_plus_c")
+#: Of models without questions to tune on.
+DEFAULT_WEIGHTS = {"area_a_plus_c": (0.55, 0.0, 0.45), "area_a_plus_b": (0.55, 0.45, 0.0), "area_a_plus_b_plus_c": (0.4, 0.3, 0.3)}
 QUESTION = ["trip_id"]
 
 
@@ -54,13 +56,35 @@ def c_scores(rows: DataFrame, profiles: DataFrame, visits: DataFrame, cohort: Da
 def b_scores(riders: DataFrame, neighbours: DataFrame, rider_area: DataFrame, scale: DataFrame, least: int = 5) -> DataFrame:
     """(rider_id, period, area_id, b_score) of areas that neighbours visited, for riders
     with `least` neighbours or more; b_zero is the score of all other areas."""
-    near = neighbours.join(riders.select("rider_id"), "rider_id", "left_semi").where("similarity > 0")
-    total = near.groupBy("rider_id").agg(F.sum("similarity").alias("total"), F.count(F.lit(1)).alias("k")).where((F.col("k") >= least) & (F.col("total") > 0))
+    near, total = _near(riders, neighbours, least)
     raw = near.join(rider_area.select(F.col("rider_id").alias("neighbour"), "area_id", "period", "visits"), "neighbour")
     raw = raw.groupBy("rider_id", "period", "area_id").agg(F.sum(F.col("similarity") * F.log1p(F.col("visits").cast("double"))).alias("s")).join(total, "rider_id")
-    raw = raw.crossJoin(F.broadcast(scale.where(F.abs(F.col("p95") - F.col("p5")) > 1e-12)))  # one row
-    scaled = lambda x: clip(F.try_divide(x - F.col("p5"), F.col("p95") - F.col("p5")))
-    return raw.select("rider_id", "period", "area_id", scaled(F.col("s") / F.col("total")).alias("b_score"), scaled(F.lit(0.0)).alias("b_zero"))
+    raw = raw.crossJoin(F.broadcast(_usable(scale)))  # one row
+    return raw.select("rider_id", "period", "area_id", _scaled(F.col("s") / F.col("total")).alias("b_score"), _scaled(F.lit(0.0)).alias("b_zero"))
+
+
+def _near(riders: DataFrame, neighbours: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Neighbours that count, and the riders with enough of them (rider_id, total, k)."""
+    near = neighbours.join(riders.select("rider_id"), "rider_id", "left_semi").where("similarity > 0")
+    total = near.groupBy("rider_id").agg(F.sum("similarity").alias("total"), F.count(F.lit(1)).alias("k")).where((F.col("k") >= least) & (F.col("total") > 0))
+    return near, total
+
+
+def _usable(scale: DataFrame) -> DataFrame:
+    return scale.where(F.abs(F.col("p95") - F.col("p5")) > 1e-12)
+
+
+def _scaled(x):
+    return clip(F.try_divide(x - F.col("p5"), F.col("p95") - F.col("p5")))
+
+
+def with_b(rows: DataFrame, riders: DataFrame, neighbours: DataFrame, rider_area: DataFrame, scale: DataFrame, least: int = 5) -> DataFrame:
+    """Adds b_score to rows (rider_id, period, candidate): b_zero for areas that no
+    neighbour visited in the period, null for riders without enough neighbours."""
+    zero = _near(riders, neighbours, least)[1].crossJoin(F.broadcast(_usable(scale))).select("rider_id", _scaled(F.lit(0.0)).alias("_zero"))
+    seen = b_scores(riders, neighbours, rider_area, scale, least).select("rider_id", "period", F.col("area_id").alias("candidate"), F.col("b_score").alias("_seen"))
+    rows = rows.join(zero, "rider_id", "left").join(seen, ["rider_id", "period", "candidate"], "left")
+    return rows.withColumn("b_score", F.coalesce("_seen", "_zero")).drop("_seen", "_zero")
 
 
 def long_scores(rows: DataFrame, weights: dict[str, tuple[float, float, float]]) -> DataFrame:

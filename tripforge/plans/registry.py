@@ -215,10 +215,14 @@ def rider_neighbours(spark, sf_dir):
 
 @query()
 def b_scores(spark, sf_dir):
-    t = train(spark, sf_dir)
+    return rounded(evaluate.b_scores(*_b_parts(train(spark, sf_dir))))
+
+
+def _b_parts(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Riders with a B score, their neighbours, visits and the scale."""
     profiles, visits = riders.rider_profiles(t), riders.rider_areas(t)
     near = riders.cosine_neighbours(riders.dense(riders.rider_vectors(profiles, visits, LEVEL)))
-    return rounded(evaluate.b_scores(profiles.where(F.col("level") == LEVEL), near, visits, riders.b_scale(visits, profiles)))
+    return profiles.where(F.col("level") == LEVEL), near, visits, riders.b_scale(visits, profiles)
 
 
 #: Questions of a split with all areas in reach, and their four scores.
@@ -258,7 +262,7 @@ s1 AS (SELECT *, CASE WHEN trip_count IS NULL THEN NULL ELSE greatest(0, least(1
 """
 
 
-def _score_rows(spark, sf_dir, split):
+def _score_rows(spark, sf_dir, split, b=False):
     t = trips(spark, sf_dir)
     fit = eligible(t).where("split = 'train'")
     rows = evaluate.candidates(_questions(t, split), areas(spark))
@@ -273,7 +277,8 @@ def _score_rows(spark, sf_dir, split):
     rows = rows.join(scored, ["candidate", "period", "weekday_class"])
     profiles = riders.rider_profiles(fit)
     visits = fit.groupBy("rider_id", "area_id").agg(F.count(F.lit(1)).alias("visits"))
-    rows = evaluate.c_scores(rows, profiles, visits, riders.cohort_quantiles(fit)).withColumn("b_score", F.lit(None).cast("double"))
+    rows = evaluate.c_scores(rows, profiles, visits, riders.cohort_quantiles(fit))
+    rows = evaluate.with_b(rows, *_b_parts(fit)) if b else rows.withColumn("b_score", F.lit(None).cast("double"))
     return rows.join(profiles.select("rider_id", "level"), "rider_id", "left").withColumn("level", F.coalesce("level", F.lit("cold")))
 
 
@@ -301,6 +306,22 @@ def weight_grid(spark, sf_dir):
     return rounded(evaluate.tune(_score_rows(spark, sf_dir, "validation"), digits=9))
 
 
+#: The two queries above leave B out, as their SQL does; these have all of it.
+@query()
+def weight_grid_abc(spark, sf_dir):
+    """All 35 weightings of the three models."""
+    return rounded(evaluate.tune(_score_rows(spark, sf_dir, "validation", b=True), digits=9))
+
+
+@query()
+def metrics_by_group_abc(spark, sf_dir):
+    """All six rankers, with the best weights of the validation days."""
+    best = {r.model: tuple(map(float, r.weights.split("/"))) for r in weight_grid_abc(spark, sf_dir).where("rank = 1").collect()}
+    scores = evaluate.long_scores(_score_rows(spark, sf_dir, "test", b=True), evaluate.DEFAULT_WEIGHTS | best)
+    found = evaluate.metrics(evaluate.ranked(scores, ["trip_id", "model"], 9), 36, ["level", "period", "weekday_class"])
+    return rounded(found.select("model", "grouping", "value", "questions", "hit5", "hit10", "mrr5", "mean_km"))
+
+
 #: Requests from suppliers and places from parts, by integer arithmetic.
 SERVING = """, req AS (SELECT s_suppkey AS request_id, ((s_suppkey * 7) % 120)::DOUBLE / 1000 AS lat, ((s_suppkey * 11) % 120)::DOUBLE / 1000 AS lng,
   ['morning', 'lunch', 'afternoon', 'dinner', 'night'][s_suppkey % 5 + 1] AS period, ['weekday', 'weekend'][s_suppkey % 2 + 1] AS weekday_class, (6 + s_suppkey % 5)::DOUBLE AS budget_km FROM supplier),
