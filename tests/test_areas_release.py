@@ -55,6 +55,34 @@ def test_grid_goes_on_after_skips(spark):
     assert got[150].status == "ok" and got[150].clusters >= 2 and got[500].status == "skipped" and got[10**6].status == "skipped"
 
 
+def test_grid_skips_only_what_exceeds_the_pool(spark):
+    r = np.random.default_rng(3)
+    pts = np.concatenate([c + r.normal(0, 0.004, (7000, 2)) for c in ([25.03, 121.5], [25.08, 121.56], [25.01, 121.45])])
+    points = spark.createDataFrame([("all", i, float(a), float(b)) for i, (a, b) in enumerate(r.permutation(pts))], "policy string, seq int, lat double, lng double")
+    grid = spark.createDataFrame([("all", 21_000, 500, 5), ("all", 21_001, 500, 5), ("none", 10, 5, 2)], "policy string, size int, min_cluster_size int, min_samples int")
+    got = {x["size"]: x for x in density.experiment(points, grid).collect()}
+    assert got[21_000].status == "ok" and got[21_000].clusters == 3
+    assert {got[k].status for k in (10, 21_001)} == {"skipped"} and {got[k].message for k in (10, 21_001)} == {"sample exceeds the pool"}
+    assert density.experiment(points, grid.where("size = 21000"), most=5).first().message == "sample exceeds the limit"
+
+
+@pytest.mark.parametrize("where", ["city", "sphere"])
+def test_boxes_and_tree_against_brute_force(where):
+    r = np.random.default_rng(5)
+    p = np.radians(np.concatenate([blobs(2, 900), blobs(2, 40)]) if where == "city" else r.uniform([-90, -180], [90, 180], (2500, 2)))
+    d = density.distances(p, p)
+    core = density.core_distances(p, 7)
+    assert np.allclose(core, np.sort(d, 1)[:, 6])
+    m, free, total, best = np.maximum(np.maximum(d, core[:, None]), core[None, :]), np.ones(len(p), bool), 0.0, np.full(len(p), np.inf)
+    at = 0
+    for _ in range(len(p) - 1):
+        free[at] = False
+        best = np.minimum(best, m[at])
+        at = int(np.where(free, best, np.inf).argmin())
+        total += best[at]
+    assert density.spanning_tree(p, core)[:, 2].sum() == pytest.approx(total)
+
+
 def test_assignment_falls_back(spark):
     c = density.fit(np.radians(blobs()), 20, 5)
     rows = spark.createDataFrame([(25.03, 121.5), (25.3, 121.9), (24.0, 120.5), (0.0, 0.0)], "lat double, lng double")

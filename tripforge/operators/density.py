@@ -27,23 +27,64 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1, x)))
 
 
+def vectors(points: np.ndarray) -> np.ndarray:
+    """Unit vectors; the chord between two grows with their distance."""
+    lat, lng = points[:, 0], points[:, 1]
+    return np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)])
+
+
 def core_distances(points: np.ndarray, k: int, block: int = 256) -> np.ndarray:
-    k = min(k, len(points))
-    return np.concatenate([np.partition(distances(points[i : i + block], points), k - 1, axis=1)[:, k - 1] for i in range(0, len(points), block)])
+    """Distance to the k-th neighbour. Blocks of close points meet only the points in the
+    box around them that a first, too large, k-th distance allows."""
+    n = len(points)
+    k, out, v = min(k, n), np.empty(n), vectors(points)
+    strips = max(1, int(np.sqrt(n / block)))
+    strip = np.empty(n, int)
+    strip[np.argsort(points[:, 0], kind="stable")] = np.arange(n) * strips // n
+    order = np.lexsort((points[:, 1], strip))
+    kth = lambda own, near: np.partition(distances(points[own], points[near]), k - 1, axis=1)[:, k - 1]
+    for i in range(0, n, block):
+        own = order[i : i + block]
+        lo = max(0, min(i - block, n - k))
+        far = kth(own, order[lo : max(i + 2 * block, lo + k)]).max()
+        chord = 2 * np.sin(min(far / (2 * EARTH_RADIUS_KM), np.pi / 2)) * (1 + 1e-9) + 1e-12
+        low, high = v[:, own].min(1) - chord, v[:, own].max(1) + chord
+        near = np.flatnonzero(((v >= low[:, None]) & (v <= high[:, None])).all(0))
+        for j in range(0, len(own), max(1, (1 << 23) // len(near))):
+            part = own[j : j + max(1, (1 << 23) // len(near))]
+            out[part] = kth(part, near)
+    return out
 
 
 def spanning_tree(points: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (a, b, weight) of the minimum spanning tree, by weight."""
+    """Edges (a, b, weight) of the minimum spanning tree, by weight. Prim's method on
+    squared chords; points that are done leave the arrays when half of them are."""
     n = len(points)
-    best, via, out = np.full(n, np.inf), np.zeros(n, int), np.zeros((n - 1, 3))
-    free, at = np.ones(n, bool), 0
+    out = np.zeros((n - 1, 3))
+    v, reach = vectors(points), (2 * np.sin(np.minimum(core / (2 * EARTH_RADIUS_KM), np.pi / 2))) ** 2
+    own, best, via, at = np.arange(n), np.full(n, np.inf), np.zeros(n, int), 0
+    done = np.zeros(n, bool)
     for i in range(n - 1):
-        free[at] = False
-        d = np.maximum(np.maximum(distances(points[at : at + 1], points)[0], core[at]), core)
-        closer = free & (d < best)
-        best[closer], via[closer] = d[closer], at
-        at = int(np.where(free, best, np.inf).argmin())
-        out[i] = via[at], at, best[at]
+        done[at], best[at] = True, np.inf
+        here, which = v[:, at].copy(), own[at]
+        if 2 * np.count_nonzero(done) > len(done) > 1024 and i % 512 == 0:
+            own, best, via, reach_at = own[~done], best[~done], via[~done], reach[at]
+            v, reach = v[:, ~done], reach[~done]
+            done = np.zeros(len(own), bool)
+        else:
+            reach_at = reach[at]
+        d = (v[0] - here[0]) ** 2 + (v[1] - here[1]) ** 2 + (v[2] - here[2]) ** 2
+        np.maximum(d, reach, out=d)
+        np.maximum(d, reach_at, out=d)
+        closer = np.flatnonzero((d < best) & ~done)
+        best[closer], via[closer] = d[closer], which
+        at = int(best.argmin())
+        out[i, :2] = via[at], own[at]
+    a, b = out[:, 0].astype(int), out[:, 1].astype(int)
+    for i in range(0, n - 1, 1 << 16):  # the exact weights
+        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        h = np.sin((points[y, 0] - points[x, 0]) / 2) ** 2 + np.cos(points[x, 0]) * np.cos(points[y, 0]) * np.sin((points[y, 1] - points[x, 1]) / 2) ** 2
+        out[i : i + (1 << 16), 2] = np.maximum(np.maximum(2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1, h))), core[x]), core[y])
     return out[np.argsort(out[:, 2], kind="stable")]
 
 
@@ -157,11 +198,12 @@ def fit(points: np.ndarray, min_cluster_size: int, min_samples: int, selection:
 GRID = "policy string, size int, min_cluster_size int, min_samples int, status string, clusters int, noise_ratio double, size_p50 double, size_p90 double, message string"
 
 
-def experiment(points: DataFrame, candidates: DataFrame, most: int = 20_000) -> DataFrame:
+def experiment(points: DataFrame, candidates: DataFrame, most: int | None = None) -> DataFrame:
     """points: policy, seq (sample order), lat, lng; candidates: policy, size,
-    min_cluster_size, min_samples. A row per candidate; samples that are too large, or
-    larger than the pool, are skipped; a failure doesn't stop the others."""
-    sized = candidates.where(F.col("size") <= most)
+    min_cluster_size, min_samples. A row per candidate; samples larger than the pool are
+    skipped, and those above `most` if it is given; a failure doesn't stop the others."""
+    large = F.lit(False) if most is None else F.col("size") > most
+    sized = candidates.where(~large)
     rows = sized.join(points, "policy").where(F.col("seq") < F.col("size"))
     keys = ["policy", "size", "min_cluster_size", "min_samples"]
 
@@ -179,7 +221,7 @@ def experiment(points: DataFrame, candidates: DataFrame, most: int = 20_000) ->
     done = rows.groupBy(*keys).applyInPandas(run, GRID)
     none = lambda t: F.lit(None).cast(t)
     skipped = candidates.join(done.select(*keys), keys, "left_anti")
-    return done.unionByName(skipped.select(*keys, F.lit("skipped").alias("status"), none("int").alias("clusters"), none("double").alias("noise_ratio"), none("double").alias("size_p50"), none("double").alias("size_p90"), F.lit("sample exceeds the limit or the pool").alias("message")))
+    return done.unionByName(skipped.select(*keys, F.lit("skipped").alias("status"), none("int").alias("clusters"), none("double").alias("noise_ratio"), none("double").alias("size_p50"), none("double").alias("size_p90"), F.when(large, "sample exceeds the limit").otherwise("sample exceeds the pool").alias("message")))
 
 
 def assign(points: DataFrame, model: Clustering, min_samples: int, region: str = "Taipei", prefix: str = "area-") -> DataFrame:
