@@ -461,6 +461,19 @@ def test_quotation_is_seen():
     assert [h[4] for h in toxicity.hits_of(words, data, offs, toxicity.Lexicon({"worthless": 1.0}), {})] == [True, False]
 
 
+def test_quotation_is_counted_from_the_start_of_the_line():
+    lexicon = toxicity.Lexicon({"grobble": 2.0})
+    far, near = "far words " * 60, "near " * 70
+    texts = {
+        f'"{far}grobble': True, f'"{far}" grobble': False, f'"far" "{"x " * 60}" {near}grobble': False, f'"{"x " * 60}" {near}grobble': False,
+        f"«{far}grobble": True, f"“{far}” grobble": False, f"„{far}grobble": True, f'"{far}\n{far}grobble': False, "é": None, "“": None, 'grobble "': False,
+    }
+    raw = [t.encode() for t in texts]
+    offs, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+    got = {h[0]: h[4] for h in toxicity.hits_of(toxicity.Words(offs, data, toxicity.TOKEN), data, offs, lexicon, {})}
+    assert got == {i: q for i, q in enumerate(texts.values()) if q is not None}
+
+
 def test_toxicity_without_labels(spark, strange):
     model = toxicity.fit(strange, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.scores(strange, model).collect()} <= {0.0}

@@ -191,18 +191,37 @@ class Lexicon:
 FEATURES = 8
 
 
+class Marks:
+    """Positions of line feeds and quotation marks in the texts of a batch."""
+
+    def __init__(self, data: np.ndarray):
+        self.line, self.double = np.flatnonzero(data == 0x0A), np.flatnonzero(data == 0x22)
+        two, three = np.flatnonzero(data[:-1] == 0xC2), np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80))
+        of = lambda at, k, *last: at[np.isin(data[at + k], last)]
+        self.pairs = [(of(two, 1, 0xAB), of(two, 1, 0xBB)), (of(three, 2, 0x9C, 0x9E), of(three, 2, 0x9D))]
+
+    def open(self, begin: int, at: int) -> bool:
+        """If a quotation is open there, in the line of a text that begins at `begin`."""
+        last = lambda where: int(where[k - 1]) if (k := int(np.searchsorted(where, at))) else -1
+        begin = max(begin, last(self.line) + 1)
+        if (np.searchsorted(self.double, at) - np.searchsorted(self.double, begin)) % 2:
+            return True
+        return any(last(a) >= begin and last(a) > last(b) for a, b in self.pairs)
+
+
 def hits_of(words: Words, data: np.ndarray, offs: np.ndarray, lexicon: Lexicon, context: dict[str, float]):
     """(document, word number, term, edits, quoted, context score) of each hit."""
     term, cost = lexicon.matches(words)
     term[(cost > 0) & ~np.isin(term, sorted(lexicon.loose))] = -1
-    for w in np.flatnonzero(term >= 0).tolist():
+    found = np.flatnonzero(term >= 0).tolist()
+    marks = Marks(data) if found else None
+    for w in found:
         d = int(words.doc[w])
         s, e = int(words.start[w]), int(words.end[w])
         before = data[max(offs[d], s - 400) : s].tobytes().decode("utf-8", "ignore")
         after = data[e : min(offs[d + 1], e + 6)].tobytes().decode("utf-8", "ignore")
         line = before[before.rfind("\n") + 1 :]
-        quote = line.count('"') % 2 == 1 or line.rfind("«") > line.rfind("»") or max(line.rfind("“"), line.rfind("„")) > line.rfind("”")
-        quote = quote or (line.rstrip()[-1:] in QUOTES and after.lstrip(".,!?")[:1] in QUOTES)
+        quote = marks.open(int(offs[d]), s) or (line.rstrip()[-1:] in QUOTES and after.lstrip(".,!?")[:1] in QUOTES)
         lo, hi = max(words.first[d], w - WINDOW), min(words.first[d + 1], w + WINDOW + 1)
         near = [plain(words.bytes[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace")) for i in range(lo, hi) if i != w]
         others = int((term[lo:hi] >= 0).sum()) - 1
