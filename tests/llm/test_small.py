@@ -453,6 +453,16 @@ def test_toxic_words_and_misspellings(spark):
     assert sorted(str(x.doc_id) for x in toxicity.drop_toxic(docs(spark, test), model).collect()) == ["2", "3", "5", "5", *(["None"] if not score[None] else [])]
 
 
+def test_no_term_is_lost_to_beginnings_of_others(spark):
+    r = random.Random(9)
+    long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(320)]
+    rows = [(i, f"some plain words {' '.join(long[k] for k in range(i % 20, 320, 20))}") for i in range(120)]
+    rows += [(i, "some plain words zzrarest") for i in range(200, 204)] + [(i, "some plain words") for i in range(300, 600)]
+    labels = [(i, int(i < 300)) for i, _ in rows]
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {*long, "zzrarest"} <= set(model.lexicon.terms) and not any(t.endswith("*") and any(w.startswith(t[:-1]) for w in long) for t in model.lexicon.terms)
+
+
 def test_quotation_is_seen():
     text = 'he said "you are worthless" to them\nworthless here'
     data = np.frombuffer(text.encode(), np.uint8)

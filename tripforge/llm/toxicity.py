@@ -41,7 +41,6 @@ WINDOW = 8
 THRESHOLD = 0.7
 MIN_TEXTS = 4
 MIN_PRECISION = 0.8
-TERMS = 2000
 #: Inexact matches of a term count if those in clean texts (and one more) are at most
 #: this share of the toxic texts that have the term.
 LOOSE = 0.05
@@ -356,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = F.col("toxic") / few[1]
     precision = rate * count[1] / (rate * count[1] + (F.col("clean") + 1.0) / few[0] * count[0])
     terms = terms.withColumn("precision", precision).where((F.col("toxic") >= MIN_TEXTS) & (precision >= MIN_PRECISION))
-    found = terms.orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    found = terms.orderBy(F.desc("toxic"), "term").collect()  # the sample has a bound
     lexicon = Lexicon(shortest({r.term: (r.toxic, r.precision) for r in found}))
     first = Model(lexicon, {}, np.zeros(FEATURES), 0.0, True)
     # context words of hits, then the features with them
@@ -381,13 +380,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def shortest(found: dict[str, tuple[int, float]]) -> dict[str, float]:
     """Drops beginnings of words that a single word or a shorter beginning explains."""
-    out = {}
+    out, most = {}, {}
+    for w, (m, _) in found.items():
+        if not w.endswith("*"):
+            for k in range(STEM, len(w) + 1):
+                if m > most.get(w[:k], 0):
+                    most[w[:k]] = m
     for t, (n, p) in found.items():
         if t.endswith("*"):
             stem = t[:-1]
             if any(found.get(stem[:k] + "*", (0, 0))[0] >= n for k in range(STEM, len(stem))):
                 continue
-            if any(m >= 0.9 * n for w, (m, _) in found.items() if not w.endswith("*") and w.startswith(stem)):
+            if most.get(stem, 0) >= 0.9 * n:
                 continue
         out[t] = math.log(p / (1.001 - p))
     return out
