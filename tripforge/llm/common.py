@@ -1,4 +1,4 @@
-"""What the text operators share: the shared folder, row numbers, skew-safe lookups."""
+"""What the text operators share: the shared folder, stored row numbers, skew-safe lookups."""
 
 from __future__ import annotations
 
@@ -15,14 +15,16 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests on one machine), a temporary folder that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
+    unset and all runs in one process (tests), a temporary folder that is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        kept, sc = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext
+        if not kept.isDefined() and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="tripforge-")
         if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
+            sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -70,10 +72,19 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def with_uid(df: DataFrame, name: str = "_uid") -> DataFrame:
-    """A number for each row. It tells repeated rows with equal or null ids apart; it
-    depends on the files and their order, never on what runs in parallel."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with more underscores if df has a column of that name."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def numbered(keep: Scratch, df: DataFrame, name: str = "_uid") -> DataFrame:
+    """The rows with a number each, which tells repeated rows with equal or null ids apart.
+    They are written once and read from there: a number that was computed again could be
+    another one, as the splits of a scan follow the number of cores that are alive."""
+    return keep.write(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is an aggregate (minimum neighbour of each node) and a join back, so a hub
-with very many neighbours is pre-aggregated and its rows may be split by adaptive
+Every step is an aggregate (minimum neighbour of each node), stored, and a join back, so
+a hub with very many neighbours is pre-aggregated and its rows are split by adaptive
 execution; no task or driver holds a component. The number of rounds grows with the
 logarithm of the longest path. Each round is written to the shared folder.
 """
@@ -23,16 +23,17 @@ def components(edges: DataFrame) -> DataFrame:
     keep = Scratch(edges.sparkSession, "components")
     now = keep.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "0")
     before, step = None, 0
+    one_way = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while (mark := _mark(now)) != before and mark[0]:
         before, step = mark, step + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        large = keep.write(large, f"{step}-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # the least neighbours are tables of their own, so that a join with them can be split
+        low = keep.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{step}-low")
+        large = keep.write(one_way(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), f"{step}-large")
+        keep.drop(f"{step}-low")
+        low = keep.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{step}-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = keep.write(small.where("u <> v").distinct(), str(step))
-        keep.drop(f"{step}-large")
-        keep.drop(str(step - 1))
+        for what in (f"{step}-low", f"{step}-large", str(step - 1)):
+            keep.drop(what)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripforge.llm.common import Scratch, remainder, table, tune, with_uid
+from tripforge.llm.common import Scratch, numbered, remainder, table, tune
 from tripforge.llm.textvec import Words, pieces
 
 DEPTH = 4
@@ -399,7 +399,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     tune(spark)
     keep = Scratch(spark, "ctw")
-    texts = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text")))
+    texts = numbered(keep, docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text")))
     counts = texts.where(~F.col("held_out")).select("text").mapInArrow(gathering, "kind int, key long, n long")
     counts = keep.write(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripforge.llm.common import table, tune, with_uid
+from tripforge.llm.common import Scratch, free_name, numbered, table, tune
 from tripforge.llm.textvec import U, Words, pieces, run_hashes, span_hashes, word_list
 
 WINDOW = 10
@@ -170,9 +170,9 @@ def matching(index, first_block: bool):
     return run
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: _uid (as `with_uid` gives it), doc_id, n_words, spans of
-    hit words (start, end), items with occurring windows."""
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, uid: str | None = None) -> DataFrame:
+    """One row per document: _uid (the column uid of docs, if they are numbered), doc_id,
+    n_words, spans of hit words (start, end), items with occurring windows."""
     spark = docs.sparkSession
     tune(spark)
     sc = spark.sparkContext
@@ -180,7 +180,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)))
-    texts = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    number = F.col(uid) if uid else F.lit(0).cast("long")
+    texts = docs.select(number.alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if blocks > 1 and not uid:  # rows of several passes are brought together by number
+        texts = numbered(Scratch(spark, "decontaminate"), texts.drop("_uid"))
     out = None
     for k in range(blocks):
         index = Index([(r.id, r.t) for r in items.where(F.col("block") == k).select("id", "t").collect()], window)
@@ -211,8 +214,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
     """The rows of docs, with all their columns, in which no window occurs."""
-    bad = hits(docs, benchmark, **more).where(F.size("spans") > 0).select(F.col("_uid").alias("_clean_uid"))
-    return with_uid(docs, "_clean_uid").join(bad, "_clean_uid", "left_anti").drop("_clean_uid")
+    uid = free_name(docs, "_clean_uid")
+    docs = numbered(Scratch(docs.sparkSession, "decontaminate"), docs, uid)
+    bad = hits(docs, benchmark, uid=uid, **more).where(F.size("spans") > 0).select(F.col("_uid").alias(uid))
+    return docs.join(bad, uid, "left_anti").drop(uid)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

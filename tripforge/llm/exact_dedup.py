@@ -4,10 +4,15 @@ Each partition sorts the digests of its texts into a run, in which equal digests
 merged. The runs then move through a K-ary form of the binomial exchange: in round r
 every lane (a partition, numbered in base K) sends each digest to the lane whose r-th
 digit is the digest's own r-th digit, and merges what it receives. After log_K(lanes)
-rounds every digest is in just one run. A merge keeps the smallest identifier and the
-number of texts; digests only merge when length and a second, independent hash of the
-text agree as well. A text that a third of all rows share costs each lane one entry
-after its first run, in each round.
+rounds every digest is in just one run.
+
+What a lane receives are sorted pieces, one from each sender. They are merged by the
+partition's own sort, a natural merge sort (several keys, so rows are compared): it takes
+ascending pieces as they come and merges them pairwise, and it merges what it had to
+spill. Equal digests then follow each other; one is kept, with the smallest identifier and
+the number of texts. Digests only merge when length and a second, independent hash of the
+text agree as well. A text that a third of all rows share costs each lane one entry after
+its first run, in each round.
 
 Nulls: a null text counts as empty; a null doc_id comes after all others. Of rows with
 equal id and text, the first in file order stays. Empty tables give empty results.
@@ -22,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripforge.llm.common import WHITE, Scratch, lookup, table, tune, with_uid
+from tripforge.llm.common import WHITE, Scratch, free_name, lookup, numbered, table, tune
 
 FAN_IN = 8
-ORDER = ["_lane", "_digest", "_len", "_check", "_no_id", "_id", "_uid"]
+ORDER = ["_digest", "_len", "_check", "_no_id", "_id", "_uid"]
 
 
 def normalised(text: str):
@@ -33,8 +38,8 @@ def normalised(text: str):
 
 
 def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges neighbours that agree in lane, digest, length and check of a sorted
-    stream. The first of each group has the smallest id; the counts add up."""
+    """Merges neighbours that agree in digest, length and check of a sorted stream. The
+    first of each group has the smallest id; the counts add up."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -43,7 +48,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = (pa.concat_tables([held, now]) if held is not None else now).combine_chunks()
         new = np.ones(now.num_rows, bool)
         new[1:] = False
-        for k in ORDER[:4]:
+        for k in ORDER[:3]:
             v = now[k].to_numpy()
             new[1:] |= v[1:] != v[:-1]
         first = np.flatnonzero(new)
@@ -57,9 +62,10 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from held.combine_chunks().to_batches()
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A compact row per document, without its text."""
-    text = with_uid(docs.select(F.col(id_col).cast("long").alias("_id"), normalised(text_col).alias("_t")))
+def digests(docs: DataFrame, id_col: str, text_col: str, uid: str | None = None) -> DataFrame:
+    """A compact row per document, without its text. uid: its number, if it has one."""
+    number = F.col(uid) if uid else F.monotonically_increasing_id()
+    text = docs.select(F.col(id_col).cast("long").alias("_id"), normalised(text_col).alias("_t"), number.alias("_uid"))
     return text.select("_id", "_uid", F.sha2("_t", 256).alias("_digest"), F.length("_t").cast("long").alias("_len"), F.xxhash64("_t").alias("_check"))
 
 
@@ -81,27 +87,29 @@ def tree_merge(rows: DataFrame, lanes: int, fan_in: int = FAN_IN) -> DataFrame:
     return run.drop("_lane", "_no_id")
 
 
-def _merged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    spark = docs.sparkSession
-    tune(spark)
-    keep = Scratch(spark, "exact-dedup")
-    rows = keep.write(digests(docs, id_col, text_col), "rows")
-    return rows, keep.write(tree_merge(rows, max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))), "merged")
+def _merged(keep: Scratch, rows: DataFrame) -> DataFrame:
+    lanes = max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return keep.write(tree_merge(rows, lanes), "merged")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    rows, merged = _merged(docs, id_col, text_col)
+    tune(docs.sparkSession)
+    keep = Scratch(docs.sparkSession, "exact-dedup")
+    rows = keep.write(digests(docs, id_col, text_col), "rows")
     key = F.concat_ws("-", "_digest", "_len", "_check")
-    merged = merged.select(key.alias("_key"), F.col("_id").alias("keep_id"), F.col("_uid").alias("_keep_uid"), F.col("_n").alias("group_size"))
+    merged = _merged(keep, rows).select(key.alias("_key"), F.col("_id").alias("keep_id"), F.col("_uid").alias("_keep_uid"), F.col("_n").alias("group_size"))
     out = lookup(rows.withColumn("_key", key), merged, "_key", ["keep_id", "_keep_uid", "group_size"], "group_size")
     return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_uid") == F.col("_keep_uid")).alias("kept"), F.col("_digest").alias("text_sha256"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay."""
-    _, merged = _merged(docs, id_col, text_col)
-    return with_uid(docs, "_exact_uid").join(merged.select(F.col("_uid").alias("_exact_uid")), "_exact_uid", "left_semi").drop("_exact_uid")
+    tune(docs.sparkSession)
+    keep, uid = Scratch(docs.sparkSession, "exact-dedup"), free_name(docs, "_exact_uid")
+    docs = numbered(keep, docs, uid)
+    merged = _merged(keep, keep.write(digests(docs, id_col, text_col, uid), "rows"))
+    return docs.join(merged.select(F.col("_uid").alias(uid)), uid, "left_semi").drop(uid)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,14 @@ Documents are aggregated by membership pattern (the set of sources that they bel
 The driver solves a min-cost flow from patterns to sources: a pattern can supply its
 words once for nothing, a second and a third time at rising (convex) cost; a source
 takes up to its quota. Only one row per distinct pattern reaches the driver, whatever
-the number of documents. Then documents are selected: all of a pattern's documents as
+the number of documents; their number is checked against PATTERNS first, and beyond it
+mixing fails with a message instead of overrunning the driver. Tables of patterns are
+broadcast, so no shuffle is by pattern and a hot source isn't a hot key. Then documents are selected: all of a pattern's documents as
 often as its flow holds the whole pattern, and for the rest documents in the order of a
 seeded hash of id and text. A document that doesn't fit into what is missing to the quota
-is passed over, and the order goes on until no document fits that isn't chosen; then one
-that doesn't fit is taken if that comes nearer. Where documents stop to fit is found by a
+is passed over, and the order goes on until no document fits that isn't chosen. What is
+missing then is filled the same way by one more use of chosen documents, and at last a
+document that doesn't fit is taken if that comes nearer. Where documents stop to fit is found by a
 histogram over BINS hash ranges; the ranges from there on, WALK rows of a pattern or one
 range at a time, are walked through in a task, so no task sees a whole source.
 
@@ -29,10 +32,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tripforge.llm.common import Scratch, table, tune, with_uid
+from tripforge.llm.common import Scratch, free_name, numbered, table, tune
 
 MOST = 3
 BINS = 4096
+#: Distinct membership patterns that the driver takes: a flow's work grows with them.
+PATTERNS = 1 << 16
 #: Rows of a pattern that one task walks through, a single range of hashes aside.
 WALK = 1 << 16
 SEED = 20240
@@ -115,19 +120,24 @@ def min_cost_flow(supply: dict, quota: dict, repetition: tuple[int, ...] = REPET
     return {k: (1 << 62) - x.room for k, x in used.items()}
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """A compact row per document: its pattern (sorted distinct sources), words, hash."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, uid: str | None) -> DataFrame:
+    """A compact row per document: its pattern (sorted distinct sources), words, hash, and
+    a number, its own (uid) or a new one."""
     many = docs.schema[source_col].dataType.typeName() == "array"
     member = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col).cast("string"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(member, F.array(F.lit(None).cast("string"))).alias("pattern"), text.alias("t")))
+    number = F.col(uid) if uid else F.monotonically_increasing_id()
+    out = docs.select(number.alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(member, F.array(F.lit(None).cast("string"))).alias("pattern"), text.alias("t"))
     h = F.xxhash64(F.lit(SEED), "doc_id", "t")
     return out.select("_uid", "doc_id", "pattern", F.regexp_count("t", F.lit(TOKEN)).cast("long").alias("size"), h.alias("h"), F.pmod(F.shiftright(h, 20), F.lit(BINS)).alias("bin"))
 
 
 def plan(rows: DataFrame, most: int, weights: dict | None) -> tuple[dict, dict, dict]:
     """Sizes and targets by source; words to take by pattern."""
-    supply = {tuple(r.pattern): r.n for r in rows.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+    found = rows.groupBy("pattern").agg(F.sum("size").alias("n")).limit(PATTERNS + 1).collect()
+    if len(found) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} distinct sets of sources; group rare sources before mixing")
+    supply = {tuple(r.pattern): r.n for r in found}
     sizes: dict = {}
     for p, n in supply.items():
         for s in p:
@@ -210,32 +220,54 @@ def along(rows: DataFrame, gaps: dict) -> tuple[dict, dict, dict]:
     return spans, parts, gaps
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, weights: dict | None = None) -> DataFrame:
-    """One row per document: _uid, doc_id, pattern, size, source_size and target (of its
-    first source), taken, repeats."""
+def taken_along(rows: DataFrame, spans: dict, parts: dict) -> DataFrame:
+    """rows, with `fits`: if `along` takes them."""
+    schema = f"pattern array<string>, spans array<struct<lo:long,hi:long,most:long>>, parts array<{PART}>"
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(list(p), spans[p], parts[p]) for p in spans], schema)), "pattern", "left")
+    in_span = F.exists("spans", lambda x: (F.col("bin") > x.lo) & (F.col("bin") < x.hi) & (F.col("size") <= x.most))
+    key = F.struct(*KEY)
+    in_part = F.exists("parts", lambda x: (F.col("bin") >= x.begin) & (x.lo.isNull() | (key > x.lo)) & (key <= x.hi) & (F.col("size") <= x.most))
+    return rows.withColumn("fits", F.coalesce(in_span | in_part, F.lit(False))).drop("spans", "parts")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, weights: dict | None = None, uid: str | None = None) -> DataFrame:
+    """One row per document: _uid (the column uid of docs, if they are numbered), doc_id,
+    pattern, size, source_size and target (of its first source), taken, repeats."""
     spark = docs.sparkSession
     tune(spark)
-    rows = Scratch(spark, "mixing").write(sized(docs, id_col, text_col, source_col), "sized")
+    keep = Scratch(spark, "mixing")
+    rows = keep.write(sized(docs, id_col, text_col, source_col, uid), "sized")
     sizes, wanted, take = plan(rows, most, weights)
     schema = "pattern array<string>, source_size long, target double, base long, rest long"
     params = [(list(p), sizes.get(p[0]) if p else None, wanted.get(p[0]) if p else None, n // size if size else 0, n % size if size else 0) for p, (size, n) in take.items()]
-    rows = rows.join(spark.createDataFrame(params, schema), "pattern")
-
-    spans, parts, gaps = along(rows, {p: n % size for p, (size, n) in take.items() if size and n % size})
-    schema = f"pattern array<string>, spans array<struct<lo:long,hi:long,most:long>>, parts array<{PART}>"
-    rows = rows.join(F.broadcast(spark.createDataFrame([(list(p), spans[p], parts[p]) for p in spans], schema)), "pattern", "left")
-    in_span = F.exists("spans", lambda x: (F.col("bin") > x.lo) & (F.col("bin") < x.hi) & (F.col("size") <= x.most))
-    key = F.struct(*KEY)
-    in_part = F.exists("parts", lambda x: (F.col("bin") >= x.begin) & (x.lo.isNull() | (key > x.lo)) & (key <= x.hi) & (F.col("size") <= x.most))
-    rows = rows.withColumn("chosen", (F.col("rest") > 0) & F.coalesce(in_span | in_part, F.lit(False)))
+    rows = rows.join(F.broadcast(spark.createDataFrame(params, schema)), "pattern")
+
+    gaps = {p: n % size for p, (size, n) in take.items() if size and n % size}
+    spans, parts, gaps = along(rows, gaps)
+    rows = keep.write(taken_along(rows, spans, parts).withColumn("chosen", (F.col("rest") > 0) & F.col("fits")).drop("fits"), "chosen")
+    again = F.col("chosen") & (F.col("base") + 2 <= most)
+    if gaps := {p: g for p, g in gaps.items() if g > 0}:  # further uses of what is chosen
+        spans, parts, gaps = along(rows.where(again), gaps)
+    else:
+        spans, parts = {}, {}
+    rows = taken_along(rows, spans, parts)
     fills: list[int] = []
     if gaps := {p: g for p, g in gaps.items() if g > 0}:  # one more, if that comes nearer
         gap = spark.createDataFrame([(list(p), g) for p, g in gaps.items()], "pattern array<string>, gap long")
-        free = rows.where(~F.col("chosen") & ~F.col("_uid").isin(fills)).join(gap, "pattern").where("size > gap and size < 2 * gap")
-        fills += [r.x._uid for r in free.groupBy("pattern").agg(F.min(F.struct("size", "h", "doc_id", "_uid")).alias("x")).collect()]
-    repeats = F.col("base") + F.when(F.col("chosen") | F.col("_uid").isin(fills), 1).otherwise(0)
+        free = rows.where("not chosen").join(F.broadcast(gap), "pattern").where("size > gap and size < 2 * gap")
+        fills = [r.x._uid for r in free.groupBy("pattern").agg(F.min(F.struct("size", "h", "doc_id", "_uid")).alias("x")).collect()]
+    repeats = F.col("base") + F.when(F.col("chosen") | F.col("_uid").isin(fills), 1).otherwise(0) + F.when(again & F.col("fits"), 1).otherwise(0)
     return rows.select("_uid", "doc_id", "pattern", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 
+def select(docs: DataFrame, **more) -> DataFrame:
+    """The rows of docs, with all their columns, that the mix takes, and size, taken and
+    repeats (in place of columns of these names)."""
+    uid = free_name(docs, "_mix_uid")
+    docs = numbered(Scratch(docs.sparkSession, "mixing"), docs, uid)
+    chosen = mix(docs, uid=uid, **more).where("repeats > 0").select(F.col("_uid").alias(uid), "size", "taken", "repeats")
+    return docs.drop("size", "taken", "repeats").join(chosen, uid).drop(uid)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -4,14 +4,18 @@ Texts become sets of hashed five-word shingles (a text of fewer words is one shi
 Documents with equal sets are one class; one representative goes on. `bands` chooses the
 numbers of bands and of rows per band: the most rows, within a budget of hash functions,
 for which a pair at the threshold shares a band with the target recall. Band hashes are
-shuffled. Within a bucket each member is linked to the bucket's least member, never to
-all others; connected components of these links hold every candidate pair. Inside a
-component all pairs are verified on the full shingle sets, which costs no pair rows: a
-large component is cut into blocks, each pair of blocks is a task of its own, and what
-leaves a task is a link count per document and a spanning forest of its links.
-
-The work of verifying is quadratic in the number of different sets of a component (not
-in copies); the rows that are moved are that square divided by BLOCK.
+shuffled. Every pair that shares a band, and no other, is verified on the full shingle
+sets, without pair rows. Which sets meet in a task for that depends on what moves fewer of
+them: components of buckets (each member linked to its bucket's least member) meet at
+once, which is best for groups of copies, or, where buckets only chain documents together,
+bucket by bucket. A pair that meets in several buckets belongs to its first common band.
+Components or buckets of more than BLOCK sets are cut into blocks, and each pair of blocks
+is a task of its own. What leaves a task is a link count per document and a spanning
+forest of its links.
+
+Link counts need all pairs of a bucket verified; that work is quadratic in the number of
+different sets of a bucket (not in copies); the rows that are moved are that square
+divided by BLOCK.
 
 Result: one row per document with class_id, the smallest doc_id of its class (connected
 by links), class_size and n_links, the number of other documents at or above the
@@ -29,13 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripforge.llm.common import Scratch, lookup, table, tune, with_uid
+from tripforge.llm.common import Scratch, free_name, lookup, numbered, table, tune
 from tripforge.llm.components import components
 from tripforge.llm.textvec import U, Words, mix, pieces, run_hashes
 
 N = 5
 THRESHOLD = 0.8
-RECALL = 0.995
+RECALL = 0.999
 HASHES = 256
 BLOCK = 256
 SIGNATURES = "_uid long, doc_id long, s1 long, s2 long, n int, bands array<long>"
@@ -105,12 +109,14 @@ def signatures(n: int, n_bands: int, n_rows: int):
 
 
 def set_rows(n: int):
+    """The shingle set of each row, beside its other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, offs, data in pieces(batches, "text"):
             row, h = shingle_sets(Words(offs, data), batch.num_rows, n)
             count = np.bincount(row, minlength=batch.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(h.view(np.int64)))
-            names = ["_uid", "weight", "root", "size"]
+            names = ["_uid", "weight", "bands", "work"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], [*names, "set"])
 
     return run
@@ -138,16 +144,20 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(uid: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[list, list]:
-    """Link counts (uid, n) and a spanning forest (u, v). Of two different blocks only
-    pairs across them count, as each block has a task of its own."""
+def links(uid: np.ndarray, weight: np.ndarray, block: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], at: int, threshold: float) -> tuple[list, list]:
+    """Link counts (uid, n) and a spanning forest (u, v) of pairs that share a band, with
+    `at` (not -1) as their first common one. Of two different blocks only pairs across
+    them count, as each block has a task of its own."""
     size = np.array([len(s) for s in sets], np.float64)
     both = shared(sets).astype(np.float64)
-    hit = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
-    np.fill_diagonal(hit, False)
+    hit = np.triu(both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6, 1)
     if block.min() != block.max():
         hit &= block[:, None] != block[None, :]
-    counts = hit @ weight
+    a, b = np.nonzero(hit)
+    same = bands[a] == bands[b]
+    met = same.any(1) & ((at < 0) | (same.argmax(1) == at))
+    a, b = a[met], b[met]
+    counts = np.bincount(a, weights=weight[b], minlength=len(uid)) + np.bincount(b, weights=weight[a], minlength=len(uid))
     parent = list(range(len(uid)))
 
     def root(x: int) -> int:
@@ -156,24 +166,31 @@ def links(uid: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.
         return x
 
     forest = []
-    for a, b in zip(*np.nonzero(np.triu(hit))):
-        x, y = root(a), root(b)
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = root(i), root(j)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            forest.append((int(uid[a]), int(uid[b])))
+            forest.append((int(uid[i]), int(uid[j])))
     return [(int(u), int(c)) for u, c in zip(uid, counts) if c], forest
 
 
+KEY = ("at", "key", "i", "j")
+
+
+def lists_of(col: pa.Array) -> list[np.ndarray]:
+    return np.split(col.flatten().to_numpy(), col.offsets.to_numpy()[1:-1] - col.offsets[0].as_py())
+
+
 def verified(threshold: float):
-    """Sorted by root, i, j: all rows of a pair of blocks follow each other."""
+    """Sorted by KEY: all rows of a pair of blocks follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             uid, weight, block = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("_uid", "weight", "block"))
-            sets = [s for p in parts for s in np.split(p.column("set").flatten().to_numpy(), p.column("set").offsets.to_numpy()[1:-1] - p.column("set").offsets[0].as_py())]
-            counts, forest = links(uid, weight, block, sets, threshold)
+            sets, bands = ([s for p in parts for s in lists_of(p.column(c))] for c in ("set", "bands"))
+            counts, forest = links(uid, weight, block, np.stack(bands), sets, parts[0].column("at")[0].as_py(), threshold)
             out = [(u, None, c) for u, c in counts] + [(u, v, None) for u, v in forest]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ((), (), ()))], ["u", "v", "links"])
 
@@ -181,7 +198,7 @@ def verified(threshold: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = np.stack([batch.column(c).to_numpy() for c in ("root", "i", "j")], 1)
+            k = np.stack([batch.column(c).to_numpy() for c in KEY], 1)
             cut = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, len(k)]
             for lo, hi in zip(cut[:-1], cut[1:]):
                 if held and tuple(k[lo]) != key:
@@ -195,34 +212,43 @@ def verified(threshold: float):
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(rows: _uid, doc_id, _key; one row per distinct set: _key, copies, class_id,
-    keep_uid, class_size, n_links)."""
-    spark = docs.sparkSession
+def meetings(keep: Scratch, reps: DataFrame) -> DataFrame:
+    """_uid, work: where a representative is verified: key (root of its component, at -1, or
+    a band) and into how many blocks the members there are cut."""
+    members = reps.select("rep", F.posexplode("bands").alias("at", "band"))
+    hubs = keep.write(members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1"), "hubs")
+    meets = keep.write(members.join(hubs, "band"), "meets")
+    groups = keep.write(components(meets.where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))), "candidates")
+    cuts = lambda k: F.ceil(F.col(k) / BLOCK).cast("int")
+    moved = hubs.join(groups, F.col("hub") == F.col("node")).groupBy("root").agg(F.sum(F.col("k") * cuts("k").cast("double")).alias("moved"))
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")).join(moved, "root")
+    sizes = sizes.select("root", "size", (F.col("moved") < F.col("size") * cuts("size")).alias("apart"))
+    groups = lookup(groups.withColumnRenamed("node", "_uid"), sizes, "root", ["size", "apart"], "size")
+    at_once = groups.where("not apart").select("_uid", F.struct(F.col("root").alias("key"), F.lit(-1).alias("at"), cuts("size").alias("cuts")).alias("w"))
+    apart = keep.write(groups.where("apart").select("_uid"), "apart")
+    apart = meets.join(apart, F.col("rep") == F.col("_uid"), "left_semi").select(F.col("rep").alias("_uid"), F.struct(F.col("band").alias("key"), "at", cuts("k").alias("cuts")).alias("w"))
+    return at_once.unionByName(apart).groupBy("_uid").agg(F.collect_list("w").alias("work"))  # at most one for each band
+
+
+def classes(texts: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """texts: a stored table of _uid, doc_id, text -> (rows: _uid, doc_id, _key; one row per
+    distinct set: _key, copies, class_id, keep_uid, class_size, n_links)."""
+    spark = texts.sparkSession
     tune(spark)
     keep = Scratch(spark, "near-join")
-    texts = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     signed = keep.write(texts.select("_uid", "doc_id", "text").mapInArrow(signatures(n, *bands(threshold, recall)), SIGNATURES), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid")
     reps = signed.groupBy("s1", "s2", "n").agg(F.min("_uid").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(order).alias("least"), F.first("bands").alias("bands"))
     reps = keep.write(reps, "representatives")
 
-    members = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "hub")
-    stars = members.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    groups = keep.write(components(stars), "candidates")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    groups = lookup(groups.withColumn("_uid", F.col("node")), sizes, "root", ["size"], "size").select("_uid", "root", "size")
-    groups = groups.join(reps.select(F.col("rep").alias("_uid"), F.col("copies").alias("weight")), "_uid")
-
-    sets = texts.select("_uid", "text").join(groups, "_uid").select("_uid", "text", "weight", "root", "size")
-    sets = sets.mapInArrow(set_rows(n), "_uid long, weight long, root long, size long, set array<long>")
-    cuts = F.ceil(F.col("size") / BLOCK).cast("int")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("_uid"), cuts).cast("int"))
-    other = F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
-    sets = sets.select("_uid", "weight", "root", "block", "set", other.alias("pair")).select("_uid", "weight", "root", "block", "set", "pair.i", "pair.j")
+    work = meetings(keep, reps).join(reps.select(F.col("rep").alias("_uid"), F.col("copies").alias("weight"), "bands"), "_uid")
+    sets = texts.select("_uid", "text").join(work, "_uid").select("_uid", "text", "weight", "bands", "work")
+    sets = sets.mapInArrow(set_rows(n), "_uid long, weight long, bands array<long>, work array<struct<key:long,at:int,cuts:int>>, set array<long>")
+    sets = sets.withColumn("w", F.explode("work")).select("_uid", "weight", "bands", "set", "w.*").withColumn("block", F.pmod(F.xxhash64("_uid"), "cuts").cast("int"))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
+    sets = sets.withColumn("pair", other).select("_uid", "weight", "bands", "set", "block", "at", "key", "pair.i", "pair.j")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = keep.write(sets.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(verified(threshold), FOUND), "links")
+    found = keep.write(sets.repartition(parts, *KEY).sortWithinPartitions(*KEY).mapInArrow(verified(threshold), FOUND), "links")
 
     roots = keep.write(components(found.where("v is not null").select("u", "v")), "classes").withColumnRenamed("node", "rep")
     near = found.where("links is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("others"))
@@ -235,18 +261,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return signed.select("_uid", "doc_id", F.concat_ws("-", "s1", "s2", "n").alias("_key")), table_
 
 
-def join(docs: DataFrame, **more) -> DataFrame:
+def _columns(id_col: str, text_col: str) -> list:
+    return [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_links."""
-    rows, found = classes(docs, **more)
+    texts = numbered(Scratch(docs.sparkSession, "near-join"), docs.select(*_columns(id_col, text_col)))
+    rows, found = classes(texts, **more)
     out = lookup(rows, found, "_key", ["class_id", "class_size", "n_links"], "copies")
     return out.select("doc_id", "class_id", "class_size", "n_links")
 
 
-def dedup(docs: DataFrame, **more) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs, with all their columns, of which one per class stays."""
-    _, found = classes(docs, **more)
-    stay = found.select(F.col("keep_uid").alias("_near_uid")).distinct()
-    return with_uid(docs, "_near_uid").join(stay, "_near_uid", "left_semi").drop("_near_uid")
+    uid = free_name(docs, "_near_uid")
+    docs = numbered(Scratch(docs.sparkSession, "near-join"), docs, uid)
+    _, found = classes(docs.select(F.col(uid).alias("_uid"), *_columns(id_col, text_col)), **more)
+    stay = found.select(F.col("keep_uid").alias(uid)).distinct()
+    return docs.join(stay, uid, "left_semi").drop(uid)
 
 
 def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,14 +14,16 @@ windows share, so that one row stands for many suffixes:
   pass 4  the windows themselves, of blocks that pass 3 leaves. Groups of two or more
           are exactly the repeated windows.
 
-Each pass groups by all digits so far (as 64-bit hashes, which are independent of those
-of the passes before) and drops groups of one. Hot digits are pre-aggregated, and joins
-back to the rows are plain left semi joins that adaptive execution splits.
+Passes 1 and 3 only say which windows can't have an equal, by 64-bit hashes: equal bytes
+have equal hashes, so nothing is lost there. What counts as equal, contexts and windows,
+is decided by 128-bit BLAKE2b digests of all their bytes. Each pass drops groups of one.
+The keys of groups that go on are stored, so that the semi joins with them have plain
+rows on both sides and adaptive execution splits a hot key's rows over tasks.
 
 Texts are UTF-8 bytes; matches never cross documents; overlapping occurrences count, in
 the same document too; strings are judged on the input. Nulls and empty texts have no
-bytes and keep the hash of nothing. Rows are told apart by position, so ids may be null
-or repeated. Longer texts cost memory in proportion (about 60 bytes a byte of a single
+bytes and keep the hash of nothing. Rows are told apart by a stored number, so ids may be
+null or repeated. Longer texts cost memory in proportion (about 60 bytes a byte of a single
 text).
 """
 
@@ -34,14 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripforge.llm.common import Scratch, table, tune, with_uid
+from tripforge.llm.common import Scratch, numbered, table, tune
 from tripforge.llm.textvec import _BASE, _INVERSE, U, mix, pieces, powers
 
 LENGTH = 400
 ANCHOR = 200
 BLOCK = 16
-ANCHORS = "_uid long, anchor long, context long, a int, b int, m int"
-BLOCKS = "anchor long, core long, _uid long, sole boolean, lo int, windows array<long>"
+ANCHORS = "_uid long, anchor long, c1 long, c2 long, a int, b int, m int"
+BLOCKS = "core long, _uid long, sole boolean, lo int, hi int"
+WINDOWS = "_uid long, sole boolean, s int, w1 long, w2 long"
 
 
 class Hashes:
@@ -59,6 +62,13 @@ class Hashes:
         return mix(out)
 
 
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128 bits for the bytes of each range, as two columns of numbers."""
+    raw, of = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    out = b"".join([of(raw[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), stop.tolist())])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """min(x[i : i + w]) for each i."""
     n = len(x)
@@ -105,69 +115,84 @@ def anchor_rows(length: int, k: int):
             if not len(row):
                 continue
             uid, base = batch.column("_uid").to_numpy()[row], offs[row]
-            anchor = hashes.of(m, m + k)
-            context = hashes.of(a, b + length, ((m - a) << 32 | (b - a)) + 1)
-            out = [uid, anchor.view(np.int64), context.view(np.int64), *((x - base).astype(np.int32) for x in (a, b, m))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["_uid", "anchor", "context", "a", "b", "m"])
+            anchor, context = hashes.of(m, m + k), digests(data, a, b + length)
+            out = [uid, anchor.view(np.int64), context[:, 0], context[:, 1], *((x - base).astype(np.int32) for x in (a, b, m))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["_uid", "anchor", "c1", "c2", "a", "b", "m"])
 
     return run
 
 
+def listed(batch: pa.RecordBatch, offs: np.ndarray, name: str, *fields: str) -> tuple[np.ndarray, ...]:
+    """The row and the fields of all entries of a column of lists of structs."""
+    lists = batch.column(name)
+    per, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+    row = np.repeat(np.arange(batch.num_rows), per)
+    return row, offs[row], *(flat.field(x).to_numpy(zero_copy_only=False) for x in fields)
+
+
 def block_rows(length: int, size: int):
     """The blocks of the runs that each document still has in the sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, offs, data in pieces(batches, "text", 1 << 19):
-            lists = batch.column("runs")
-            per, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), per)
-            anchor, a, b, m = (flat.field(x).to_numpy() for x in ("anchor", "a", "b", "m"))
-            sole = flat.field("sole").to_numpy(zero_copy_only=False)
-            base = offs[row]
+            row, base, anchor, a, b, m, sole = listed(batch, offs, "runs", "anchor", "a", "b", "m", "sole")
             a, b, m = a + base, b + base, m + base
             q0, q1 = (m - b) // size, (m - a) // size
             each = q1 - q0 + 1
             r = np.repeat(np.arange(len(a)), each)
             q = np.arange(len(r)) - np.repeat(np.cumsum(each) - each, each) + q0[r]
             lo, hi = np.maximum(a[r], m[r] - size * q - size + 1), np.minimum(b[r], m[r] - size * q)
-            hashes = Hashes(data)
-            core = hashes.of(m[r] - size * q, m[r] - size * q - size + 1 + length, q + 7)
-            count = hi - lo + 1
-            w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            windows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(hashes.of(w, w + length, 3).view(np.int64)))
+            core = Hashes(data).of(m[r] - size * q, m[r] - size * q - size + 1 + length, q + 7)
             core = (core ^ mix(anchor[r].view(U))).view(np.int64)
             uid = batch.column("_uid").to_numpy()
-            out = [pa.array(anchor[r]), pa.array(core), pa.array(uid[row[r]]), pa.array(sole[r]), pa.array((lo - base[r]).astype(np.int32)), windows]
-            yield pa.RecordBatch.from_arrays(out, ["anchor", "core", "_uid", "sole", "lo", "windows"])
+            out = [core, uid[row[r]], sole[r], (lo - base[r]).astype(np.int32), (hi - base[r]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["core", "_uid", "sole", "lo", "hi"])
+
+    return run
+
+
+def window_rows(length: int):
+    """The windows of the blocks that each document still has in the sort."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, offs, data in pieces(batches, "text", 1 << 19):
+            row, base, sole, lo, hi = listed(batch, offs, "blocks", "sole", "lo", "hi")
+            count = (hi - lo + 1).astype(np.int64)
+            s = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            at, uid = s + np.repeat(base, count), batch.column("_uid").to_numpy()
+            key = digests(data, at, at + length)
+            out = [np.repeat(uid[row], count), np.repeat(sole, count), s.astype(np.int32), key[:, 0], key[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["_uid", "sole", "s", "w1", "w2"])
 
     return run
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """docs: _uid, text -> _uid, spans: byte ranges (start << 32 | end) of repeated strings,
-    unordered and overlapping, for documents with any."""
-    spark = docs.sparkSession
-    keep = Scratch(spark, "repeats")
-    first = keep.write(docs.select("_uid", "text").mapInArrow(anchor_rows(length, anchor), ANCHORS), "anchors")
-    again = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    left = keep.write(first.join(again, "anchor", "left_semi"), "left")
-    keep.drop("anchors")
-    occurrence = F.struct("_uid", "a", "b", "m")
-    contexts = keep.write(left.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("x")), "contexts")
+    """docs: a stored table of _uid, text -> _uid, spans: byte ranges (start << 32 | end) of
+    repeated strings, unordered and overlapping, for documents with any."""
+    keep = Scratch(docs.sparkSession, "repeats")
+    several = lambda rows, *by: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
     span = lambda lo, hi: (F.shiftleft(lo.cast("long"), 32) + hi.cast("long")).alias("span")
-    copies = left.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    texts = docs.select("_uid", "text")
+
+    first = keep.write(texts.mapInArrow(anchor_rows(length, anchor), ANCHORS), "anchors")
+    left = keep.write(first.join(keep.write(several(first, "anchor"), "again"), "anchor", "left_semi"), "left")
+    keep.drop("anchors")
+    context = ["anchor", "c1", "c2"]
+    contexts = keep.write(left.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_uid", "a", "b", "m")).alias("x")), "contexts")
+    copies = left.join(contexts.where("n > 1").select(*context), context, "left_semi")
     copies = copies.select("_uid", span(F.col("a"), F.col("b") + length))
 
-    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    reps = contexts.join(several, "anchor", "left_semi").select("x._uid", F.struct("anchor", "x.a", "x.b", "x.m", (F.col("n") == 1).alias("sole")).alias("r"))
+    reps = contexts.join(keep.write(several(contexts, "anchor"), "open"), "anchor", "left_semi")
+    reps = reps.select("x._uid", F.struct("anchor", "x.a", "x.b", "x.m", (F.col("n") == 1).alias("sole")).alias("r"))
     reps = reps.groupBy("_uid").agg(F.collect_list("r").alias("runs"))  # no more than a document has bytes
-    blocks = keep.write(docs.select("_uid", "text").join(reps, "_uid").mapInArrow(block_rows(length, max(1, min(BLOCK, length // 2))), BLOCKS), "blocks")
-    shared = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    windows = blocks.join(shared, "core", "left_semi").select("_uid", "anchor", "sole", "lo", F.posexplode("windows").alias("i", "window"))
-    windows = keep.write(windows.select("_uid", "anchor", "sole", (F.col("lo") + F.col("i")).alias("s"), "window"), "windows")
+    blocks = keep.write(texts.join(reps, "_uid").mapInArrow(block_rows(length, max(1, min(BLOCK, length // 2))), BLOCKS), "blocks")
+    live = blocks.join(keep.write(several(blocks, "core"), "cores"), "core", "left_semi")
+    live = live.groupBy("_uid").agg(F.collect_list(F.struct("sole", "lo", "hi")).alias("blocks"))
+    windows = keep.write(texts.join(live, "_uid").mapInArrow(window_rows(length), WINDOWS), "windows")
     keep.drop("blocks")
-    equal = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
-    partly = windows.where("sole").join(equal, ["anchor", "window"], "left_semi").select("_uid", span(F.col("s"), F.col("s") + length))
+    equal = keep.write(several(windows, "w1", "w2"), "equal")
+    partly = windows.where("sole").join(equal, ["w1", "w2"], "left_semi").select("_uid", span(F.col("s"), F.col("s") + length))
     return copies.unionByName(partly).groupBy("_uid").agg(F.collect_list("span").alias("spans"))
 
 
@@ -202,7 +227,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: _uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept
     (the remaining bytes; a cut may fall within a character, hence binary)."""
     tune(docs.sparkSession)
-    texts = with_uid(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = numbered(Scratch(docs.sparkSession, "repeats"), texts)
     spans = repeated(texts, length, anchor or max(1, length // 2))
     schema = "_uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return texts.join(spans, "_uid", "left").select("_uid", "doc_id", "text", "spans").mapInArrow(cut_rows(with_text), schema)

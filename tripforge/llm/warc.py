@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripforge.llm.common import fresh_dir, lookup, table, tune, with_uid
+from tripforge.llm.common import Scratch, fresh_dir, lookup, numbered, table, tune
 
 ARCHIVE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -55,7 +55,8 @@ def sha1_text(data: bytes) -> str:
 
 def planned(pages: DataFrame, id_col: str, url_col: str, text_col: str, min_bytes: int) -> DataFrame:
     """Each page with its payload, digest, record type and the response that it repeats."""
-    rows = with_uid(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = numbered(Scratch(pages.sparkSession, "warc"), rows)
     rows = rows.withColumn("bytes", F.octet_length("text").cast("long")).withColumn("digest", base32_sha1(F.encode("text", "UTF-8")))
     rows = rows.withColumn("_key", F.concat_ws("-", "digest", "bytes"))
     order = F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "_uid")
