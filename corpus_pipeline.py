@@ -6,10 +6,10 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tripforge.llm import decontaminate, exact_dedup, mixing, near_join, toxicity
-from tripforge.llm.common import Scratch, table, with_uid
+from tripforge.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with how often and for how many words each is taken."""
-    chosen = mixing.mix(docs).where("repeats > 0").select(F.col("_uid").alias("_mix_uid"), "size", "taken", "repeats")
-    return with_uid(docs, "_mix_uid").join(chosen, "_mix_uid").drop("_mix_uid")
+    return mixing.select(docs)
 
 
 STAGES = [
