@@ -2,8 +2,10 @@
 
 The nodes of the model are a page's block elements and, as their leaves, the runs of
 text in them. Each node is content or not. A node has a potential from its own features
-(tag, words of class, id and role, length, share of link text, punctuation, depth),
-and each parent-child edge one that depends on the parent's tag. The sum-product
+(tag, words of class, id and role, length, punctuation; of elements also their share of
+the page's text, where they stand in it, their share of link text, paragraphs, headings,
+and whether they are or hold a row of elements of the same kind, as comments are), and
+each parent-child edge one that depends on the parent's tag. The sum-product
 algorithm passes messages from the leaves to the root and back, which gives every node's
 exact marginal; leaves with a marginal of at least 1/2 are the text.
 
@@ -12,18 +14,20 @@ of pages of many layouts, in which each element is known to be content or not. U
 potentials are logistic weights (relative to the labels' shares), edge potentials are
 smoothed counts.
 
-Nulls: a null html is an empty page and has the empty text. Truncated pages, unclosed or
-stray tags and unknown entities are read as browsers do, roughly: text is never lost
-because of broken markup around it.
+Nulls: a null html is an empty page and has the empty text. Tags, attributes, comments and
+unknown entities are read as browsers do, in time linear in the page's length; of tags
+left open or stray the text stays. A quote in an attribute that nothing closes ends with
+its tag, and a tag that the end of the page cuts off is no text.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,15 +45,28 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Start tags that end an open element, up to the given ancestors.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements that may stand in a head; any other ends it.
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+#: What ends the search for an open paragraph.
+SCOPE = ("td", "th", "table", "li", "div", "article", "section", "blockquote", "main")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+GAP = re.compile(r"[\s/]*")
+KEY = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
+CLOSING = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in sorted(RAW)}
 WORD = re.compile(r"[a-z]+|\d+")
 SPACE = re.compile(r"[\s\x00-\x20]+")
 CONTENT = 0.5
 #: Log odds of the root, which holds the content if there is any.
 ROOT = 8.0
-#: Leaves of one page resemble each other; so much of their potentials counts.
+#: Leaves and paragraphs of one page resemble each other; so much of their potentials counts.
 LEAF = 0.3
+#: Features of fewer nodes of the training pages get no weight.
+RARE = 8
+#: Together, elements of a kind in a row, or all leaves of one part of a page, count as much
+#: as so many: they are no independent evidence.
+ALIKE = 4
 
 
 @dataclass
@@ -64,109 +81,199 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
-def parse(page: str) -> list[Node]:
-    """Block elements and text leaves in page order; node 0 is the root."""
+class Tags:
+    """The tags of a page, one after the other."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """Those of a tag whose name ends there, and where the tag ends; -1 if it doesn't."""
+        page, out = self.page, []
+        while True:
+            at = GAP.match(page, at).end()
+            if at >= len(page):
+                return out, -1
+            if page[at] == ">":
+                return out, at + 1
+            key = KEY.match(page, at)
+            at, value = key.end(), ""
+            if (equals := EQUALS.match(page, at)) is not None:
+                at = equals.end()
+                quote = page[at : at + 1]
+                if quote in self.last and at < self.last[quote]:
+                    stop = page.index(quote, at + 1)
+                    value, at = page[at + 1 : stop], stop + 1
+                else:
+                    bare = BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            out.append((key[0].lower(), value))
+
+    def all(self) -> Iterator[tuple[str, str, list, int]]:
+        """(text before, name or /name or empty, attributes, where the tag ends)."""
+        page, begin, at = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0:
+            stop, tag, found, more, start = -1, "", [], "", at
+            nxt = page[at + 1 : at + 2]
+            if nxt == "!" and page.startswith("<!--", at):
+                if page.startswith(("<!-->", "<!--->"), at):
+                    stop = page.index(">", at) + 1
+                else:
+                    ends = [k + len(x) for x in ("-->", "--!>") if (k := page.find(x, at + 4)) >= 0]
+                    stop = min(ends, default=-1)
+            elif nxt == "!" and page.startswith("<![CDATA[", at):
+                k = page.find("]]>", at)
+                more = html.escape(page[at + 9 : k if k >= 0 else len(page)])
+                stop = k + 3 if k >= 0 else -1
+            elif name := NAME.match(page, at + 1 if nxt != "/" else at + 2):
+                found, stop = self.attributes(name.end())
+                tag = "/" * (nxt == "/") + name[0].lower() if stop >= 0 else ""
+            elif nxt in ("!", "?", "/") and nxt:
+                stop = page.find(">", at) + 1 or -1
+            else:
+                at += 1
+                continue
+            self.at = at = stop if stop >= 0 else len(page)
+            yield page[begin:start] + more, tag, found, at
+            begin = at = max(at, self.at)
+        yield page[begin:], "", [], len(page)
+
+
+def parse(page: str, labels: bool = False) -> list[Node]:
+    """Block elements and text leaves in page order; node 0 is the root. labels: takes the
+    attribute x-label of training pages."""
     nodes = [Node("#root", -1, 0)]
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, node that its text belongs to, skipped
+    open_: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
     run: list[str] = []
-    state = {"links": 0}
+    links = 0
 
     def flush() -> None:
+        nonlocal links
         if run:
             text = SPACE.sub(" ", html.unescape("".join(run))).strip()
             if text:
                 at = stack[-1][1]
-                nodes.append(Node("#text", at, nodes[at].depth + 1, (), None, text, min(state["links"], len(text))))
+                nodes.append(Node("#text", at, nodes[at].depth + 1, (), None, text, min(links, len(text))))
                 nodes[at].children.append(len(nodes) - 1)
             run.clear()
-        state["links"] = 0
+        links = 0
 
     def close(k: int) -> None:
         if any(t not in INLINE for t, _, _ in stack[k:]):
             flush()
+        for t, _, _ in stack[k:]:
+            open_[t].pop()
         del stack[k:]
 
     def add(text: str) -> None:
+        nonlocal links
         if text and not stack[-1][2]:
             run.append(text)
-            if any(t == "a" for t, _, _ in stack[-4:]):
-                state["links"] += len(text)
-
-    at, n = 0, len(page)
-    while at < n:
-        found = TOKEN.search(page, at)
-        if not found:
-            rest = page[at:]
-            cut = re.search(r"<[/a-zA-Z!]", rest)
-            add(rest if not cut else rest[: cut.start()])
-            break
-        add(page[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            if found[0].startswith("<![CDATA["):
-                add(html.escape(found[0][9:-3]))
+            if open_["a"]:
+                links += len(text)
+
+    innermost = lambda names: max((open_[t][-1] for t in names if open_[t]), default=0)
+    tags = Tags(page)
+    for text, tag, found, at in tags.all():
+        add(text)
+        if not tag:
             continue
-        tag = tag.lower()
-        if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+        if tag[0] == "/":
+            if open_[tag[1:]]:
+                close(open_[tag[1:]][-1])
             continue
         if tag == "br":
             add(" ")
             continue
+        if open_["head"] and tag not in HEAD:
+            close(open_["head"][-1])
         if tag not in INLINE:
             flush()
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in ("td", "th", "table", "li", "div", "article", "section", "blockquote", "main"):
-                    break
+        if tag in CLOSES_P and innermost(["p"]) > innermost(SCOPE):
+            close(open_["p"][-1])
         if tag in ENDS:
             ended, stop = ENDS[tag]
-            last = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stop:
-                    break
-                if stack[k][0] in ended:
-                    last = k
-            if last is not None:
-                close(last)
+            bound = innermost(stop)
+            ends = [open_[t][k] for t in ended if (k := bisect.bisect(open_[t], bound)) < len(open_[t])]
+            if ends:
+                close(min(ends))
+        if tag == "a" and open_["a"] and all(t in INLINE for t, _, _ in stack[max(open_["a"][-1], len(stack) - 8) :]):
+            close(open_["a"][-1])
         if tag in VOID:
             continue
         skipped = stack[-1][2] or tag in SKIPPED
         if tag == "body":
             skipped = False
-            del stack[1:]
+            close(1)
         own = stack[-1][1]
         if tag not in INLINE and not skipped:
             marks, label = [], None
-            for a in ATTRIBUTE.finditer(found[3]):
-                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            for key, value in found:
                 if key in ("class", "id", "role"):
-                    marks += [f"{key[0]}:{w}" for w in WORD.findall(value.lower())]
+                    marks += [f"{key[0]}:{w}" for w in WORD.findall(html.unescape(value).lower())]
                 elif key == "hidden":
                     marks.append("hidden")
-                elif key == "x-label":
+                elif key == "x-label" and labels:
                     label = int(value)
             nodes.append(Node(tag, own, nodes[own].depth + 1, tuple(marks), label))
             nodes[own].children.append(len(nodes) - 1)
             own = len(nodes) - 1
+        open_[tag].append(len(stack))
         stack.append((tag, own, skipped))
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            end = CLOSING[tag].search(page, at)
+            tags.at = end.start() if end else len(page)
             if not skipped:
-                add(page[at : end.start() if end else n])
-            at = end.start() if end else n
+                add(page[at : tags.at])
     flush()
     return nodes
 
 
-def features(nodes: list[Node], k: int) -> list[str]:
+#: Elements of which several of a kind in a row are a list of comments, teasers or the like.
+ROWS = frozenset("div li article section aside dl".split())
+#: Elements that hold parts of pages: their subtrees are measured.
+MEASURED = ROWS | frozenset("main form ul ol table".split())
+
+
+class Measures:
+    """Of each node's subtree: text, text in links, paragraphs, headings; the text before
+    it; how many children in a row of the same kind it has, or its parent has; and how many
+    nodes are as good as the same evidence."""
+
+    def __init__(self, nodes: list[Node]):
+        n = len(nodes)
+        self.text, self.links = [len(x.text or "") for x in nodes], [x.links for x in nodes]
+        self.paras, self.heads = [int(x.tag == "p") for x in nodes], [int(x.tag in ("h1", "h2", "h3", "h4")) for x in nodes]
+        self.before, self.rows, self.twins = [0] * n, [0] * n, [0] * n
+        total = 0
+        for k, x in enumerate(nodes):
+            self.before[k] = total
+            total += self.text[k]
+        for k in range(n - 1, 0, -1):
+            up = nodes[k].parent
+            for of in (self.text, self.links, self.paras, self.heads):
+                of[up] += of[k]
+        for k, x in enumerate(nodes):
+            kinds: dict[tuple, int] = {}
+            for c in x.children:
+                y = nodes[c]
+                if y.tag in ROWS and self.text[c]:
+                    kinds[y.tag, y.marks] = kinds.get((y.tag, y.marks), 0) + 1
+            if kinds:
+                self.rows[k] = max(kinds.values())
+                for c in x.children:
+                    self.twins[c] = kinds.get((nodes[c].tag, nodes[c].marks), 0)
+        part, leaves = list(range(n)), [0] * n
+        for k, x in enumerate(nodes):
+            if k and x.tag not in MEASURED:
+                part[k] = part[x.parent]
+            leaves[part[k]] += x.tag == "#text"
+        self.alike = [max(1, self.twins[k] if x.tag in MEASURED else leaves[part[k]]) for k, x in enumerate(nodes)]
+
+
+def features(nodes: list[Node], k: int, m: Measures) -> list[str]:
     x = nodes[k]
     if x.tag == "#text":
         n, up = len(x.text), nodes[x.parent]
@@ -180,26 +287,31 @@ def features(nodes: list[Node], k: int) -> list[str]:
             out.append("bars")
         return out
     out = [f"tag:{x.tag}", *dict.fromkeys(x.marks)]
-    out += [f"any:{m.split(':')[-1]}" for m in dict.fromkeys(x.marks)]
+    out += [f"any:{w.split(':')[-1]}" for w in dict.fromkeys(x.marks)]
+    if x.tag in MEASURED:
+        whole, own = max(1, m.text[0]), m.text[k]
+        rows, twins = min(3, m.rows[k]), min(3, m.twins[k])
+        where = "first" if m.before[k] + own < 0.15 * whole else "last" if m.before[k] > 0.5 * whole else "middle"
+        out += [f"share:{min(4, int(5 * own / whole))}", f"where:{where}", f"links:{int(3 * m.links[k] / max(1, own))}", f"rows:{rows}:{min(2, m.heads[k])}", f"twins:{twins}:{m.heads[k] > 0}:{where}"]
+        out += [f"paras:{min(3, m.paras[k])}", f"mean:{min(8, int(math.log2(own / max(1, m.paras[k]) + 1)))}"]
     return out
 
 
-def own_text(nodes: list[Node]) -> list[int]:
-    total = [len(x.text or "") for x in nodes]
-    for k in range(len(nodes) - 1, 0, -1):
-        total[nodes[k].parent] += total[k]
-    return total
-
-
 class Model:
     def __init__(self, weights: dict[str, float], edges: dict[str, tuple], bias: float):
         self.weights, self.edges, self.bias = weights, edges, bias
 
+    def unary(self, nodes: list[Node]) -> list[float]:
+        """The potential of each node, as log odds."""
+        n, m = len(nodes), Measures(nodes)
+        unary = [self.bias + sum(self.weights.get(f, 0.0) for f in features(nodes, k, m)) for k in range(n)]
+        unary = [u * (1 if x.tag in MEASURED else LEAF) * min(1, ALIKE / a) for u, x, a in zip(unary, nodes, m.alike)]
+        unary[0] += ROOT
+        return unary
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of each node: messages up, then down (as log odds and log ratios)."""
-        n = len(nodes)
-        unary = [self.bias + sum(self.weights.get(f, 0.0) for f in features(nodes, k)) for k in range(n)]
-        unary = [u * LEAF if x.tag == "#text" else u for u, x in zip(unary, nodes)]
+        n, unary = len(nodes), self.unary(nodes)
         other = self.edges["*"]
         up, belief = [0.0] * n, unary[:]
         exp, log = math.exp, math.log
@@ -216,7 +328,6 @@ class Model:
             p = nodes[k].parent
             up[k] = through(self.edges.get(nodes[p].tag, other), belief[k], False)
             belief[p] += up[k]
-        belief[0] += ROOT
         for k in range(1, n):
             p = nodes[k].parent
             belief[k] += through(self.edges.get(nodes[p].tag, other), belief[p] - up[k], True)
@@ -293,8 +404,16 @@ class _Writer:
         elif group == "footer":
             inner = r.choice(["&copy; " + self.words(2, 6) + " &middot; " + self.sentences(1, 1), self.links(0), self.el("p", 0, "&copy; 2020 " + self.words(1, 5))])
         elif group == "comments":
-            inner = "".join(self.el(r.choice(["div", "li", "p", "article"]), 0, self.el("p", 0, self.sentences(1, 4)), r.choice(["comments", None])) for _ in range(r.randint(1, 6)))
-            inner = self.el("h3", 0, self.words(1, 2)) + inner
+            kind, named = r.choice(["div", "div", "li", "article", "section"]), r.choice(["comments", None, None])
+            who = r.choice([lambda: self.el("p", 0, self.words(1, 2)), lambda: f"<b>{self.word()}</b> <small>{r.randint(1, 12)} {self.word()}</small>", lambda: self.el("div", 0, f'<a href="#">{self.word()}</a>'), lambda: ""])
+            names = f' class="{self.word()}-{self.word()}"' if named is None and r.random() < 0.5 else ""
+            each = [who() + self.el("p", 0, self.sentences(1, 4)) * r.choice([1, 1, 2]) for _ in range(r.randint(1, 9))]
+            inner = "".join(self.el(kind, 0, x, named) if named else f'<{kind}{names} x-label="0">{x}</{kind}>' for x in each)
+            inner = (self.el(r.choice(["h2", "h3"]), 0, self.words(1, 2)) if r.random() < 0.8 else "") + inner
+            if r.random() < 0.5:
+                names = f' {r.choice(["class", "id"])}="{self.word()}-{self.word()}"' if r.random() < 0.7 else ""
+                tag = r.choice(["div", "section", "ol", "ul"] if kind == "li" else ["div", "div", "section", "aside"])
+                return f'<{tag}{names} x-label="0">{inner}</{tag}>'
         elif group == "form":
             inner = f'<label>{self.words(1, 3)}</label><input name="q"><button>{self.word()}</button>' + (self.el("p", 0, self.sentences(1, 1)) if r.random() < 0.4 else "")
         elif group == "header":
@@ -313,10 +432,13 @@ class _Writer:
 
     def article(self) -> str:
         r, out = self.r, []
+        if r.random() < 0.12:
+            short = self.words(1, 4).capitalize() + r.choice([".", ""])
+            return self.el("h1", 1, short) + self.el("p", 1, self.inline(r.choice([short, self.sentences(1, 2)])))
         if r.random() < 0.8:
             h = self.el("h1", 1, self.words(2, 9) + r.choice(["", "."]))
             out.append(self.el("header", 1, h) if r.random() < 0.08 else h)
-        for _ in range(r.randint(1, 12)):
+        for _ in range(r.choice([3, 8, 12, 12, r.randint(20, 120)]) if r.random() < 0.5 else r.randint(1, 12)):
             k = r.random()
             if k < 0.78:
                 out.append(self.el("p", 1, self.inline(self.sentences(1, 7)), None, r.random() < 0.8))
@@ -326,7 +448,11 @@ class _Writer:
                 out.append(self.el(r.choice(["ul", "ol"]), 1, "".join(self.el("li", 1, self.inline(self.sentences(1, 2)), None, r.random() < 0.7) for _ in range(r.randint(2, 5)))))
             elif k < 0.93:
                 out.append(self.el("blockquote", 1, self.el("p", 1, self.sentences(1, 3)) if r.random() < 0.6 else self.sentences(1, 2)))
-            elif k < 0.95:
+            elif k < 0.94:
+                parts = [self.el("h2", 1, self.words(1, 6)) + "".join(self.el("p", 1, self.inline(self.sentences(2, 7))) for _ in range(r.randint(1, 4))) for _ in range(r.randint(2, 4))]
+                kind = r.choice(["section", "div"])
+                out.append("".join(self.el(kind, 1, x) for x in parts))
+            elif k < 0.955:
                 out.append(self.el("table", 1, "".join(self.el("tr", 1, "".join(self.el("td", 1, self.words(1, 4)) for _ in range(3))) for _ in range(r.randint(2, 4)))))
             elif k < 0.97:
                 out.append(self.el("figure", 1, self.el("figcaption", 1, self.sentences(1, 1))))
@@ -354,20 +480,22 @@ def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
 
 
 def train(pages: list[str], ridge: float = 0.3) -> Model:
-    number: dict[str, int] = {}
     same: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
     pairs: dict[str, np.ndarray] = defaultdict(lambda: np.ones((2, 2)) * 0.5)
-    for nodes in map(parse, pages):
+    for nodes in (parse(page, True) for page in pages):
+        m = Measures(nodes)
         for k, x in enumerate(nodes):
             if x.label is None:
                 x.label = nodes[x.parent].label if x.parent >= 0 else 1
             if k:
                 for tag in (nodes[x.parent].tag, "*"):
                     pairs[tag][nodes[x.parent].label, x.label] += 1
-                same[tuple(number.setdefault(f, len(number)) for f in features(nodes, k))][x.label] += 1
+                same[tuple(features(nodes, k, m))][x.label] += 1
+    often = Counter(f for r, c in same.items() for f in r for _ in range(sum(c)))
+    number = {f: i for i, f in enumerate(f for f, c in often.items() if c >= RARE)}
     x = np.zeros((len(same), len(number) + 1))
     for i, r in enumerate(same):
-        x[i, list(r)] = 1
+        x[i, [number[f] for f in r if f in number]] = 1
     x[:, -1] = 1
     count = np.array(list(same.values()), float)
     n, y = count.sum(1), count[:, 1]
@@ -375,7 +503,10 @@ def train(pages: list[str], ridge: float = 0.3) -> Model:
     penalty[-1, -1] = 1e-6
     for _ in range(15):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (n * p * (1 - p) + 1e-6)[:, None]).T @ x + penalty, x.T @ (n * p - y) + penalty @ w)
+        step = np.linalg.solve((x * (n * p * (1 - p) + 1e-6)[:, None]).T @ x + penalty, x.T @ (n * p - y) + penalty @ w)
+        w -= step
+        if np.abs(step).max() < 1e-3:
+            break
     # the shares of the labels are what the edges say already
     bias = w[-1] - math.log(y.sum() / (n.sum() - y.sum()))
     edges = {t: (c[0, 1] / c[0].sum(), c[1, 1] / c[1].sum()) for t, c in pairs.items()}

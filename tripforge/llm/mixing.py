@@ -10,8 +10,8 @@ broadcast, so no shuffle is by pattern and a hot source isn't a hot key. Then do
 often as its flow holds the whole pattern, and for the rest documents in the order of a
 seeded hash of id and text. A document that doesn't fit into what is missing to the quota
 is passed over, and the order goes on until no document fits that isn't chosen. What is
-missing then is filled the same way by one more use of chosen documents, and at last a
-document that doesn't fit is taken if that comes nearer. Where documents stop to fit is found by a
+missing then is filled the same way by one more use of chosen documents, up to `most`, and
+at last a document that doesn't fit is taken once more if that comes nearer. Where documents stop to fit is found by a
 histogram over BINS hash ranges; the ranges from there on, WALK rows of a pattern or one
 range at a time, are walked through in a task, so no task sees a whole source.
 
@@ -242,21 +242,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     params = [(list(p), sizes.get(p[0]) if p else None, wanted.get(p[0]) if p else None, n // size if size else 0, n % size if size else 0) for p, (size, n) in take.items()]
     rows = rows.join(F.broadcast(spark.createDataFrame(params, schema)), "pattern")
 
-    gaps = {p: n % size for p, (size, n) in take.items() if size and n % size}
-    spans, parts, gaps = along(rows, gaps)
-    rows = keep.write(taken_along(rows, spans, parts).withColumn("chosen", (F.col("rest") > 0) & F.col("fits")).drop("fits"), "chosen")
-    again = F.col("chosen") & (F.col("base") + 2 <= most)
-    if gaps := {p: g for p, g in gaps.items() if g > 0}:  # further uses of what is chosen
-        spans, parts, gaps = along(rows.where(again), gaps)
-    else:
-        spans, parts = {}, {}
-    rows = taken_along(rows, spans, parts)
+    gaps, rows = {p: n % size for p, (size, n) in take.items() if size and n % size}, rows.withColumn("uses", F.col("base"))
+    for level in range(most):  # fresh documents, then one more use of those, and so on
+        open_ = (F.col("uses") == F.col("base") + level) & (F.col("uses") < most)
+        spans, parts, gaps = along(rows.where(open_), gaps)
+        fits = taken_along(rows, spans, parts).withColumn("uses", F.col("uses") + F.when(open_ & F.col("fits"), 1).otherwise(0))
+        rows = keep.write(fits.drop("fits"), f"uses-{level}")
+        if not (gaps := {p: g for p, g in gaps.items() if g > 0}):
+            break
     fills: list[int] = []
-    if gaps := {p: g for p, g in gaps.items() if g > 0}:  # one more, if that comes nearer
+    if gaps:  # one more, if that comes nearer
         gap = spark.createDataFrame([(list(p), g) for p, g in gaps.items()], "pattern array<string>, gap long")
-        free = rows.where("not chosen").join(F.broadcast(gap), "pattern").where("size > gap and size < 2 * gap")
-        fills = [r.x._uid for r in free.groupBy("pattern").agg(F.min(F.struct("size", "h", "doc_id", "_uid")).alias("x")).collect()]
-    repeats = F.col("base") + F.when(F.col("chosen") | F.col("_uid").isin(fills), 1).otherwise(0) + F.when(again & F.col("fits"), 1).otherwise(0)
+        free = rows.where(F.col("uses") < most).join(F.broadcast(gap), "pattern").where("size > gap and size < 2 * gap")
+        fills = [r.x._uid for r in free.groupBy("pattern").agg(F.min(F.struct("size", "uses", "h", "doc_id", "_uid")).alias("x")).collect()]
+    repeats = F.col("uses") + F.when(F.col("_uid").isin(fills), 1).otherwise(0)
     return rows.select("_uid", "doc_id", "pattern", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 

@@ -144,14 +144,14 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(uid: np.ndarray, weight: np.ndarray, block: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], at: int, threshold: float) -> tuple[list, list]:
+def links(uid: np.ndarray, weight: np.ndarray, block: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], at: int, across: bool, threshold: float) -> tuple[list, list]:
     """Link counts (uid, n) and a spanning forest (u, v) of pairs that share a band, with
-    `at` (not -1) as their first common one. Of two different blocks only pairs across
-    them count, as each block has a task of its own."""
+    `at` (not -1) as their first common one. across: the task is of two different blocks
+    (one may be empty), and only pairs across them count, as each has a task of its own."""
     size = np.array([len(s) for s in sets], np.float64)
     both = shared(sets).astype(np.float64)
     hit = np.triu(both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6, 1)
-    if block.min() != block.max():
+    if across:
         hit &= block[:, None] != block[None, :]
     a, b = np.nonzero(hit)
     same = bands[a] == bands[b]
@@ -190,7 +190,8 @@ def verified(threshold: float):
         def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             uid, weight, block = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("_uid", "weight", "block"))
             sets, bands = ([s for p in parts for s in lists_of(p.column(c))] for c in ("set", "bands"))
-            counts, forest = links(uid, weight, block, np.stack(bands), sets, parts[0].column("at")[0].as_py(), threshold)
+            at, _, i, j = (parts[0].column(c)[0].as_py() for c in KEY)
+            counts, forest = links(uid, weight, block, np.stack(bands), sets, at, i != j, threshold)
             out = [(u, None, c) for u, c in counts] + [(u, v, None) for u, v in forest]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ((), (), ()))], ["u", "v", "links"])
 

@@ -26,14 +26,13 @@ null id counts as empty text for the split and has no label.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripforge.llm.common import remainder, table, tune
+from tripforge.llm.common import Scratch, remainder, table, tune
 from tripforge.llm.textvec import Words, byte_table, pieces
 
 SAMPLE = 20_000
@@ -47,6 +46,8 @@ LOOSE = 0.05
 #: A term's first letters may be a term: from this many on.
 STEM = 4
 CACHE = 1 << 20
+#: The automaton is built anew, from its start, when it has more states.
+STATES = 1 << 16
 
 #: Word characters: letters, digits, all beyond ASCII, and marks that stand in for letters.
 TOKEN = byte_table([(0x00, 0x20), (0x22, 0x23), (0x25, 0x29), (0x2B, 0x2F), (0x3A, 0x3F), (0x5B, 0x60), (0x7B, 0x7F)])
@@ -175,6 +176,8 @@ class Lexicon:
         uniq, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
         term, cost = np.full(len(uniq), -1, np.int64), np.zeros(len(uniq), np.int64)
         raw = words.bytes.tobytes()
+        if len(self.keys) > STATES:
+            self.start()
         for i, (s, e) in enumerate(zip(words.start[first].tolist(), words.end[first].tolist())):
             token = raw[s:e]
             got = self.cache.get(token)
@@ -199,15 +202,31 @@ class Marks:
         of = lambda at, k, *last: at[np.isin(data[at + k], last)]
         self.pairs = [(of(two, 1, 0xAB), of(two, 1, 0xBB)), (of(three, 2, 0x9C, 0x9E), of(three, 2, 0x9D))]
 
+    def begin(self, begin: int, at: int) -> int:
+        """Where the line begins, in a text that begins at `begin`."""
+        k = int(np.searchsorted(self.line, at))
+        return max(begin, int(self.line[k - 1]) + 1) if k else begin
+
     def open(self, begin: int, at: int) -> bool:
         """If a quotation is open there, in the line of a text that begins at `begin`."""
         last = lambda where: int(where[k - 1]) if (k := int(np.searchsorted(where, at))) else -1
-        begin = max(begin, last(self.line) + 1)
+        begin = self.begin(begin, at)
         if (np.searchsorted(self.double, at) - np.searchsorted(self.double, begin)) % 2:
             return True
         return any(last(a) >= begin and last(a) > last(b) for a, b in self.pairs)
 
 
+def beside(data: np.ndarray, begin: int, s: int, e: int, end: int) -> bool:
+    """If the term stands between quotation marks; white space before it and punctuation
+    after it aside."""
+    while s > begin and data[s - 1] in b" \t\r\x0b\x0c":
+        s -= 1
+    while e < end and data[e] in b".,!?":
+        e += 1
+    before, after = data[max(begin, s - 4) : s].tobytes().decode("utf-8", "ignore"), data[e : min(end, e + 4)].tobytes().decode("utf-8", "ignore")
+    return before[-1:] in QUOTES and after[:1] in QUOTES
+
+
 def hits_of(words: Words, data: np.ndarray, offs: np.ndarray, lexicon: Lexicon, context: dict[str, float]):
     """(document, word number, term, edits, quoted, context score) of each hit."""
     term, cost = lexicon.matches(words)
@@ -217,10 +236,7 @@ def hits_of(words: Words, data: np.ndarray, offs: np.ndarray, lexicon: Lexicon,
     for w in found:
         d = int(words.doc[w])
         s, e = int(words.start[w]), int(words.end[w])
-        before = data[max(offs[d], s - 400) : s].tobytes().decode("utf-8", "ignore")
-        after = data[e : min(offs[d + 1], e + 6)].tobytes().decode("utf-8", "ignore")
-        line = before[before.rfind("\n") + 1 :]
-        quote = marks.open(int(offs[d]), s) or (line.rstrip()[-1:] in QUOTES and after.lstrip(".,!?")[:1] in QUOTES)
+        quote = marks.open(int(offs[d]), s) or beside(data, marks.begin(int(offs[d]), s), s, e, int(offs[d + 1]))
         lo, hi = max(words.first[d], w - WINDOW), min(words.first[d + 1], w + WINDOW + 1)
         near = [plain(words.bytes[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace")) for i in range(lo, hi) if i != w]
         others = int((term[lo:hi] >= 0).sum()) - 1
@@ -359,20 +375,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = Lexicon(shortest({r.term: (r.toxic, r.precision) for r in found}))
     first = Model(lexicon, {}, np.zeros(FEATURES), 0.0, True)
     # context words of hits, then the features with them
-    got = texts.mapInArrow(_hits(spark.sparkContext.broadcast(first)), "toxic int, loose array<long>, near array<string>").collect()
-    inexact = [Counter(), Counter()]
-    for r in got:
-        inexact[r.toxic].update(r.loose)
+    got = Scratch(spark, "toxicity").write(texts.mapInArrow(_hits(spark.sparkContext.broadcast(first)), "toxic int, loose array<long>, near array<string>"), "hits")
+    of = lambda k: F.count_if(F.col("toxic") == k).alias(("clean", "bad")[k])
+    inexact = {r.t: (r.clean, r.bad) for r in got.select("toxic", F.explode("loose").alias("t")).groupBy("t").agg(of(0), of(1)).collect()}
     exact = {r.term: r.toxic for r in found}
     scale = {k: count[k] / few[k] for k in (0, 1)}
-    lexicon.loose = {t for t, x in enumerate(lexicon.terms) if (inexact[0][t] + 1) * scale[0] <= LOOSE * (exact[x] + inexact[1][t]) * scale[1]}
-    near = [Counter(), Counter()]
-    for r in got:
-        near[r.toxic].update(r.near)
-    size = [max(1, sum(r.toxic == k for r in got)) for k in (0, 1)]
-    context = {w: math.log((near[1][w] + 1) / (size[1] + 2)) - math.log((near[0][w] + 1) / (size[0] + 2)) for w in near[0] | near[1] if near[0][w] + near[1][w] >= 10 and near[0][w]}
+    none = (0, 0)
+    lexicon.loose = {t for t, x in enumerate(lexicon.terms) if (inexact.get(t, none)[0] + 1) * scale[0] <= LOOSE * (exact[x] + inexact.get(t, none)[1]) * scale[1]}
+    size = got.agg(of(0), of(1)).first()
+    size = [max(1, size.clean), max(1, size.bad)]
+    near = got.select("toxic", F.explode("near").alias("w")).groupBy("w").agg(of(0), of(1)).where("clean + bad >= 10 and clean > 0").collect()
+    context = {r.w: math.log((r.bad + 1) / (size[1] + 2)) - math.log((r.clean + 1) / (size[0] + 2)) for r in near}
     second = Model(lexicon, context, np.zeros(FEATURES), 0.0, True)
-    rows = texts.mapInArrow(_rows(spark.sparkContext.broadcast(second)), "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    rows = texts.mapInArrow(_rows(spark.sparkContext.broadcast(second)), "toxic int, x array<double>").collect()  # FEATURES numbers for each row of the sample
+    rows.sort(key=lambda r: (r.toxic, r.x))
     w = logistic(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float))
     second.weights, second.bias = w[:-1], w[-1] + math.log(share[0] / share[1])
     return second
