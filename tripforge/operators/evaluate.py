@@ -10,6 +10,7 @@ from pyspark.sql.types import BooleanType
 
 from tripforge.functions.geo import road_distance_km
 from tripforge.functions.scoring import clip, combine, distance_fit_batch, mobility_score, ratio
+from tripforge.operators.serve import few
 
 MODELS = ("global_popularity", "origin_period", "area_a", "area_a_plus_b", "area_a_plus_c", "area_a_plus_b_plus_c")
 #: Of models without questions to tune on.
@@ -19,15 +20,16 @@ QUESTION = ["trip_id"]
 
 @F.pandas_udf(BooleanType())
 def in_tuning_sample(trip_id: pd.Series) -> pd.Series:
-    """One in eight, by a 4-byte blake2b of the id as text, which Spark has no function for."""
-    return trip_id.map(lambda x: int.from_bytes(hashlib.blake2b(str(int(x)).encode(), digest_size=4).digest(), "big") % 8 == 0)
+    """One in eight, by a 4-byte blake2b of the id as text, which Spark has no function for;
+    null for a null id."""
+    chosen = lambda x: int.from_bytes(hashlib.blake2b(str(int(x)).encode(), digest_size=4).digest(), "big") % 8 == 0
+    return trip_id.map(lambda x: None if pd.isna(x) else chosen(x))
 
 
 def candidates(questions: DataFrame, areas: DataFrame, near: float = 20.0, far: float = 30.0, least: int = 10) -> DataFrame:
     """Questions with each area in reach: road distance within `near`, or within `far`
-    where fewer than `least` are near. Areas are few; their number is bounded by the grid
-    or the clustering, and Spark broadcasts them if they are small."""
-    rows = questions.crossJoin(areas.select(F.col("area_id").alias("candidate"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")))
+    where fewer than `least` are near. Areas are few, which is checked, and broadcast."""
+    rows = questions.crossJoin(few(areas).select(F.col("area_id").alias("candidate"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")))
     rows = rows.withColumn("distance", road_distance_km(F.col("lat"), F.col("lng"), F.col("a_lat"), F.col("a_lng"))).where(F.col("distance") <= far)
     close = F.count_if(F.col("distance") <= near).over(Window.partitionBy(*QUESTION))
     return rows.withColumn("_close", close).where((F.col("_close") < least) | (F.col("distance") <= near)).drop("_close", "a_lat", "a_lng")
@@ -90,9 +92,7 @@ def with_b(rows: DataFrame, riders: DataFrame, neighbours: DataFrame, rider_area
 def long_scores(rows: DataFrame, weights: dict[str, tuple[float, float, float]]) -> DataFrame:
     """Six score columns in long form: (.., model, score). rows: global_score,
     origin_score, a_score, b_score, c_score."""
-    a, b, c = (F.col(x) for x in ("a_score", "b_score", "c_score"))
-    score = {"global_popularity": F.col("global_score").cast("double"), "origin_period": F.col("origin_score").cast("double"), "area_a": a}
-    score |= {m: clip(combine((w[0], a), (w[1], F.when(F.lit(w[1] > 0), b)), (w[2], F.when(F.lit(w[2] > 0), c)))) for m, w in weights.items()}
+    score = model_scores(weights)
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), s.alias("score")) for m, s in score.items()]))
     keep = [x for x in rows.columns if x not in ("global_score", "origin_score", "a_score", "b_score", "c_score")]
     return rows.select(*keep, pairs.alias("p")).select(*keep, "p.*")
@@ -104,16 +104,50 @@ def ranked(scores: DataFrame, by: list[str], digits: int | None = None) -> DataF
     return scores.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(s), "candidate")))
 
 
-def metrics(positions: DataFrame, total_areas: int, groups: list[str]) -> DataFrame:
+def outcomes(positions: DataFrame, groups: list[str]) -> DataFrame:
     """positions: trip_id, model, candidate, distance, position, actual (null where the
-    destination is in no area), and the columns of groups. A row per model, and per model
-    and value of each group."""
+    destination is in no area), and the columns of groups. A row per question and model:
+    verified, covered, at (position of the destination), km, items, shown (the top five)."""
     hit = F.col("candidate") == F.col("actual")
     top = F.col("position") <= 5
-    per = positions.groupBy("trip_id", "model", *groups).agg(
+    return positions.groupBy("trip_id", "model", *groups).agg(
         F.max(F.col("actual").isNotNull()).alias("verified"), F.max(F.coalesce(hit, F.lit(False))).alias("covered"), F.max(F.when(hit, F.col("position"))).alias("at"),
-        F.sum(F.when(top, F.col("distance"))).alias("km"), F.count_if(top).alias("items"),
+        F.sum(F.when(top, F.col("distance"))).alias("km"), F.count_if(top).alias("items"), F.collect_list(F.when(top, F.col("candidate"))).alias("shown"),
+    )
+
+
+def model_scores(weights: dict[str, tuple[float, float, float]], of=F.col) -> dict:
+    """The score of each model, from global_score, origin_score, a_score, b_score, c_score."""
+    a, b, c = of("a_score"), of("b_score"), of("c_score")
+    score = {"global_popularity": of("global_score").cast("double"), "origin_period": of("origin_score").cast("double"), "area_a": a}
+    return score | {m: clip(combine((w[0], a), (w[1], F.when(F.lit(w[1] > 0), b)), (w[2], F.when(F.lit(w[2] > 0), c)))) for m, w in weights.items()}
+
+
+def outcomes_of_scores(rows: DataFrame, weights: dict[str, tuple[float, float, float]], groups: list[str], digits: int) -> DataFrame:
+    """The same from rows of scores (as for `long_scores`), without a row per model: all
+    models rank the candidates of a question after one shuffle by question."""
+    score = model_scores(weights)
+    rows = rows.select("trip_id", "actual", *groups, "candidate", "distance", *[F.round(s, digits).alias(f"_s_{m}") for m, s in score.items()])
+    for m in score:
+        rows = rows.withColumn(f"_at_{m}", F.row_number().over(Window.partitionBy("trip_id").orderBy(F.desc(f"_s_{m}"), "candidate"))).drop(f"_s_{m}")
+    hit = F.col("candidate") == F.col("actual")
+    top = lambda m: F.col(f"_at_{m}") <= 5
+    per = rows.groupBy("trip_id", *groups).agg(
+        F.max(F.col("actual").isNotNull()).alias("verified"), F.max(F.coalesce(hit, F.lit(False))).alias("covered"),
+        *[x.alias(f"{k}_{m}") for m in score for k, x in (("at", F.max(F.when(hit, F.col(f"_at_{m}")))), ("km", F.sum(F.when(top(m), F.col("distance")))), ("items", F.count_if(top(m))), ("shown", F.collect_list(F.when(top(m), F.col("candidate")))))],
     )
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), *[F.col(f"{k}_{m}").alias(k) for k in ("at", "km", "items", "shown")]) for m in score]))
+    return per.select("trip_id", *groups, "verified", "covered", models.alias("m")).select("trip_id", *groups, "verified", "covered", "m.*")
+
+
+def metrics(positions: DataFrame, total_areas: int, groups: list[str]) -> DataFrame:
+    """As `summary`, from ranked candidates."""
+    return summary(outcomes(positions, groups), total_areas, groups)
+
+
+def summary(per: DataFrame, total_areas: int, groups: list[str]) -> DataFrame:
+    """per: outcomes (read twice, so better stored). A row per model, and per model and
+    value of each group."""
     keys = [F.col(g) for g in groups]
     sets = [[F.col("model")], *[[F.col("model"), k] for k in keys]]
     name = F.coalesce(*[F.when(F.grouping(g) == 0, F.lit(g)) for g in groups], F.lit("overall"))
@@ -125,7 +159,7 @@ def metrics(positions: DataFrame, total_areas: int, groups: list[str]) -> DataFr
         ratio(F.sum(F.when(F.col("at") <= 5, F.lit(1.0) / F.col("at"))), n).alias("mrr5"), ratio(F.sum(F.when(F.col("at") <= 5, F.lit(1.0) / F.log2(F.col("at") + F.lit(1.0)))), n).alias("ndcg5"),
         ratio(F.sum("km"), F.sum("items")).alias("mean_km"), F.sum("items").alias("items"),
     ).drop(*groups)
-    shown = positions.where(top).groupingSets([[F.col("model"), F.col("candidate")], *[[F.col("model"), F.col("candidate"), k] for k in keys]], F.col("model"), F.col("candidate"), *keys)
+    shown = per.select("model", *groups, F.explode("shown").alias("candidate")).groupingSets([[F.col("model"), F.col("candidate")], *[[F.col("model"), F.col("candidate"), k] for k in keys]], F.col("model"), F.col("candidate"), *keys)
     shown = shown.agg(name.alias("grouping"), value.alias("value"), F.count(F.lit(1)).alias("n"))
     shown = shown.groupBy("model", "grouping", "value").agg(F.count(F.lit(1)).alias("shown"), F.max("n").alias("most"))
     return found.join(shown, ["model", "grouping", "value"], "left").select(
@@ -144,17 +178,24 @@ def weight_grid() -> list[tuple[str, float, float, float]]:
 def tune(rows: DataFrame, strict: bool = False, digits: int | None = None) -> DataFrame:
     """rows: trip_id, candidate, actual, a_score, b_score, c_score -> a row per model and
     weights, best first (rank 1). Questions without a component don't count for models
-    that need it. Where the true area isn't a candidate, its position is after the last:
+    that need it. No candidates are sorted: a position is one more than the number of those
+    ahead of the true area. Where the true area isn't a candidate, its position is after the last:
     a hit if there are fewer than five candidates, unless strict."""
-    spark = rows.sparkSession
-    grid = spark.createDataFrame(weight_grid(), "model string, a double, b double, c double")
-    rows = rows.crossJoin(F.broadcast(grid))  # 35 rows
-    usable = ((F.col("b") == 0) | F.col("b_score").isNotNull()) & ((F.col("c") == 0) | F.col("c_score").isNotNull())
-    score = F.col("a") * F.col("a_score") + F.when(F.col("b") > 0, F.col("b") * F.col("b_score")).otherwise(0.0) + F.when(F.col("c") > 0, F.col("c") * F.col("c_score")).otherwise(0.0)
-    rows = ranked(rows.where(usable).withColumn("score", clip(score)), ["trip_id", "model", "a", "b", "c"], digits)
-    at = F.max(F.when(F.col("candidate") == F.col("actual"), F.col("position")))
-    after = F.lit(None) if strict else F.count(F.lit(1)) + 1
-    per = rows.groupBy("trip_id", "model", "a", "b", "c").agg(F.coalesce(at, after).alias("at"))
+    whole, names = Window.partitionBy("trip_id"), ("a_score", "b_score", "c_score")
+    rows = rows.select("trip_id", "actual", "candidate", *names, *[F.max(F.when(F.col("candidate") == F.col("actual"), F.col(x))).over(whole).alias(f"_{x}") for x in names])
+
+    def better(a: float, b: float, c: float):
+        """(usable, ahead of the destination) for one weighting."""
+        parts = [(w, x) for w, x in zip((a, b, c), names) if w]
+        of = lambda prefix: clip(sum((F.lit(w) * F.col(prefix + x) for w, x in parts[1:]), F.lit(parts[0][0]) * F.col(prefix + parts[0][1])))
+        mine, its = (of(p) if digits is None else F.round(of(p), digits) for p in ("", "_"))
+        return mine.isNotNull(), (mine > its) | ((mine == its) & (F.col("candidate") < F.col("actual"))), its.isNotNull()
+
+    grid = [(m, a, b, c, *better(a, b, c)) for m, a, b, c in weight_grid()]
+    per = rows.groupBy("trip_id").agg(*[x.alias(f"{k}{i}") for i, (*_, usable, ahead, there) in enumerate(grid) for k, x in (("n", F.count_if(usable)), ("ahead", F.count_if(ahead)), ("there", F.max(there)))])
+    place = lambda i: F.when(F.col(f"there{i}"), F.col(f"ahead{i}") + 1).otherwise(F.lit(None) if strict else F.col(f"n{i}") + 1)
+    each = [F.when(F.col(f"n{i}") > 0, F.struct(F.lit(m).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), place(i).alias("at"))) for i, (m, a, b, c, *_) in enumerate(grid)]
+    per = per.select(F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.*")  # 35 rows a question
     found = per.groupBy("model", "a", "b", "c").agg(F.count(F.lit(1)).alias("questions"), F.avg(F.when(F.col("at") <= 5, 1.0).otherwise(0.0)).alias("hit5"), F.avg(F.when(F.col("at") <= 5, F.lit(1.0) / F.col("at")).otherwise(0.0)).alias("mrr5"))
     label = F.format_string("%.1f/%.1f/%.1f", "a", "b", "c")
     w = Window.partitionBy("model").orderBy(F.desc(F.round("hit5", 12)), F.desc(F.round("mrr5", 12)), F.desc("a"), "weights")

@@ -1,6 +1,7 @@
 """Versioned serving tables, personas and releases, kept as Parquet by model_version.
 
-A load of a version that exists already only fills in what is null. There is no
+A load of a version that exists already only fills in what is null. A version is a folder
+of its own, which a load replaces as a whole. There is no
 transaction over several tables: each write is atomic on its own, and the release row is
 written last, so readers never see a half-loaded version.
 """
@@ -9,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tripforge.sources.scratch import stored
+
 PERSONAS = (("demo_rider_full", "frequent", "full"), ("demo_rider_light", "occasional", "light"), ("demo_rider_cold", "new", "cold"))
 RELEASES = "model_version string, report_hash string, loaded_at timestamp"
 
@@ -53,17 +56,26 @@ def latest(releases: DataFrame) -> DataFrame:
     return releases.orderBy(F.desc("loaded_at"), F.desc("model_version")).limit(1)
 
 
-def load(spark: SparkSession, root: str, version: str, report_hash: str, tables: dict[str, DataFrame]) -> bool:
-    """Writes each table under root/name/model_version=..; False if the version is there."""
+def load(spark: SparkSession, root: str, version: str, report_hash: str, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> bool:
+    """Writes each table under root/name/model_version=.. and the release row last; True if
+    the version is new. A load that broke off left no release row, and its retry replaces
+    the version's rows, so nothing is there twice. If the version is there already, nulls
+    in tables that have keys are filled from the new rows, and the load returns False."""
     path = f"{root}/model_releases"
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        if spark.read.schema(RELEASES).parquet(path).where(F.col("model_version") == version).limit(1).count():
-            return False
+    known = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs) and bool(spark.read.schema(RELEASES).parquet(path).where(F.col("model_version") == version).limit(1).count())
     for name, df in tables.items():
-        df.withColumn("model_version", F.lit(version)).write.mode("append").option("compression", "zstd").partitionBy("model_version").parquet(f"{root}/{name}")
-    spark.createDataFrame([(version, report_hash)], "model_version string, report_hash string").withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(path)
-    return True
+        at = f"{root}/{name}/model_version={version}"
+        if known and not (keys or {}).get(name):
+            continue
+        if known:
+            own = keys[name]
+            df = stored(filled(spark.read.parquet(at), df, own, [c for c in df.columns if c not in own]), "release")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+    if not known:
+        row = spark.createDataFrame([(version, report_hash)], "model_version string, report_hash string")
+        row.withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(path)
+    return not known
 
 
 def read(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:

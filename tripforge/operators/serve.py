@@ -14,9 +14,22 @@ from tripforge.functions.scoring import area_blend, combine, contextual_fit, eve
 AREA_TOP, RESTAURANT_TOP, PER_AREA, SHORTLIST, AT_LEAST = 10, 5, 2, 20, 5
 
 
+#: Areas that a join with points broadcasts; a grid or clustering makes some hundreds.
+AREAS = 100_000
+
+
+def few(areas: DataFrame, most: int = AREAS) -> DataFrame:
+    """The areas, to be broadcast, if there are few of them."""
+    if areas.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} areas")
+    return F.broadcast(areas)
+
+
 def nearest_area(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
-    """points: key, lat, lng -> the nearest area, ties by id, with its distance."""
-    rows = points.crossJoin(areas.select("area_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")))
+    """points: key, lat, lng -> the nearest area, ties by id, with its distance. Areas are
+    few (AREAS at most, which is checked), so they are broadcast and points aren't shuffled
+    for the join."""
+    rows = points.crossJoin(few(areas).select("area_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")))
     d = haversine_km(F.col("lat"), F.col("lng"), F.col("a_lat"), F.col("a_lng"))
     return rows.groupBy(key).agg(F.min(F.struct(F.round(d, 9).alias("km"), "area_id")).alias("x")).select(key, "x.area_id", "x.km")
 

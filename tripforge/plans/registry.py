@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripforge.operators import areas as area_ops, attraction, clean, evaluate, fares, riders, serve
 from tripforge.plans.testbed import SQL, areas, eligible, trips
+from tripforge.sources.scratch import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-#: The derived view has next to no riders of the level 'full' in its training days.
-LEVEL = "light"
+#: For scores by neighbours, riders are taken together: the view's own riders have next to
+#: no second visit to an area, which leaves their scale without a range.
+GROUPS = 211
 
 
-def query(sql: str | None = None, view: bool = True):
+def query(sql: str | None = None, view: bool = True, grouped: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = (SQL if view else "") + sql
+            base = SQL.replace("o_custkey * 7 + n AS rider_id", f"(o_custkey * 7 + n) % {GROUPS} AS rider_id") if grouped else SQL
+            ORACLES[f.__name__] = (base if view else "") + sql
         return f
 
     return add
@@ -29,6 +32,10 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eligible(trips(spark, sf_dir)).where("split = 'train'")
 
 
+def grouped_riders(t: DataFrame) -> DataFrame:
+    return t.withColumn("rider_id", F.col("rider_id") % GROUPS)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -138,7 +145,8 @@ grid AS (SELECT areas.area_id, ctx.period, ctx.weekday_class, coalesce(visits, 0
 
 
 def _scored(t, spark):
-    return attraction.area_attraction(attraction.area_grid(t, areas(spark)))
+    t = stored(t.select("area_id", "origin_id", "rider_id", "day", "period", "weekday_class"), "trips")
+    return attraction.area_attraction(stored(attraction.area_grid(t, areas(spark)), "grid"))
 
 
 @query(ATTRACTION + "SELECT area_id, period, weekday_class, visits, days, riders, repeaters, round(area_score, 6) AS area_score, " + ", ".join(f"round({m}, 6) AS {m}" for m in attraction.A_WEIGHTS) + " FROM attr")
@@ -207,22 +215,37 @@ def cosine_topk(spark, sf_dir):
     return rounded(riders.cosine_neighbours(e.select("vec_id", F.transform("e", lambda x: x / F.col("n")).alias("v")), key="vec_id"))
 
 
-@query()
+NEAR = PROFILES + ", st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in riders.NUMERIC) + """ FROM prof WHERE level = 'full'),
+num AS (SELECT rider_id, unnest([""" + ", ".join(f"'{c}'" for c in riders.NUMERIC) + "]) AS dim, unnest([" + ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END" for c in riders.NUMERIC) + """]) AS w FROM prof CROSS JOIN st WHERE level = 'full'),
+ar AS (SELECT rider_id, 'area-' || area_id AS dim, ln(1 + count(*)::DOUBLE) AS w FROM ok JOIN prof USING (rider_id) WHERE split = 'train' AND level = 'full' GROUP BY rider_id, area_id),
+vec AS (SELECT rider_id, dim, 0.6 * w / sqrt(sum(w * w) OVER (PARTITION BY rider_id)) AS w FROM num UNION ALL SELECT rider_id, dim, 0.4 * w / sqrt(sum(w * w) OVER (PARTITION BY rider_id)) FROM ar),
+unit AS (SELECT rider_id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY rider_id)) AS w FROM vec),
+sim AS (SELECT a.rider_id, b.rider_id AS neighbour, round(sum(a.w * b.w), 12) AS s FROM unit a JOIN unit b USING (dim) WHERE a.rider_id <> b.rider_id GROUP BY ALL),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rider_id ORDER BY s DESC, neighbour) AS rank FROM sim WHERE s > 0) WHERE rank <= 50)
+"""
+B_SCORES = NEAR + """, va AS (SELECT rider_id AS neighbour, area_id, period, count(*) AS visits FROM ok WHERE split = 'train' GROUP BY ALL),
+bl AS (SELECT quantile_cont(ln(1 + visits::DOUBLE), 0.05) AS p5, quantile_cont(ln(1 + visits::DOUBLE), 0.95) AS p95 FROM va JOIN prof ON neighbour = rider_id WHERE level <> 'cold'),
+tn AS (SELECT rider_id, sum(s) AS total FROM nb GROUP BY rider_id HAVING count(*) >= 5),
+bs AS (SELECT rider_id, period, area_id, greatest(0, least(1, (sum(s * ln(1 + visits::DOUBLE)) / any_value(total) - any_value(p5)) / (any_value(p95) - any_value(p5)))) AS b_score, greatest(0, least(1, -any_value(p5) / (any_value(p95) - any_value(p5)))) AS b_zero
+  FROM nb JOIN tn USING (rider_id) JOIN va USING (neighbour) CROSS JOIN bl WHERE abs(p95 - p5) > 1e-12 GROUP BY rider_id, period, area_id)
+"""
+
+
+@query(NEAR + "SELECT rider_id, neighbour, round(s, 6) AS similarity, rank FROM nb", grouped=True)
 def rider_neighbours(spark, sf_dir):
-    t = train(spark, sf_dir)
-    return rounded(riders.cosine_neighbours(riders.dense(riders.rider_vectors(riders.rider_profiles(t), riders.rider_areas(t), LEVEL))))
+    return rounded(_b_parts(stored(grouped_riders(train(spark, sf_dir)), "fit"))[1])
 
 
-@query()
+@query(B_SCORES + "SELECT rider_id, period, area_id, round(b_score, 6) AS b_score, round(b_zero, 6) AS b_zero FROM bs", grouped=True)
 def b_scores(spark, sf_dir):
-    return rounded(evaluate.b_scores(*_b_parts(train(spark, sf_dir))))
+    return rounded(evaluate.b_scores(*_b_parts(stored(grouped_riders(train(spark, sf_dir)), "fit"))))
 
 
 def _b_parts(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Riders with a B score, their neighbours, visits and the scale."""
-    profiles, visits = riders.rider_profiles(t), riders.rider_areas(t)
-    near = riders.cosine_neighbours(riders.dense(riders.rider_vectors(profiles, visits, LEVEL)))
-    return profiles.where(F.col("level") == LEVEL), near, visits, riders.b_scale(visits, profiles)
+    profiles, visits = stored(riders.rider_profiles(t), "profiles"), stored(riders.rider_areas(t), "visits")
+    near = stored(riders.cosine_neighbours(riders.dense(riders.rider_vectors(profiles, visits))), "near")
+    return profiles.where("level = 'full'"), near, visits, riders.b_scale(visits, profiles)
 
 
 #: Questions of a split with all areas in reach, and their four scores.
@@ -263,38 +286,63 @@ s1 AS (SELECT *, CASE WHEN trip_count IS NULL THEN NULL ELSE greatest(0, least(1
 
 
 def _score_rows(spark, sf_dir, split, b=False):
-    t = trips(spark, sf_dir)
+    t = trips(spark, sf_dir).where(F.col("split").isin("train", split) & ~F.col("duplicate"))
+    t = stored(grouped_riders(t) if b else t, "trips")  # all below reads this one table
     fit = eligible(t).where("split = 'train'")
     rows = evaluate.candidates(_questions(t, split), areas(spark))
     as_candidate = F.col("area_id").alias("candidate")
-    glob = attraction.popularity(fit, ["period", "weekday_class"]).select("period", "weekday_class", as_candidate, F.col("n").alias("g"))
-    origin = attraction.popularity(fit, ["origin_id", "period", "weekday_class"]).select("origin_id", "period", "weekday_class", as_candidate, F.col("n").alias("o"))
+    # stored tables have a known size: Spark broadcasts the small ones and shuffles for others
+    glob = stored(attraction.popularity(fit, ["period", "weekday_class"]).select("period", "weekday_class", as_candidate, F.col("n").alias("g")), "global")
+    origin = stored(attraction.popularity(fit, ["origin_id", "period", "weekday_class"]).select("origin_id", "period", "weekday_class", as_candidate, F.col("n").alias("o")), "origin")
     has = origin.select("origin_id", "period", "weekday_class", F.lit(True).alias("has")).distinct()
     rows = rows.join(glob, ["period", "weekday_class", "candidate"], "left").join(origin, ["origin_id", "period", "weekday_class", "candidate"], "left").join(has, ["origin_id", "period", "weekday_class"], "left")
     g = F.coalesce("g", F.lit(0))
     rows = rows.withColumn("global_score", g).withColumn("origin_score", F.when(F.col("has"), F.coalesce("o", F.lit(0))).otherwise(g)).drop("g", "o", "has")
-    scored = _scored(fit, spark).select(as_candidate, "period", "weekday_class", F.col("area_score").alias("a_score"))
+    scored = stored(_scored(fit, spark).select(as_candidate, "period", "weekday_class", F.col("area_score").alias("a_score")), "scored")
     rows = rows.join(scored, ["candidate", "period", "weekday_class"])
-    profiles = riders.rider_profiles(fit)
-    visits = fit.groupBy("rider_id", "area_id").agg(F.count(F.lit(1)).alias("visits"))
-    rows = evaluate.c_scores(rows, profiles, visits, riders.cohort_quantiles(fit))
+    profiles = stored(riders.rider_profiles(fit), "profiles")
+    visits = stored(fit.groupBy("rider_id", "area_id").agg(F.count(F.lit(1)).alias("visits")), "visits")
+    rows = evaluate.c_scores(rows, profiles, visits, stored(riders.cohort_quantiles(fit), "cohorts"))
     rows = evaluate.with_b(rows, *_b_parts(fit)) if b else rows.withColumn("b_score", F.lit(None).cast("double"))
     return rows.join(profiles.select("rider_id", "level"), "rider_id", "left").withColumn("level", F.coalesce("level", F.lit("cold")))
 
 
-@query(SCORES + """, m AS (SELECT s1.*, coalesce(prof.level, 'cold') AS tier FROM s1 LEFT JOIN prof USING (rider_id) WHERE split = 'test'),
-long AS (SELECT *, unnest(['global_popularity', 'origin_period', 'area_a', 'area_a_plus_c']) AS model, unnest([global_score::DOUBLE, origin_score::DOUBLE, a_score, CASE WHEN c_score IS NULL THEN a_score ELSE 0.3 * a_score + 0.7 * c_score END]) AS score FROM m),
+def metrics_sql(models: dict[str, str]) -> str:
+    """models: the SQL of each model's score over the columns of m."""
+    return f""", m AS (SELECT s1.*, coalesce(prof.level, 'cold') AS tier, {{b}} FROM s1 LEFT JOIN prof USING (rider_id) {{joins}} WHERE split = 'test'),
+long AS (SELECT *, unnest([{", ".join(f"'{m}'" for m in models)}]) AS model, unnest([{", ".join(models.values())}]) AS score FROM m),
 rk AS (SELECT *, row_number() OVER (PARTITION BY trip_id, model ORDER BY round(score, 9) DESC, candidate) AS position FROM long),
 per AS (SELECT trip_id, model, tier AS level, period, weekday_class, max(CASE WHEN candidate = actual THEN position END) AS place, sum(distance) FILTER (position <= 5) AS km, count(*) FILTER (position <= 5) AS items FROM rk GROUP BY ALL),
-g AS (SELECT model, CASE WHEN grouping(level) = 0 THEN 'level' WHEN grouping(period) = 0 THEN 'period' WHEN grouping(weekday_class) = 0 THEN 'weekday_class' ELSE 'overall' END AS grouping_,
-  coalesce(CASE WHEN grouping(level) = 0 THEN level END, CASE WHEN grouping(period) = 0 THEN period END, CASE WHEN grouping(weekday_class) = 0 THEN weekday_class END, 'all') AS value, count(*) AS questions,
-  avg(CASE WHEN place <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hit5, avg(CASE WHEN place <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hit10, avg(CASE WHEN place <= 5 THEN 1::DOUBLE / place ELSE 0 END) AS mrr5, sum(km) / sum(items) AS mean_km
-  FROM per GROUP BY GROUPING SETS ((model), (model, level), (model, period), (model, weekday_class)))
-SELECT model, grouping_ AS "grouping", value, questions, round(hit5, 6) AS hit5, round(hit10, 6) AS hit10, round(mrr5, 6) AS mrr5, round(mean_km, 6) AS mean_km FROM g""")
+named AS (SELECT *, unnest(['overall', 'level', 'period', 'weekday_class']) AS grouping_, unnest(['all', level, period, weekday_class]) AS value FROM per),
+g AS (SELECT model, grouping_, value, count(*) AS questions, count(place)::DOUBLE / count(*) AS candidate_coverage, sum(items) AS items,
+  avg(CASE WHEN place <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hit5, avg(CASE WHEN place <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hit10, avg(CASE WHEN place <= 5 THEN 1::DOUBLE / place ELSE 0 END) AS mrr5,
+  avg(CASE WHEN place <= 5 THEN 1::DOUBLE / log2(place + 1) ELSE 0 END) AS ndcg5, sum(km) / sum(items) AS mean_km FROM named GROUP BY ALL),
+top AS (SELECT model, candidate, unnest(['overall', 'level', 'period', 'weekday_class']) AS grouping_, unnest(['all', tier, period, weekday_class]) AS value FROM rk WHERE position <= 5),
+cc AS (SELECT model, grouping_, value, count(*) AS shown, max(n) AS most FROM (SELECT model, grouping_, value, candidate, count(*) AS n FROM top GROUP BY ALL) GROUP BY ALL)
+SELECT model, grouping_ AS "grouping", value, questions, questions AS verified, 1.0::DOUBLE AS destination_coverage, round(candidate_coverage, 6) AS candidate_coverage, round(hit5, 6) AS hit5, round(hit10, 6) AS hit10, round(mrr5, 6) AS mrr5, round(ndcg5, 6) AS ndcg5,
+  round(shown::DOUBLE / 36, 6) AS catalog_coverage, round(mean_km, 6) AS mean_km, round(most::DOUBLE / items, 6) AS concentration FROM g JOIN cc USING (model, grouping_, value)"""
+
+
+def mean_sql(a: float, b: float, c: float) -> str:
+    """A weighted mean over the scores that aren't null."""
+    parts = [(w, x) for w, x in ((a, "a_score"), (b, "b_score"), (c, "c_score")) if w]
+    total = " + ".join(f"CASE WHEN {x} IS NULL THEN 0 ELSE {w}::DOUBLE * {x} END" for w, x in parts)
+    return f"greatest(0, least(1, ({total}) / ({' + '.join(f'CASE WHEN {x} IS NULL THEN 0 ELSE {w}::DOUBLE END' for w, x in parts)})))"
+
+
+PLAIN = {"global_popularity": "global_score::DOUBLE", "origin_period": "origin_score::DOUBLE", "area_a": "a_score"}
+WITH_B = "LEFT JOIN tn ON tn.rider_id = s1.rider_id LEFT JOIN bs ON bs.rider_id = s1.rider_id AND bs.period = s1.period AND bs.area_id = s1.candidate LEFT JOIN (SELECT DISTINCT b_zero AS zero FROM bs) ON TRUE"
+B_SCORE = "CASE WHEN tn.rider_id IS NOT NULL THEN coalesce(bs.b_score, zero) END AS b_score"
+BY = ["level", "period", "weekday_class"]
+
+
+def _metrics(rows: DataFrame, weights: dict) -> DataFrame:
+    return rounded(evaluate.summary(stored(evaluate.outcomes_of_scores(rows, weights, BY, 9), "outcomes"), 36, BY))
+
+
+@query(SCORES + metrics_sql(PLAIN | {"area_a_plus_c": mean_sql(0.3, 0, 0.7)}).format(b="NULL AS no_b", joins=""))
 def metrics_by_group(spark, sf_dir):
-    scores = evaluate.long_scores(_score_rows(spark, sf_dir, "test"), {"area_a_plus_c": (0.3, 0.0, 0.7)})
-    found = evaluate.metrics(evaluate.ranked(scores, ["trip_id", "model"], 9), 36, ["level", "period", "weekday_class"])
-    return rounded(found.select("model", "grouping", "value", "questions", "hit5", "hit10", "mrr5", "mean_km"))
+    return _metrics(_score_rows(spark, sf_dir, "test"), {"area_a_plus_c": (0.3, 0.0, 0.7)})
 
 
 @query(SCORES + """, v AS (SELECT * FROM s1 WHERE split = 'validation' AND c_score IS NOT NULL), w AS (SELECT i / 10::DOUBLE AS a FROM range(3, 10) t(i)),
@@ -306,20 +354,25 @@ def weight_grid(spark, sf_dir):
     return rounded(evaluate.tune(_score_rows(spark, sf_dir, "validation"), digits=9))
 
 
-#: The two queries above leave B out, as their SQL does; these have all of it.
-@query()
+SCORES_B = SCORES + B_SCORES.removeprefix(PROFILES)
+
+
+@query(SCORES_B + f""", v AS (SELECT s1.*, {B_SCORE} FROM s1 {WITH_B} WHERE split = 'validation'),
+wg AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for m, a, b, c in evaluate.weight_grid())}) t(model, a, b, c)),
+rk AS (SELECT trip_id, model, a, b, c, candidate, actual, row_number() OVER (PARTITION BY trip_id, model, a, b, c ORDER BY round(greatest(0, least(1, a * a_score + CASE WHEN b > 0 THEN b * b_score ELSE 0 END + CASE WHEN c > 0 THEN c * c_score ELSE 0 END)), 9) DESC, candidate) AS position
+  FROM v CROSS JOIN wg WHERE (b = 0 OR b_score IS NOT NULL) AND (c = 0 OR c_score IS NOT NULL)),
+per AS (SELECT trip_id, model, a, b, c, coalesce(max(CASE WHEN candidate = actual THEN position END), count(*) + 1) AS place FROM rk GROUP BY ALL),
+g AS (SELECT model, printf('%.1f/%.1f/%.1f', a, b, c) AS weights, a, count(*) AS questions, avg(CASE WHEN place <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hit5, avg(CASE WHEN place <= 5 THEN 1::DOUBLE / place ELSE 0 END) AS mrr5 FROM per GROUP BY model, a, b, c)
+SELECT model, weights, questions, round(hit5, 6) AS hit5, round(mrr5, 6) AS mrr5, row_number() OVER (PARTITION BY model ORDER BY round(hit5, 12) DESC, round(mrr5, 12) DESC, a DESC, weights) AS rank FROM g""", grouped=True)
 def weight_grid_abc(spark, sf_dir):
     """All 35 weightings of the three models."""
     return rounded(evaluate.tune(_score_rows(spark, sf_dir, "validation", b=True), digits=9))
 
 
-@query()
+@query(SCORES_B + metrics_sql(PLAIN | {m: mean_sql(*w) for m, w in evaluate.DEFAULT_WEIGHTS.items()}).format(b=B_SCORE, joins=WITH_B), grouped=True)
 def metrics_by_group_abc(spark, sf_dir):
-    """All six rankers, with the best weights of the validation days."""
-    best = {r.model: tuple(map(float, r.weights.split("/"))) for r in weight_grid_abc(spark, sf_dir).where("rank = 1").collect()}
-    scores = evaluate.long_scores(_score_rows(spark, sf_dir, "test", b=True), evaluate.DEFAULT_WEIGHTS | best)
-    found = evaluate.metrics(evaluate.ranked(scores, ["trip_id", "model"], 9), 36, ["level", "period", "weekday_class"])
-    return rounded(found.select("model", "grouping", "value", "questions", "hit5", "hit10", "mrr5", "mean_km"))
+    """All six rankers."""
+    return _metrics(_score_rows(spark, sf_dir, "test", b=True), evaluate.DEFAULT_WEIGHTS)
 
 
 #: Requests from suppliers and places from parts, by integer arithmetic.
@@ -372,17 +425,13 @@ def shortlist_round_robin(spark, sf_dir):
 f AS (SELECT *, round(greatest(0, least(1, CASE WHEN minutes <= 20 THEN 1 WHEN minutes <= 30 THEN 1 - 0.35 * (minutes - 20) / 10 ELSE 0.65 * exp(-(minutes - 30) / 20) END)), 6) AS tf,
   round(greatest(0, least(1, CASE WHEN distance < 1 THEN 0.1 + 0.45 * distance WHEN distance <= 8 THEN 1 ELSE exp(-(distance - 8) / 8) END)), 6) AS rw FROM mx),
 c AS (SELECT *, round(0.6 * tf + 0.4 * rw, 6) AS context_fit, CASE WHEN rating IS NULL AND most <= 0 THEN NULL ELSE round((CASE WHEN rating IS NULL THEN 0 ELSE 0.7 * least(1, rating / 5) END + CASE WHEN most > 0 THEN 0.3 * ln(1 + review_count::DOUBLE) / ln(1 + most::DOUBLE) ELSE 0 END) / (CASE WHEN rating IS NULL THEN 0 ELSE 0.7 END + CASE WHEN most > 0 THEN 0.3 ELSE 0 END), 6) END AS quality FROM f),
-s AS (SELECT *, round(round(CASE WHEN quality IS NULL THEN (0.6 * area_score + 0.2 * context_fit) / 0.8 ELSE 0.6 * area_score + 0.2 * context_fit + 0.2 * quality END, 6), 5) AS score FROM c)
+s AS (SELECT *, round(CASE WHEN quality IS NULL THEN (0.6 * area_score + 0.2 * context_fit) / 0.8 ELSE 0.6 * area_score + 0.2 * context_fit + 0.2 * quality END, 6) AS score FROM c)
 SELECT request_id, rank, place_id FROM (SELECT request_id, place_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, review_count DESC, distance, place_id) AS rank FROM s) WHERE rank <= 5""", view=False)
 def restaurant_topk(spark, sf_dir):
     rows = serve.shortlist(_places(spark, sf_dir)).withColumn("route_km", F.col("distance")).withColumn("route_min", F.greatest(F.lit(5.0), F.round(F.col("distance") / 0.32)))
     none = F.lit(None).cast("double")
     rows = rows.withColumn("typical_min", none).withColumn("p90_km", none).withColumn("light_p90", F.lit(8.0))
-    from pyspark.sql import Window
-
-    top = serve.restaurant_top(rows, top=10**6).join(rows.select("request_id", "place_id", "review_count", "route_km"), ["request_id", "place_id"])
-    w = Window.partitionBy("request_id").orderBy(F.desc(F.round("score", 5)), F.desc("review_count"), "route_km", "place_id")
-    return top.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("request_id", "rank", "place_id")
+    return serve.restaurant_top(rows).select("request_id", "rank", "place_id")
 
 
 @query("""WITH e AS (SELECT user_id::VARCHAR AS request_id, (event_id % 20)::VARCHAR AS place_key, event_type AS action, ts FROM events)

@@ -3,9 +3,10 @@ engine derive identical trips."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripforge.functions.calendar import period_of_hour
+from tripforge.operators.clean import flag_duplicates
 
 CELLS = 6
 STEP = 20
@@ -36,7 +37,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
     )
     order_by = ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    t = t.withColumn("duplicate", F.row_number().over(Window.partitionBy("trip_id").orderBy(*order_by)) > 1)
+    t = flag_duplicates(t, "trip_id", order_by)
     t = t.withColumn("day", day).withColumn("hour", F.floor(F.col("start_min") / 60) % 24)
     area = lambda lat, lng: (F.floor(F.col(lat) / STEP) * CELLS + F.floor(F.col(lng) / STEP)).cast("long")
     return t.select(
