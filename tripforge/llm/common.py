@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tripforge.sources.scratch import cleanup, delete, fresh_dir, shared_dir, work_dir  # noqa: F401  (for callers)
+
 #: Keys that `lookup` treats as hot. It broadcasts exactly this many rows at most.
 HOT_KEYS = 256
 #: Ways in which the rows of a hot key are dealt out.
@@ -14,40 +13,6 @@ SALTS = 1024
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset and all runs in one process (tests), a temporary folder that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept, sc = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext
-        if not kept.isDefined() and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="tripforge-")
-        if not kept.isDefined():
-            sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder of this application inside the shared one; `cleanup` deletes it."""
-    return f"{shared_dir(spark)}/tripforge-{spark.sparkContext.applicationId}"
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Deletes every intermediate table of this application. Results that still
-    read them can't be computed afterwards."""
-    delete(spark, work_dir(spark))
-
-
 class Scratch:
     """Intermediate tables of one call. Tables that nothing reads any more are
     dropped at once, which keeps the disk in proportion to the input."""
