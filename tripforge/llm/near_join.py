@@ -223,7 +223,7 @@ def meetings(keep: Scratch, reps: DataFrame) -> DataFrame:
     cuts = lambda k: F.ceil(F.col(k) / BLOCK).cast("int")
     moved = hubs.join(groups, F.col("hub") == F.col("node")).groupBy("root").agg(F.sum(F.col("k") * cuts("k").cast("double")).alias("moved"))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")).join(moved, "root")
-    sizes = sizes.select("root", "size", (F.col("moved") < F.col("size") * cuts("size")).alias("apart"))
+    sizes = keep.write(sizes.select("root", "size", (F.col("moved") < F.col("size") * cuts("size")).alias("apart")), "sizes")
     groups = lookup(groups.withColumnRenamed("node", "_uid"), sizes, "root", ["size", "apart"], "size")
     at_once = groups.where("not apart").select("_uid", F.struct(F.col("root").alias("key"), F.lit(-1).alias("at"), cuts("size").alias("cuts")).alias("w"))
     apart = keep.write(groups.where("apart").select("_uid"), "apart")
@@ -256,7 +256,7 @@ def classes(texts: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     table_ = reps.drop("bands").join(roots, "rep", "left").join(near, "rep", "left")
     table_ = keep.write(table_.select(F.concat_ws("-", "s1", "s2", "n").alias("_key"), "rep", F.coalesce("root", "rep").alias("root"), "copies", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "sets")
     total = table_.groupBy("root").agg(F.min("least").alias("least"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("k"))
-    total = total.select("root", F.col("least.doc_id").alias("class_id"), F.col("least._uid").alias("keep_uid"), "class_size", "k")
+    total = keep.write(total.select("root", F.col("least.doc_id").alias("class_id"), F.col("least._uid").alias("keep_uid"), "class_size", "k"), "totals")
     table_ = lookup(table_.drop("least").withColumn("_uid", F.col("rep")), total, "root", ["class_id", "keep_uid", "class_size"], "k")
     table_ = keep.write(table_.select("_key", "copies", "class_id", "keep_uid", "class_size", "n_links"), "result")
     return signed.select("_uid", "doc_id", F.concat_ws("-", "s1", "s2", "n").alias("_key")), table_
