@@ -129,7 +129,9 @@ def test_config(tmp_path, monkeypatch):
     (tmp_path / ".env").write_text("# c\nRAW_DATA_PATH='x.csv'\n")
     (tmp_path / "x.csv").write_text("1")
     monkeypatch.delenv("RAW_DATA_PATH", raising=False)
-    assert config.choose_input(tmp_path).name == "x.csv" and config.as_bool("Yes") and not config.as_bool(None)
+    assert config.choose_input(tmp_path).name == "x.csv"
+    (tmp_path / "e").write_text("# A=1\nB = 'two words'\nC=\"x\"\nD=\nno setting\n")
+    assert config.env_file(tmp_path / "e") == {"B": "two words", "C": "x", "D": ""} and config.env_file(tmp_path / "none") == {}
     m = config.manifest([tmp_path / "x.csv"], {}, {})
     assert not config.matches(tmp_path / "m.json", m)
     config.write_json(tmp_path / "m.json", m)
@@ -148,3 +150,13 @@ def test_tuning_sample(spark):
 
     got = spark.range(200).where(in_tuning_sample("id")).collect()
     assert [r.id for r in got] == [i for i in range(200) if int.from_bytes(hashlib.blake2b(str(i).encode(), digest_size=4).digest(), "big") % 8 == 0]
+
+
+def test_a_broken_load_is_replaced_and_a_known_version_filled(spark, tmp_path):
+    version, root = release.version_of("cd" * 32), str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "area_id int, x string")
+    rows((1, "half")).write.parquet(f"{root}/areas/model_version={version}")  # what a load left that broke off
+    assert release.load(spark, root, version, "cd" * 32, {"areas": rows((1, "a"), (2, None))})
+    assert sorted((r.area_id, r.x) for r in release.read(spark, root, "areas", version).collect()) == [(1, "a"), (2, None)]
+    assert not release.load(spark, root, version, "cd" * 32, {"areas": rows((1, "z"), (2, "b"))}, {"areas": ["area_id"]})
+    assert sorted((r.area_id, r.x) for r in release.read(spark, root, "areas", version).collect()) == [(1, "a"), (2, "b")]

@@ -101,3 +101,9 @@ def test_header_contract(spark, tmp_path):
 @pytest.mark.parametrize("text,want", [(" 12 ", 12), ("+3", 3), ("1_000", 1000), ("1.5", None), ("", None), (None, None)])
 def test_integers(spark, text, want):
     assert spark.createDataFrame([(text,)], "x string").select(clean.parse_int(F.col("x")).alias("y")).first().y == want
+
+
+def test_rows_without_a_key_are_no_duplicates(spark):
+    rows = spark.createDataFrame([(None, "f", 1), (None, "f", 2), (5, "g", 2), (5, "f", 9), (5, "g", 1)], "trip_id long, path string, row_number long")
+    got = {(r.path, r.row_number): r.duplicate for r in clean.flag_duplicates(rows, order=("path", "row_number")).collect()}
+    assert got == {("f", 1): False, ("f", 2): False, ("f", 9): False, ("g", 1): True, ("g", 2): True}
