@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op4_decontaminate": decontaminate.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }

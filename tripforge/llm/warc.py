@@ -272,3 +272,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archives(table(spark, sf_dir, "pages"))
     found = read_archives(spark, path, with_payload=False).where(F.col("reason").isNull())
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: What the archives have to hold; 5 hexadecimal digits of the SHA-1 are 4 digits of base 32.
+ORACLE = r"""
+WITH p AS (SELECT row_number() OVER () AS u, page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT u, page_id, octet_length(encode(t)) AS n, sha1(t) AS h, first_value(u) OVER same AS best, first_value(page_id) OVER same AS first_id FROM p WINDOW same AS (PARTITION BY t ORDER BY page_id DESC NULLS LAST, u DESC))
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN u = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN u <> best THEN first_id END AS refers_to
+FROM d"""
