@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripforge.functions.geo import haversine_km
+from tripforge.functions.geo import haversine_km, region_bucket
 
 
 def coordinate_pool(trips: DataFrame) -> DataFrame:
@@ -13,6 +13,15 @@ def coordinate_pool(trips: DataFrame) -> DataFrame:
     return trips.select("trip_id", "region", F.explode(F.array(point("pickup"), point("dropoff"))).alias("p")).select("trip_id", "region", "p.*")
 
 
+def endpoint_samples(trips: DataFrame, most: int, order: str = "row_number") -> DataFrame:
+    """The pickups and dropoffs of the first `most` trips: side, lat, lng, region of the
+    point. The limit is the sample's size, taken by Spark as a top-k of each task."""
+    first = trips.orderBy(order).limit(most)
+    point = lambda side: F.struct(F.lit(side).alias("side"), F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lng").alias("lng"))
+    rows = first.select(F.explode(F.array(point("pickup"), point("dropoff"))).alias("p")).select("p.*")
+    return rows.withColumn("region", region_bucket(F.col("lat"), F.col("lng")))
+
+
 def stratified_sample(points: DataFrame, size: int, key: str, stratum: str = "region") -> DataFrame:
     """Points by hash order within their stratum, taken evenly; a smaller sample is the
     beginning of a larger one."""

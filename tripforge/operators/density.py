@@ -11,13 +11,15 @@ reach; otherwise it is noise. Labels of other implementations may differ in such
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripforge.functions.geo import EARTH_RADIUS_KM, OTHER_REGION, region_bucket
+from tripforge.sources.scratch import delete
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,33 +197,94 @@ def fit(points: np.ndarray, min_cluster_size: int, min_samples: int, selection:
     return Clustering(points, core, labels, strengths, reach)
 
 
-GRID = "policy string, size int, min_cluster_size int, min_samples int, status string, clusters int, noise_ratio double, size_p50 double, size_p90 double, message string"
+POINTS, REACH = "seq long, lat double, lng double, core double, label long, strength double", "cluster int, reach double"
+GRID = "policy string, size int, min_cluster_size int, min_samples int, status string, clusters int, noise_ratio double, size_p50 double, size_p90 double, radius_p50_km double, radius_p90_km double, coverage map<string,double>, message string"
+
+
+def metrics(points: np.ndarray, labels: np.ndarray, regions: np.ndarray | None = None) -> dict:
+    """Clusters, noise, quantiles of cluster sizes and of their 90 percent radii (km), and,
+    where regions are known, the share of each region's points in some cluster."""
+    k = int(labels.max() + 1) if len(labels) else 0
+    sizes = np.bincount(labels[labels >= 0], minlength=max(k, 1))
+    radii = [float(np.quantile(distances(own, own.mean(0)[None]), 0.9)) for own in (points[labels == c] for c in range(k))]
+    q = lambda x, p: float(np.quantile(x, p)) if len(x) else None
+    held = None if regions is None else {str(r): float((labels[regions == r] >= 0).mean()) for r in sorted(set(regions))}
+    return {"clusters": k, "noise_ratio": float((labels < 0).mean()), "size_p50": q(sizes, 0.5), "size_p90": q(sizes, 0.9), "radius_p50_km": q(radii, 0.5), "radius_p90_km": q(radii, 0.9), "coverage": held}
+
+
+def policy_deltas(grid: DataFrame, base: str, other: str) -> DataFrame:
+    """What the policy `other` changes against `base`, by size and parameters where both
+    have been fitted: clusters, noise_ratio, and coverage by region."""
+    keys, of = ["size", "min_cluster_size", "min_samples"], grid.where("status = 'ok'")
+    side = lambda policy, tag: of.where(F.col("policy") == policy).select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in ("clusters", "noise_ratio", "coverage")])
+    both = side(base, "a").join(side(other, "b"), keys)
+    cover = F.map_zip_with("a_coverage", "b_coverage", lambda _, a, b: b - a)
+    return both.select(*keys, (F.col("b_clusters") - F.col("a_clusters")).alias("clusters_delta"), (F.col("b_noise_ratio") - F.col("a_noise_ratio")).alias("noise_ratio_delta"), cover.alias("coverage_delta"))
 
 
 def experiment(points: DataFrame, candidates: DataFrame, most: int | None = None) -> DataFrame:
     """points: policy, seq (sample order), lat, lng; candidates: policy, size,
-    min_cluster_size, min_samples. A row per candidate; samples larger than the pool are
+    min_cluster_size, min_samples; points may have a region. A row per candidate; samples larger than the pool are
     skipped, and those above `most` if it is given; a failure doesn't stop the others."""
     large = F.lit(False) if most is None else F.col("size") > most
     sized = candidates.where(~large)
     rows = sized.join(points, "policy").where(F.col("seq") < F.col("size"))
     keys = ["policy", "size", "min_cluster_size", "min_samples"]
+    measured = ["clusters", "noise_ratio", "size_p50", "size_p90", "radius_p50_km", "radius_p90_km", "coverage"]
+    blank = dict.fromkeys(measured)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = {k: pdf[k].iloc[0] for k in keys}
         try:
             if len(pdf) < head["size"]:
-                return pd.DataFrame([head | {"status": "skipped", "clusters": None, "noise_ratio": None, "size_p50": None, "size_p90": None, "message": "sample exceeds the pool"}])
-            labels = fit(np.radians(pdf.sort_values("seq")[["lat", "lng"]].to_numpy()), int(head["min_cluster_size"]), int(head["min_samples"])).labels
-            sizes = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.zeros(1)
-            return pd.DataFrame([head | {"status": "ok", "clusters": int(labels.max() + 1), "noise_ratio": float((labels < 0).mean()), "size_p50": float(np.quantile(sizes, 0.5)), "size_p90": float(np.quantile(sizes, 0.9)), "message": None}])
+                return pd.DataFrame([head | {"status": "skipped"} | blank | {"message": "sample exceeds the pool"}])
+            pdf = pdf.sort_values("seq")
+            at = np.radians(pdf[["lat", "lng"]].to_numpy())
+            labels = fit(at, int(head["min_cluster_size"]), int(head["min_samples"])).labels
+            found = metrics(at, labels, pdf["region"].to_numpy() if "region" in pdf else None)
+            return pd.DataFrame([head | {"status": "ok"} | found | {"message": None}])
         except Exception as x:  # a candidate's failure is its result
-            return pd.DataFrame([head | {"status": "failed", "clusters": None, "noise_ratio": None, "size_p50": None, "size_p90": None, "message": str(x)[:200]}])
+            return pd.DataFrame([head | {"status": "failed"} | blank | {"message": str(x)[:200]}])
 
     done = rows.groupBy(*keys).applyInPandas(run, GRID)
-    none = lambda t: F.lit(None).cast(t)
+    types = dict(done.dtypes)
     skipped = candidates.join(done.select(*keys), keys, "left_anti")
-    return done.unionByName(skipped.select(*keys, F.lit("skipped").alias("status"), none("int").alias("clusters"), none("double").alias("noise_ratio"), none("double").alias("size_p50"), none("double").alias("size_p90"), F.when(large, "sample exceeds the limit").otherwise("sample exceeds the pool").alias("message")))
+    none = [F.lit(None).cast(types[c]).alias(c) for c in measured]
+    return done.unionByName(skipped.select(*keys, F.lit("skipped").alias("status"), *none, F.when(large, "sample exceeds the limit").otherwise("sample exceeds the pool").alias("message")))
+
+
+def save(spark: SparkSession, model: Clustering, path: str, contract: dict) -> None:
+    """The model as tables; the contract, which makes it valid, comes last."""
+    delete(spark, f"{path}/contract")
+    rows = pd.DataFrame({"seq": np.arange(len(model.points)), "lat": model.points[:, 0], "lng": model.points[:, 1], "core": model.core, "label": model.labels, "strength": model.strengths})
+    spark.createDataFrame(rows, POINTS).write.mode("overwrite").parquet(f"{path}/points")
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.reach)], REACH).write.mode("overwrite").parquet(f"{path}/reach")
+    spark.createDataFrame([(json.dumps(contract, sort_keys=True),)], "contract string").write.mode("overwrite").parquet(f"{path}/contract")
+
+
+def load(spark: SparkSession, path: str, contract: dict) -> Clustering | None:
+    """The stored model if it was made by the same contract, or None. Its points are the
+    bounded sample that it was fitted on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/contract")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    kept = spark.read.schema("contract string").parquet(f"{path}/contract").first()
+    if kept is None or kept.contract != json.dumps(contract, sort_keys=True):
+        return None
+    p = spark.read.schema(POINTS).parquet(f"{path}/points").orderBy("seq").toPandas()
+    reach = spark.read.schema(REACH).parquet(f"{path}/reach").orderBy("cluster").toPandas()
+    return Clustering(p[["lat", "lng"]].to_numpy(), p["core"].to_numpy(), p["label"].to_numpy(), p["strength"].to_numpy(), reach["reach"].to_numpy())
+
+
+def fit_once(sample: DataFrame, path: str, contract: dict, min_cluster_size: int, min_samples: int) -> Clustering:
+    """The stored model of the contract, or a new one of the sample (lat, lng, seq), stored.
+    The contract has to name the sample (a digest) and what else the areas depend on; the
+    parameters are added to it."""
+    spark, full = sample.sparkSession, contract | {"min_cluster_size": min_cluster_size, "min_samples": min_samples}
+    if (model := load(spark, path, full)) is None:
+        model = fit(np.radians(sample.orderBy("seq").select("lat", "lng").toPandas().to_numpy()), min_cluster_size, min_samples)
+        save(spark, model, path, full)
+    return model
 
 
 def assign(points: DataFrame, model: Clustering, min_samples: int, region: str = "Taipei", prefix: str = "area-") -> DataFrame:

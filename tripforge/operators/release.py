@@ -52,6 +52,15 @@ def personas(profiles: DataFrame) -> DataFrame:
     return names.join(best, "level", "left").select("alias", "persona", "level", key.alias("rider_key"), F.coalesce("x.trip_count", F.lit(0)).alias("trip_count"))
 
 
+def profile_of_alias(chosen: DataFrame, profiles: DataFrame) -> DataFrame:
+    """`personas` with what is known of each: personal_mobility_available where its rider
+    has a profile and isn't cold; scores by similar riders aren't served."""
+    have = profiles.select("rider_key").distinct().withColumn("_has", F.lit(True))
+    rows = chosen.join(have, "rider_key", "left")
+    known = F.coalesce("_has", F.lit(False)) & (F.col("level") != "cold")
+    return rows.select("alias", "persona", "trip_count", "level", known.alias("personal_mobility_available"), F.lit(False).alias("similar_riders_available"))
+
+
 def latest(releases: DataFrame) -> DataFrame:
     return releases.orderBy(F.desc("loaded_at"), F.desc("model_version")).limit(1)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripforge.operators import areas as area_ops, attraction, clean, evaluate, fares, riders, serve
+from tripforge.operators import areas as area_ops, attraction, clean, demo, evaluate, fares, riders, serve
 from tripforge.plans.testbed import SQL, areas, eligible, trips
 from tripforge.sources.scratch import stored
 
@@ -170,6 +170,38 @@ def global_popularity(spark, sf_dir):
     return attraction.popularity(train(spark, sf_dir), ["period", "weekday_class"])
 
 
+ORIGIN_RANK = ATTRACTION + """, pop AS (SELECT origin_id, period, weekday_class, area_id, count(*) AS n FROM ok WHERE split = 'train' GROUP BY ALL),
+ar AS (SELECT period, weekday_class, area_id, row_number() OVER (PARTITION BY period, weekday_class ORDER BY round(area_score, 9) DESC, visits DESC, area_id) AS rank FROM attr),
+og AS (SELECT o.area_id AS origin_id, attr.period, attr.weekday_class, attr.area_id, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY o.area_id, attr.period, attr.weekday_class ORDER BY coalesce(n, 0) DESC, visits DESC, attr.area_id) AS rank
+  FROM attr CROSS JOIN areas o LEFT JOIN pop ON pop.origin_id = o.area_id AND pop.period = attr.period AND pop.weekday_class = attr.weekday_class AND pop.area_id = attr.area_id)
+"""
+
+
+def _origin_ranks(spark, sf_dir, top):
+    t = stored(train(spark, sf_dir), "train")
+    scored = stored(_scored(t, spark).withColumn("area_score", F.round("area_score", 9)), "scored")
+    origins = areas(spark).select(F.col("area_id").alias("origin_id")).crossJoin(F.broadcast(attraction.contexts(spark)))  # 10 contexts
+    by = ["origin_id", *attraction.CONTEXT]
+    return demo.rank_from_origin(origins, attraction.popularity(t, by), scored, by, top), scored
+
+
+@query(ORIGIN_RANK + "SELECT origin_id, period, weekday_class, area_id, n, rank FROM og WHERE rank <= 10")
+def origin_rank(spark, sf_dir):
+    return _origin_ranks(spark, sf_dir, 10)[0].select("origin_id", "period", "weekday_class", "area_id", "n", "rank")
+
+
+@query(ORIGIN_RANK + """, q AS (SELECT trip_id, origin_id, period, weekday_class, area_id FROM ok WHERE split = 'validation'),
+pos AS (SELECT 'origin_period' AS model, rank FROM q LEFT JOIN og USING (origin_id, period, weekday_class, area_id) UNION ALL SELECT 'area_attraction', rank FROM q LEFT JOIN ar USING (period, weekday_class, area_id))
+SELECT model, count(*) AS rows_in_scope, 1::DOUBLE AS destination_coverage, count(*) AS evaluated, round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS hit5, round(avg(CASE WHEN rank <= 5 THEN 1::DOUBLE / rank ELSE 0 END), 6) AS mrr5 FROM pos GROUP BY model""")
+def smoke_metrics(spark, sf_dir):
+    own, scored = _origin_ranks(spark, sf_dir, 5)
+    best = attraction.rank_areas(scored, attraction.CONTEXT, 5)
+    asked = eligible(trips(spark, sf_dir)).where("split = 'validation'").select("trip_id", "origin_id", *attraction.CONTEXT, "area_id")
+    place = lambda ranks, name, by: asked.join(ranks.select(*by, "area_id", "rank"), [*by, "area_id"], "left").select(F.lit(name).alias("model"), F.col("area_id").alias("actual"), "rank")
+    both = place(own, "origin_period", ["origin_id", *attraction.CONTEXT]).unionByName(place(best, "area_attraction", attraction.CONTEXT))
+    return rounded(demo.smoke_metrics(both))
+
+
 PROFILES = """, prof AS (SELECT rider_id, count(*) AS trip_count, CASE WHEN count(*) >= 10 THEN 'full' WHEN count(*) >= 3 THEN 'light' ELSE 'cold' END AS level,
   quantile_cont(distance_km, 0.25) AS p25_km, quantile_cont(distance_km, 0.5) AS median_km, quantile_cont(distance_km, 0.75) AS p75_km, quantile_cont(distance_km, 0.9) AS p90_km, quantile_cont(travel_time_min, 0.5)::DOUBLE AS median_min,
   """ + ", ".join(f"(count(*) FILTER (period = '{p}'))::DOUBLE / count(*) AS {p}_ratio" for p in riders.PERIODS) + """,
