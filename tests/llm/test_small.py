@@ -504,8 +504,28 @@ def test_ctw_against_brute_force(spark):
 
 
 def test_ctw_probabilities_add_up():
-    rows = ctw.byte_rows(np.random.default_rng(1).uniform(0.01, 0.99, (3, 256)))
-    assert np.allclose((10**rows).sum(1), 1)
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    text = np.frombuffer(b"abracadabra, a banana; \xc3\xa9t\xc3\xa9 " * 3, np.uint8)
+    context, byte, _ = ctw.marked(np.array([0, len(text)]), text)
+    strings, n = np.unique(context << 8 | byte, return_counts=True)
+    groups = [np.flatnonzero(strings >> 8 & 0xFFFF == c) for c in np.unique(strings >> 8 & 0xFFFF)]
+    groups = [pa.table({"key": strings[g], "n": n[g]}) for g in groups]
+    by_one = {}
+    for row in (ctw.upward(g) for g in groups):
+        by_one.setdefault(row["c1"][0].as_py(), []).append(row)
+    rows = [ctw.upward1(pa.concat_tables(v)).to_pylist()[0] for v in by_one.values()]
+    top = ctw.Top([SimpleNamespace(**r) for r in rows])
+    got = pa.concat_tables(ctw.downward(SimpleNamespace(value=top))(g) for g in groups).sort_by([("depth", "ascending"), ("key", "ascending")])
+    levels = {}
+    for d in range(2, ctw.DEPTH + 1):
+        t = got.filter(pa.compute.equal(got["depth"], d))
+        levels[d] = t["key"].to_numpy(), t["whole"].to_numpy(), np.stack([t[b].to_numpy() for b in ctw.BITS], 1)
+    shard = ctw.Shard(levels, np.ones(65536, bool), top.defaults())
+    some = [*np.unique(context)[:40].tolist(), 0, int.from_bytes(b"abr", "big")]
+    for c in some:
+        assert np.isclose((10 ** shard.find(c << 8 | np.arange(256))).sum(), 1, atol=1e-4)
 
 
 def test_ctw_odd_tables(spark, strange):

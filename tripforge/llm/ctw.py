@@ -7,12 +7,12 @@ depths, with weights that follow from how well each depth has coded the training
 
 Training gathers, over all training texts, the counts of strings of DEPTH + 1 bytes; all
 node counts are sums of these. The weighted probabilities go up the tree by grouping on
-contexts of 2, then 1 and 0 bytes (a group has at most 256**(DEPTH - 1) strings), the mixing weights
-come down again, and each context of DEPTH bytes that occurs ends as one row with the
-log probability of each byte. Contexts that never occur share the row of their longest
-suffix that does. Rows are broadcast in shards of SHARD_BYTES, one scoring pass each, so
-what is broadcast has a bound however many contexts the corpus has. On the way they are
-packed as differences to their suffixes' rows, in steps of 1/STEPS.
+contexts of 2, then 1 and 0 bytes, and the mixing weights come down again. Trees are
+sparse: a context has nodes for the bytes it has seen. Each string of 2 to DEPTH context
+bytes and a byte ends as one row with the probabilities of its eight bits, as they are
+where no deeper context has seen as much. The rows, whose number grows with the corpus,
+are broadcast in shards of about SHARD_BYTES, with one scoring pass each, so what is
+broadcast has a bound; contexts with the same last two bytes share a shard.
 
 A text is coded as its UTF-8 bytes and an end mark, 0xFF, after a start of DEPTH marks;
 0xFF is in no UTF-8 text. So scores are probabilities over all texts.
@@ -27,7 +27,6 @@ apart by position. Without training texts each bit has probability 1/2.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tripforge.llm.common import Scratch, numbered, remainder, table, tune
 from tripforge.llm.textvec import Words, pieces
 
-DEPTH = 4
-CHUNK = 1024
+DEPTH = 5
 MARK = 0xFF
 SHARD_BYTES = 64 << 20
 HEAD = 1 << 18
@@ -148,73 +146,84 @@ def mixed(log_kt: np.ndarray, below: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(below - log_kt, -700, 700)))
 
 
-def byte_rows(p: np.ndarray) -> np.ndarray:
-    """P(next bit 1) of nodes -> log10 P of bytes."""
-    out = np.zeros((*p.shape[:-1], 512))
-    with np.errstate(divide="ignore"):
-        zero, one = np.log10(1 - p), np.log10(p)
-    for lo in (1, 2, 4, 8, 16, 32, 64, 128):
-        out[..., 2 * lo : 4 * lo : 2] = out[..., lo : 2 * lo] + zero[..., lo : 2 * lo]
-        out[..., 2 * lo + 1 : 4 * lo : 2] = out[..., lo : 2 * lo] + one[..., lo : 2 * lo]
-    return out[..., 256:]
+class Level:
+    """The strings of d context bytes and the byte after them, sorted, and the nodes on
+    their way: each string passes eight nodes, and strings with the same beginning share
+    theirs, so a context has nodes for what it has seen and for nothing else."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, d: int):
+        cut = keys & ((1 << 8 * (d + 1)) - 1)
+        order = np.argsort(cut, kind="stable")
+        cut = cut[order]
+        start = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
+        self.keys, self.n = cut[start], np.add.reduceat(n[order], start).astype(np.float64)
+        self.node = np.empty((8, len(start)), np.int32)
+        first, zero, one, at = [], [], [], 0
+        for k in range(8):
+            way, bit = self.keys >> (8 - k), self.keys >> (7 - k) & 1
+            new = np.r_[True, way[1:] != way[:-1]]
+            lo = np.flatnonzero(new)
+            self.node[k] = at + np.cumsum(new) - 1
+            total, ones = np.add.reduceat(self.n, lo), np.add.reduceat(self.n * bit, lo)
+            first.append(lo), zero.append(total - ones), one.append(ones)
+            at += len(lo)
+        self.first, self.bits = np.concatenate(first), np.repeat(np.arange(8), [len(x) for x in first])
+        zero, one = np.concatenate(zero), np.concatenate(one)
+        self.log_kt = lgamma(zero + 0.5) + lgamma(one + 0.5) - lgamma(zero + one + 1) - np.log(np.pi)
+        self.kt = (one + 0.5) / (zero + one + 1)
+        self.weighted, self.own = self.log_kt, np.ones(at)
+
+    def join(self, up: Level, d: int) -> None:
+        """The nodes of the context that is a byte shorter."""
+        row = np.searchsorted(up.keys, self.keys & ((1 << 8 * d) - 1))
+        self.parent = up.node[self.bits, row[self.first]]
+
+    def mix(self, below: np.ndarray) -> None:
+        self.own = mixed(self.log_kt, below)
+        self.weighted = np.log(0.5) + np.logaddexp(self.log_kt, below)
+
+    def dense(self, values: np.ndarray) -> np.ndarray:
+        """Of one context: values by node, 0 where nothing was seen."""
+        out = np.zeros(256)
+        out[1 << self.bits | (self.keys[self.first] & 0xFF) >> (8 - self.bits)] = values
+        return out
 
 
 class Subtree:
-    """The contexts that end in the same two bytes, level by level from DEPTH up to 2.
-    Trees of the deepest level are made in chunks, which bounds the memory."""
+    """The contexts that end in the same two bytes, level by level from DEPTH up to 2."""
 
     def __init__(self, t: pa.Table):
         key, n = t["key"].to_numpy(), t["n"].to_numpy()
-        self.ctx, self.parent = {}, {}
-        self.ctx[DEPTH], at = np.unique(key >> 8, return_inverse=True)
-        counts = np.zeros((len(self.ctx[DEPTH]), 256), np.float32)
-        counts[at, key & 0xFF] = n
-        self.counts = counts
-        below = None
-        self.levels: dict[int, tuple] = {}
+        self.levels: dict[int, Level] = {}
         for d in range(DEPTH, 1, -1):
-            up, self.parent[d] = np.unique(self.ctx[d] & ((1 << 8 * (d - 1)) - 1), return_inverse=True)
-            weighted = np.zeros((len(up), 256))
-            total = np.zeros((len(up), 256))
-            for lo in range(0, len(counts), CHUNK):
-                part = slice(lo, lo + CHUNK)
-                log_kt, p = tree(counts[part])
-                w = log_kt if below is None else np.log(0.5) + np.logaddexp(log_kt, below[part])
-                np.add.at(weighted, self.parent[d][part], w)
-                np.add.at(total, self.parent[d][part], counts[part])
-                if d == 2:
-                    self.weighted, self.own = w[0], counts[0]
+            self.levels[d] = now = Level(key, n, d)
             if d < DEPTH:
-                log_kt, p = tree(counts)
-                self.levels[d] = mixed(log_kt, below), p
-            self.ctx[d - 1], counts, below = up, total, weighted
-
-    def above(self, d: int, index: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """p of contexts of depth d + 1 (below `index` at depth d), mixed up to depth 2."""
-        while d >= 2:
-            w, own = self.levels[d]
-            p = w[index] * own[index] + (1 - w[index]) * p
-            index, d = self.parent[d][index], d - 1
-        return p
+                under = self.levels[d + 1]
+                under.join(now, d + 1)
+                now.mix(np.bincount(under.parent, weights=under.weighted, minlength=len(now.kt)))
+            key, n = now.keys, now.n
+        self.last2 = int(key[0] >> 8)
 
     def rows(self, top) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(depth, contexts, log10 P of bytes): at less than DEPTH for contexts that go on
-        in a way that never occurs."""
-        c1 = int(self.ctx[2][0] & 0xFF)
-        for lo in range(0, len(self.counts), CHUNK):
-            part = slice(lo, lo + CHUNK)
-            p = self.above(DEPTH - 1, self.parent[DEPTH][part], tree(self.counts[part])[1])
-            yield DEPTH, self.ctx[DEPTH][part], top.rows(c1, p)
-        for d in range(2, DEPTH):
-            for lo in range(0, len(self.ctx[d]), CHUNK):
-                index = np.arange(lo, min(lo + CHUNK, len(self.ctx[d])))
-                yield d, self.ctx[d][index], top.rows(c1, self.above(d, index, np.full((len(index), 256), 0.5)))
+        """(depth, strings, their eight bits as log-odds of the bit that is there), where
+        no deeper context has seen the beginning of the byte."""
+        said, left = top.above(self.last2 & 0xFF)
+        for d in range(2, DEPTH + 1):
+            x = self.levels[d]
+            up = x.parent if d > 2 else 1 << x.bits | (x.keys[x.first] & 0xFF) >> (8 - x.bits)
+            said, left = said[up] + left[up] * x.own * x.kt, left[up] * (1 - x.own)
+            p = said + left / 2
+            odds = (np.log(p) - np.log1p(-p))[x.node]
+            bit = x.keys >> np.arange(7, -1, -1)[:, None] & 1
+            yield d, x.keys, np.where(bit == 1, odds, -odds).astype(np.float32)
 
 
 def upward(t: pa.Table) -> pa.Table:
     """A context of two bytes: its counts and log P_w."""
     x = Subtree(t)
-    return pa.table({"c1": [int(x.ctx[2][0] & 0xFF)], "counts": [x.own.astype(np.float64).tobytes()], "weighted": [x.weighted.tobytes()]}, schema=pa.schema([("c1", pa.int64()), ("counts", pa.binary()), ("weighted", pa.binary())]))
+    top, counts = x.levels[2], np.zeros(256)
+    counts[top.keys & 0xFF] = top.n
+    return pa.table({"c1": [x.last2 & 0xFF], "counts": [counts.tobytes()], "weighted": [top.dense(top.weighted).tobytes()]}, schema=pa.schema([("c1", pa.int64()), ("counts", pa.binary()), ("weighted", pa.binary())]))
 
 
 def upward1(t: pa.Table) -> pa.Table:
@@ -233,126 +242,115 @@ class Top:
         self.w1 = mixed(log1, below)
         log0, self.p0 = tree(counts.sum(0))
         self.w0 = mixed(log0, (np.log(0.5) + np.logaddexp(log1, below))[counts.sum(1) > 0].sum(0))
-        self.seen = counts.sum(1) > 0
 
-    def rows(self, c1, p2: np.ndarray) -> np.ndarray:
-        """log10 P of bytes, given what contexts of two bytes say."""
-        p = self.w1[c1] * self.p1[c1] + (1 - self.w1[c1]) * p2
-        return byte_rows(self.w0 * self.p0 + (1 - self.w0) * p)
+    def above(self, c1) -> tuple[np.ndarray, np.ndarray]:
+        """By node: what contexts of at most a byte say, and the weight left for longer ones."""
+        said = self.w0 * self.p0 + (1 - self.w0) * self.w1[c1] * self.p1[c1]
+        return said, (1 - self.w0) * (1 - self.w1[c1])
 
-    def defaults(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rows for contexts whose two last bytes, or last byte, never occur."""
-        half = np.full((256, 256), 0.5)
-        none = byte_rows(self.w0 * self.p0 + (1 - self.w0) * 0.5)
-        return self.rows(np.arange(256), half), none
+    def defaults(self) -> np.ndarray:
+        """By last byte and node: P(next bit 1) where longer contexts have seen nothing."""
+        said, left = self.above(np.arange(256))
+        return said + left / 2
 
 
-#: Steps per unit of log10 in packed rows.
-STEPS = 1 << 20
-PACKED = "last2 long, depth array<int>, context array<long>, rows binary"
+#: Strings with the log-odds of their bits, and log10 P of the whole byte.
+BITS = [f"b{k}" for k in range(8)]
+ROWS = "last2 int, depth int, key long, whole float, " + ", ".join(f"{b} float" for b in BITS)
+ROW_BYTES = 44
+#: Common leading bits of two bytes, by their difference (exclusive or); -1 for other contexts.
+COMMON = np.array([8 - x.bit_length() for x in range(256)] + [-1], np.int8)
 
 
-def parents(depth: np.ndarray, context: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows at depth d, and the rows of their suffixes at d - 1. All are sorted."""
-    own, up = np.flatnonzero(depth == d), np.flatnonzero(depth == d - 1)
-    return own, up[np.searchsorted(context[up], context[own] & ((1 << 8 * (d - 1)) - 1))]
-
-
-def pack(depth: np.ndarray, context: np.ndarray, rows: np.ndarray) -> bytes:
-    """Rows as differences to those of their suffixes. Bytes that a context has never seen
-    differ from the suffix by the same amount for whole ranges, so they compress well."""
-    change = rows.copy()
-    for d in range(3, DEPTH + 1):
-        own, up = parents(depth, context, d)
-        change[own] -= rows[up]
-    steps = np.round(change * STEPS).astype(np.int32)
-    return zlib.compress(steps.tobytes(), 6)
-
-
-def unpack(depth: np.ndarray, context: np.ndarray, packed: bytes) -> np.ndarray:
-    steps = np.frombuffer(zlib.decompress(packed), np.int32).reshape(-1, 256).copy()
-    for d in range(3, DEPTH + 1):
-        own, up = parents(depth, context, d)
-        steps[own] += steps[up]
-    return (steps / np.float64(STEPS)).astype(np.float32)
+def log10_odds(z: np.ndarray) -> np.ndarray:
+    """log10 of a probability given as log-odds."""
+    return -np.logaddexp(0, -z.astype(np.float64)) / np.log(10)
 
 
 def downward(top):
     def run(t: pa.Table) -> pa.Table:
-        found = list(Subtree(t).rows(top.value))
-        depth = np.concatenate([np.full(len(c), d) for d, c, _ in found])
-        context, rows = np.concatenate([c for _, c, _ in found]), np.concatenate([r for *_, r in found])
-        order = np.lexsort((context, depth))
-        depth, context, rows = depth[order], context[order], rows[order]
-        out = [[int(context[0] & 0xFFFF)], [depth.tolist()], [context.tolist()], [pack(depth, context, rows)]]
-        return pa.table([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()))], ["last2", "depth", "context", "rows"])
+        tree_, parts = Subtree(t), []
+        for d, keys, odds in tree_.rows(top.value):
+            whole = log10_odds(odds).sum(0).astype(np.float32)
+            cols = [np.full(len(keys), tree_.last2, np.int32), np.full(len(keys), d, np.int32), keys, whole, *odds]
+            parts.append(pa.table([pa.array(c) for c in cols], ["last2", "depth", "key", "whole", *BITS]))
+        return pa.concat_tables(parts)
 
     return run
 
 
 class Shard:
-    """The rows of all contexts with some last two bytes, packed until they are used, and
-    then a trie that finds the deepest context with a row. Row 0 is nothing: other shards
-    have what is missing."""
-
-    def __init__(self, groups: list[tuple[np.ndarray, np.ndarray, bytes]], seen2: np.ndarray, top: Top | None):
-        self.groups, self.seen2, self.top, self.table = groups, seen2, top, None
-
-    def ready(self) -> None:
-        if self.table is not None:
-            return
-        depth, context = (np.concatenate([g[k] for g in self.groups] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        order = np.lexsort((context, depth))
-        rows = np.zeros((len(depth) + 1 + (257 if self.top is not None else 0), 256), np.float32)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(1, len(order) + 1)
-        at = 0
-        for d, c, packed in self.groups:
-            rows[place[at : at + len(d)]] = unpack(d, c, packed)
-            at += len(d)
-        depth, context = depth[order], context[order]
-        self.other = np.zeros(256, np.int32)
-        if self.top is not None:
-            n = len(depth) + 1
-            rows[n : n + 256], rows[n + 256] = self.top.defaults()
-            self.other = np.where(self.top.seen, n + np.arange(256), n + 256).astype(np.int32)
-        #: ids count from 1 within a depth; first: the row before the first of a depth
-        self.first = {d: int(np.searchsorted(depth, d)) for d in range(2, DEPTH + 1)}
-        self.next: dict[int, np.ndarray] = {2: np.zeros(65536, np.int32)}
-        have = context[depth == 2]
-        self.next[2][have] = np.arange(1, len(have) + 1)
-        for d in range(3, DEPTH + 1):
-            now = context[depth == d]
-            up = np.searchsorted(have, now & ((1 << 8 * (d - 1)) - 1)) + 1
-            self.next[d] = np.zeros((len(have) + 1) * 256, np.int32)
-            self.next[d][up * 256 + (now >> 8 * (d - 1))] = np.arange(1, len(now) + 1)
-            have = now
-        self.groups, self.table = [], rows
+    """The strings of all contexts with some last two bytes, sorted by depth. A byte after
+    a context takes each bit from the deepest context that has seen the bits before it;
+    among sorted strings, that is a neighbour of the place where the byte would stand."""
+
+    def __init__(self, levels: dict[int, tuple], mine: np.ndarray, defaults: np.ndarray):
+        self.levels, self.mine, self.defaults = levels, mine, defaults
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """log10 P of strings of DEPTH context bytes and a byte, sorted."""
+        out, have, left = np.zeros(len(q)), np.zeros(len(q), np.int8), np.arange(len(q))
+        for d in range(DEPTH, 1, -1):
+            keys, whole, odds = self.levels[d]
+            if not len(keys) or not len(left):
+                continue
+            k = q[left] & ((1 << 8 * (d + 1)) - 1)
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            before = np.maximum(at - 1, 0)
+            apart, apart_before = keys[at] ^ k, keys[before] ^ k
+            at = np.where(apart_before < apart, before, at)
+            same = COMMON[np.minimum(np.minimum(apart, apart_before), 256)]
+            fresh = (same == 8) & (have[left] == 0)
+            out[left[fresh]] = whole[at[fresh]]
+            some = np.flatnonzero((same >= have[left]) & ~fresh)
+            rows, common, z = left[some], same[some], odds[at[some]]
+            for bit in range(8):
+                # A bit that differs from the neighbour's has the other side's probability.
+                now = np.flatnonzero((have[rows] <= bit) & (bit <= common))
+                side = np.where(common[now] == bit, -z[now, bit], z[now, bit])
+                out[rows[now]] += log10_odds(side)
+            have[rows] = np.minimum(common + 1, 8)
+            have[left[fresh]] = 8
+            left = left[have[left] < 8]
+        for bit in range(8):
+            now = left[have[left] <= bit]
+            byte = q[now] & 0xFF
+            p = self.defaults[q[now] >> 8 & 0xFF, 1 << bit | byte >> (8 - bit)]
+            out[now] += np.log10(np.where(byte >> (7 - bit) & 1 == 1, p, 1 - p))
+        return out
 
     def score(self, offs: np.ndarray, data: np.ndarray) -> np.ndarray:
-        self.ready()
+        """By text: the sum over the bytes whose context belongs to this shard."""
         context, byte, first = marked(offs, data)
-        last2 = context & 0xFFFF
-        found = self.next[2][last2]
-        row = np.where(found > 0, self.first[2] + found, np.where(self.seen2[last2], 0, self.other[context & 0xFF]))
-        for d in range(3, DEPTH + 1):
-            found = self.next[d][found.astype(np.int64) * 256 + (context >> 8 * (d - 1) & 0xFF)]
-            row = np.where(found > 0, self.first[d] + found, row)
-        value = self.table.ravel()[row.astype(np.int64) * 256 + byte]
-        return np.add.reduceat(value, first[:-1], dtype=np.float64) if len(first) > 1 else np.zeros(0)
+        mine = np.flatnonzero(self.mine[context & 0xFFFF])
+        value = np.zeros(len(byte))
+        strings, back = np.unique(context[mine] << 8 | byte[mine], return_inverse=True)
+        value[mine] = self.find(strings)[back]
+        return np.add.reduceat(value, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
 def shards(spark: SparkSession, rows: DataFrame, top: Top, size: int = SHARD_BYTES) -> Iterator[tuple]:
-    """rows: PACKED -> a broadcast for each shard, made one after the other. size: bytes of
-    a shard when it is unpacked."""
-    total = rows.agg(F.sum(F.size("context"))).first()[0] or 0
-    n = max(1, -(-total * 1024 // size))
-    seen2 = np.zeros(65536, bool)
-    seen2[rows.select("last2").toArrow()["last2"].to_numpy()] = True
-    for k in range(n):
-        got = rows.where(F.pmod(F.xxhash64("last2"), F.lit(n)) == k).toArrow()
-        groups = [(d.values.to_numpy(), c.values.to_numpy(), r.as_py()) for d, c, r in zip(got["depth"], got["context"], got["rows"])]
-        yield k, spark.sparkContext.broadcast(Shard(groups, seen2, top if k == 0 else None))
+    """rows: ROWS -> a broadcast for each shard, made one after the other. size: bytes of
+    a shard in memory. The first shard also has the contexts that nobody has seen."""
+    per = rows.groupBy("last2").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 65,536 rows
+    last2, n = per["last2"].to_numpy(), per["n"].to_numpy()
+    k = max(1, -(-int(n.sum()) * ROW_BYTES // size))
+    # the largest first, each to the shard with the least so far
+    filled, shard_of = np.zeros(k, np.int64), np.zeros(65536, np.int32)
+    for i in np.lexsort((last2, -n)):
+        shard_of[last2[i]] = least = int(np.argmin(filled))
+        filled[least] += n[i]
+    for s in range(k):
+        chosen = last2[shard_of[last2] == s].tolist()
+        got = rows.where(F.col("last2").isin(chosen)).drop("last2").toArrow() if k > 1 else rows.drop("last2").toArrow()
+        depth, key = got["depth"].to_numpy(), got["key"].to_numpy()
+        whole, odds = got["whole"].to_numpy(), np.stack([got[b].to_numpy() for b in BITS], 1)
+        levels = {}
+        for d in range(2, DEPTH + 1):
+            at = np.flatnonzero(depth == d)
+            at = at[np.argsort(key[at], kind="stable")]
+            levels[d] = key[at], whole[at], odds[at]
+        yield s, spark.sparkContext.broadcast(Shard(levels, shard_of == s, top.defaults()))
 
 
 SCORED = "_uid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, head_known long, head_log double, score double, tail array<struct<h:long,k:int>>"
@@ -408,7 +406,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     level2 = grams.groupBy(by_two.alias("_c2")).applyInArrow(upward, "c1 long, counts binary, weighted binary")
     top = Top(level2.groupBy("c1").applyInArrow(upward1, "c1 long, counts binary, weighted binary").collect())
     sent = spark.sparkContext.broadcast(top)
-    rows = keep.write(grams.groupBy(by_two.alias("_c2")).applyInArrow(downward(sent), PACKED), "rows")
+    rows = keep.write(grams.groupBy(by_two.alias("_c2")).applyInArrow(downward(sent), ROWS), "rows")
 
     tokens = counts.where("kind = 1").select(F.col("key").alias("h"), F.col("n").alias("c"))
     total = counts.where("kind > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).first()
