@@ -27,6 +27,7 @@ apart by position. Without training texts each bit has probability 1/2.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from tripforge.llm.textvec import Words, pieces
 
 DEPTH = 5
 MARK = 0xFF
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 HEAD = 1 << 18
 HELD = 1 << 20
 END_TOKEN = -1
@@ -342,14 +343,15 @@ def shards(spark: SparkSession, rows: DataFrame, top: Top, size: int = SHARD_BYT
         filled[least] += n[i]
     for s in range(k):
         chosen = last2[shard_of[last2] == s].tolist()
-        got = rows.where(F.col("last2").isin(chosen)).drop("last2").toArrow() if k > 1 else rows.drop("last2").toArrow()
-        depth, key = got["depth"].to_numpy(), got["key"].to_numpy()
-        whole, odds = got["whole"].to_numpy(), np.stack([got[b].to_numpy() for b in BITS], 1)
         levels = {}
         for d in range(2, DEPTH + 1):
-            at = np.flatnonzero(depth == d)
-            at = at[np.argsort(key[at], kind="stable")]
-            levels[d] = key[at], whole[at], odds[at]
+            got = rows.where((F.col("depth") == d) & F.col("last2").isin(chosen)).select("key", "whole", *BITS).toArrow()
+            key = got["key"].to_numpy()
+            order, odds = np.argsort(key, kind="stable"), np.empty((len(key), 8), np.float32)
+            for i, b in enumerate(BITS):
+                odds[:, i] = got[b].to_numpy()[order]
+            levels[d] = key[order], got["whole"].to_numpy()[order], odds
+            del got, key
         yield s, spark.sparkContext.broadcast(Shard(levels, shard_of == s, top.defaults()))
 
 
@@ -415,18 +417,21 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(head["h"].to_numpy())
     head = spark.sparkContext.broadcast((head["h"].to_numpy()[order], np.log10(head["c"].to_numpy()[order] + 1.0), float(np.log10(total.ends + 1.0)) if total.ends else None))
 
-    out, extra = None, None
+    out, extra = None, []
     for k, shard in shards(spark, rows, top, shard_bytes):
         if k == 0:
             out = keep.write(texts.select("_uid", "doc_id", "held_out", "text").mapInArrow(scoring(shard, head), SCORED), "scored")
         else:
             part = texts.select("_uid", "text").mapInArrow(more_scoring(shard), "_uid long, more double")
-            extra = part if extra is None else extra.unionByName(part)
+            extra.append(keep.write(part, f"more{k}"))
+        shard.destroy()  # its pass is written; one shard at a time is in memory
+        del shard
     tail = out.select("_uid", F.explode("tail").alias("t")).select("_uid", "t.h", "t.k").join(tokens, "h")
     tail = tail.groupBy("_uid").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
     out = out.drop("tail").join(tail, "_uid", "left")
-    if extra is not None:
-        out = out.join(extra.groupBy("_uid").agg(F.sum("more").alias("more")), "_uid").withColumn("score", F.col("score") + F.col("more"))
+    if extra:
+        more = functools.reduce(DataFrame.unionByName, extra)
+        out = out.join(more.groupBy("_uid").agg(F.sum("more").alias("more")), "_uid").withColumn("score", F.col("score") + F.col("more"))
     log = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n_train + total.v + 1.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
