@@ -141,6 +141,21 @@ def test_sample_is_a_prefix_of_a_larger_one(spark):
     assert small < large and len(large) == 50 and sum(k < 60 for k in large) == 30
 
 
+def test_sample_against_plain_order(spark):
+    import hashlib
+
+    rows = [(k, "abc"[min(k % 7, 2)] if k % 50 else None) for k in range(400)] + [(None, "a"), (7, "a"), (7, "b")]
+    points = spark.createDataFrame(rows, "k long, region string")
+    by = {}
+    for k, region in rows:
+        by.setdefault(region, []).append(("" if k is None else hashlib.sha256(str(k).encode()).hexdigest(), -1 if k is None else k))
+    order = sorted(((r / len(v), region or "", h, k) for region, v in by.items() for r, (h, k) in enumerate(sorted(v))))
+    for size in (1, 3, 40, 400, 1000):
+        got = [(x.region or "", -1 if x.k is None else x.k) for x in areas.stratified_sample(points, size, "k").collect()]
+        assert sorted(got) == sorted((region, k) for _, region, _, k in order[:size])
+    assert areas.stratified_sample(points.where("k < 0"), 5, "k").count() == 0
+
+
 def test_stream_drops_repeats(spark, tmp_path):
     rows = spark.createDataFrame([("r", "p", "save", 5), ("r", "p", "save", 3), ("r", "q", "save", 4)], "request_id string, place_key string, action string, s long")
     rows.selectExpr("request_id", "place_key", "action", "timestamp_seconds(s) AS at").write.parquet(str(tmp_path / "in"))

@@ -24,11 +24,21 @@ def endpoint_samples(trips: DataFrame, most: int, order: str = "row_number") ->
 
 def stratified_sample(points: DataFrame, size: int, key: str, stratum: str = "region") -> DataFrame:
     """Points by hash order within their stratum, taken evenly; a smaller sample is the
-    beginning of a larger one."""
-    hashed = F.sha2(F.col(key).cast("string"), 256)
-    w = Window.partitionBy(stratum)
-    rows = points.withColumn("_h", hashed).withColumn("_rank", F.row_number().over(w.orderBy("_h", key))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return rows.orderBy((F.col("_rank") - 1) / F.col("_n"), stratum, "_h", key).limit(size).drop("_h", "_rank", "_n")
+    beginning of a larger one. A point of rank r among n is taken only if (r - 1) / n is at
+    most size / total, so counts by hash range tell where the order can be cut: the window
+    sees about `size` rows and the last ranges, not all rows of a stratum in one task."""
+    rows = points.withColumn("_h", F.sha2(F.col(key).cast("string"), 256))
+    rows = rows.withColumn("_range", F.coalesce(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), F.lit(-1)))
+    ranges = rows.groupBy(F.col(stratum).alias("_s"), "_range").agg(F.count(F.lit(1)).alias("_k"))
+    total = ranges.agg(F.sum("_k").alias("_total"))
+    w = Window.partitionBy("_s")  # at most 65,537 rows a stratum
+    ranges = ranges.withColumn("_n", F.sum("_k").over(w)).withColumn("_before", F.sum("_k").over(w.orderBy("_range")) - F.col("_k"))
+    ranges = ranges.crossJoin(F.broadcast(total))  # one row
+    needed = ranges.where(F.col("_before") <= F.ceil(F.lit(float(size)) * F.col("_n") / F.col("_total")) + 1)
+    last = needed.groupBy("_s").agg(F.max("_range").alias("_last"), F.first("_n").alias("_n"))
+    kept = rows.join(last, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_range") <= F.col("_last")))
+    kept = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
+    return kept.orderBy((F.col("_rank") - 1) / F.col("_n"), stratum, "_h", key).limit(size).select(*points.columns)
 
 
 def area_summary(points: DataFrame) -> DataFrame:
