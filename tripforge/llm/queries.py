@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripforge.llm import ctw, decontaminate, exact_dedup, html_extract, langid, mixing, near_join, repeats, toxicity, veccode, warc
+from tripforge.llm import ctw, decontaminate, exact_dedup, html_extract, langid, mixing, near_join, pii, repeats, toxicity, trie, veccode, warc
 
 QUERIES = {
     "op1_near_join": near_join.op1_near_join,
@@ -15,11 +15,14 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_langid": langid.op10_langid,
+    "op11_pii": pii.op11_pii,
+    "op12_trie": trie.op12_trie,
     "op13_veccode": veccode.op13_veccode,
 }
 ORACLES = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op12_trie": trie.ORACLE,
     "op13_veccode": veccode.ORACLE,
 }
