@@ -43,8 +43,10 @@ MIN_PRECISION = 0.8
 #: Inexact matches of a term count if those in clean texts (and one more) are at most
 #: this share of the toxic texts that have the term.
 LOOSE = 0.05
-#: A term's first letters may be a term: from this many on.
-STEM = 4
+#: A term's first letters may be a term: from this many on, to this many.
+STEM, STEMS = 4, 16
+#: Longer words aren't learned as terms; their beginnings are.
+LONGEST = 64
 CACHE = 1 << 20
 #: The automaton is built anew, from its start, when it has more states.
 STATES = 1 << 16
@@ -302,9 +304,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in range(batch.num_rows):
             lo, hi = words.first[d], words.first[d + 1]
             seen = {plain(x.decode("utf-8", "replace")) for x in {raw[s:e] for s, e in zip(words.start[lo:hi].tolist(), words.end[lo:hi].tolist())}}
-            stems = {w[:n] + "*" for w in seen for n in range(STEM, len(w)) if w.isalpha()}
+            stems = {w[:n] + "*" for w in seen if w.isalpha() for n in range(STEM, min(STEMS + 1, len(w)))}
             for t in seen | stems:
-                if t:
+                if t and len(t) <= LONGEST:
                     total.setdefault(t, [0, 0])[int(toxic[d])] += 1
         if len(total) > 1 << 18:
             yield _counted(total)
