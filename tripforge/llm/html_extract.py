@@ -23,6 +23,7 @@ its tag, and a tag that the end of the page cuts off is no text.
 from __future__ import annotations
 
 import bisect
+import functools
 import html
 import math
 import random
@@ -87,6 +88,15 @@ class Tags:
     def __init__(self, page: str):
         self.page = page
         self.last = {q: page.rfind(q) for q in "\"'"}
+        #: The next place of each mark that was searched for.
+        self.next = dict.fromkeys(("-->", "--!>", "]]>"), -1)
+
+    def find(self, mark: str, at: int) -> int:
+        """Like str.find, for places that never go back: no part of a page is searched twice."""
+        if self.next[mark] < at:
+            k = self.page.find(mark, at)
+            self.next[mark] = k if k >= 0 else len(self.page)
+        return self.next[mark] if self.next[mark] < len(self.page) else -1
 
     def attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
         """Those of a tag whose name ends there, and where the tag ends; -1 if it doesn't."""
@@ -120,10 +130,10 @@ class Tags:
                 if page.startswith(("<!-->", "<!--->"), at):
                     stop = page.index(">", at) + 1
                 else:
-                    ends = [k + len(x) for x in ("-->", "--!>") if (k := page.find(x, at + 4)) >= 0]
+                    ends = [k + len(x) for x in ("-->", "--!>") if (k := self.find(x, at + 4)) >= 0]
                     stop = min(ends, default=-1)
             elif nxt == "!" and page.startswith("<![CDATA[", at):
-                k = page.find("]]>", at)
+                k = self.find("]]>", at)
                 more = html.escape(page[at + 9 : k if k >= 0 else len(page)])
                 stop = k + 3 if k >= 0 else -1
             elif name := NAME.match(page, at + 1 if nxt != "/" else at + 2):
@@ -147,7 +157,7 @@ def parse(page: str, labels: bool = False) -> list[Node]:
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, node that its text belongs to, skipped
     open_: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
     run: list[str] = []
-    links = 0
+    links, body = 0, -1
 
     def flush() -> None:
         nonlocal links
@@ -205,8 +215,15 @@ def parse(page: str, labels: bool = False) -> list[Node]:
             continue
         skipped = stack[-1][2] or tag in SKIPPED
         if tag == "body":
+            if body >= 0:  # there is one body; a later tag of it goes on in it
+                if not open_["body"]:
+                    close(1)
+                    open_[tag].append(1)
+                    stack.append((tag, body, False))
+                continue
             skipped = False
             close(1)
+            body = len(nodes)
         own = stack[-1][1]
         if tag not in INLINE and not skipped:
             marks, label = [], None
@@ -513,6 +530,12 @@ def train(pages: list[str], ridge: float = 0.3) -> Model:
     return Model({f: float(w[i]) for f, i in number.items()}, edges, bias)
 
 
+@functools.cache
+def trained() -> Model:
+    """The model of the generated pages; a driver trains it once."""
+    return train(labelled_pages())
+
+
 def _extracting(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -527,7 +550,7 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
     """One row per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     tune(spark)
-    sent = spark.sparkContext.broadcast(model or train(labelled_pages()))
+    sent = spark.sparkContext.broadcast(model or trained())
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extracting(sent), "page_id long, url string, text string, n_chars long")
 
