@@ -39,7 +39,7 @@ class Index:
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.words: list[tuple[bytes, ...]] = []
-        self.items: list[list[str]] = []
+        self.items: list[set[str]] = []
         known: dict[tuple[bytes, ...], int] = {}
         for item, text in items:
             words = tuple(word_list(text))
@@ -48,9 +48,9 @@ class Index:
                 if w not in known:
                     known[w] = len(self.words)
                     self.words.append(w)
-                    self.items.append([])
-                if item is not None and item not in self.items[known[w]]:
-                    self.items[known[w]].append(item)
+                    self.items.append(set())
+                if item is not None:
+                    self.items[known[w]].add(item)
         vocabulary = sorted({x for w in self.words for x in w})
         number = {x: i for i, x in enumerate(vocabulary)}
         ends = np.cumsum([0, *map(len, vocabulary)])
@@ -184,12 +184,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(number.alias("_uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if blocks > 1 and not uid:  # rows of several passes are brought together by number
         texts = numbered(Scratch(spark, "decontaminate"), texts.drop("_uid"))
-    out = None
+    out, keep = None, Scratch(spark, "decontaminate")
     for k in range(blocks):
         index = Index([(r.id, r.t) for r in items.where(F.col("block") == k).select("id", "t").collect()], window)
-        counts = texts.select("text").mapInArrow(counting(sc.broadcast(index.keys())), "width int, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
+        keys = sc.broadcast(index.keys())
+        counts = texts.select("text").mapInArrow(counting(keys), "width int, shingle long, n long").groupBy("width", "shingle").agg(F.sum("n").alias("n"))
         index.with_prefixes({(r.width, r.shingle): r.n for r in counts.collect()})
-        block = texts.select("_uid", "doc_id", "text").mapInArrow(matching(sc.broadcast(index), k == 0), HITS)
+        keys.destroy()
+        sent = sc.broadcast(index)
+        block = texts.select("_uid", "doc_id", "text").mapInArrow(matching(sent, k == 0), HITS)
+        if blocks > 1:  # a block's hits are stored, and its index goes before the next one comes
+            block = keep.write(block, f"hits-{k}")
+            sent.destroy()
         out = block if out is None else out.unionByName(block)
     if blocks > 1:
         flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  at most a few spans of each block for one document
