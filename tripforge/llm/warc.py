@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tripforge.llm.common import Scratch, fresh_dir, lookup, numbered, table, tune
 
 ARCHIVE_BYTES = 16 << 20
+#: Longest line of a header.
+LINE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -91,32 +93,42 @@ def record_text(rows: DataFrame) -> F.Column:
 EMPTY = gzip.compress(b"", 6, mtime=0)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each record as a gzip member without its last byte, the highest of the four of the
-    length: 0 for records below 16 MiB, others get an empty member after theirs."""
-    for batch in batches:
+def _archives(archive_bytes: int):
+    """Each record as a gzip member, as many as fit an archive in a row, without its last
+    byte. That is the highest of the four of the last record's length: 0 for records below
+    16 MiB, others get an empty member after theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for x in batch.column(0):
-            squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-            raw = squeeze.compress(x.as_buffer()) + squeeze.flush()
-            out.append((raw if raw[-1] == 0 else raw + EMPTY)[:-1])
-            held += len(out[-1])
-            if held > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-                out, held = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], ["archive"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+                raw = squeeze.compress(x.as_buffer()) + squeeze.flush()
+                raw += EMPTY if raw[-1] else b""
+                if held and held + len(raw) > archive_bytes:
+                    yield row()
+                    out, held = [], 0
+                out.append(raw)
+                held += len(raw)
+        if held:
+            yield row()
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
-    """Writes a record per page; gives the folder of the archives."""
+    """Writes a record per page; gives the folder of the archives. None is larger than
+    archive_bytes, but for one of a single larger record."""
     path = path or fresh_dir(pages.sparkSession, "warc")
     tune(pages.sparkSession)
-    mean = pages.agg(F.avg(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     rows = planned(pages, id_col, url_col, text_col, min_bytes)
-    members = rows.select(F.encode(record_text(rows), "UTF-8").alias("record")).mapInArrow(_members, "member binary")
-    # the text writer ends each row with the byte that the member is short of
-    writer = members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none")
-    writer.option("maxRecordsPerFile", max(1, int(archive_bytes / (mean + 800)))).text(path)
+    rows = rows.select(F.encode(record_text(rows), "UTF-8").alias("record")).mapInArrow(_archives(archive_bytes), "archive binary")
+    # the text writer ends each row with the byte that the archive is short of
+    rows.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -139,12 +151,13 @@ def plain_record(data, at: int) -> Found:
     """The record that starts there, or Bad with what is wrong."""
     if not (version := VERSION.match(data, at)):
         raise Bad("no version line")
-    stop = data.find(b"\r\n\r\n", version.end() - 2)
-    if stop < 0:
-        raise Bad("header does not end")
-    header = {}
-    for x in bytes(data[version.end() : stop]).split(b"\r\n"):
-        key, colon, value = x.partition(b":")
+    header, stop = {}, version.end() - 2
+    # line by line: the next version line is no header line, so a header is read once
+    while data[stop : stop + 4] != b"\r\n\r\n":
+        begin, stop = stop + 2, data.find(b"\r\n", stop + 2, stop + 2 + LINE)
+        if stop < 0:
+            raise Bad("header does not end")
+        key, colon, value = data[begin:stop].partition(b":")
         if not colon:
             raise Bad("malformed header line")
         header[key.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
@@ -263,14 +276,16 @@ def _parse(with_payload: bool):
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """A row per record, and per gap (those with a reason). Archives are read whole, one
-    at a time; the writer bounds their size."""
+    at a time; `write_archives` bounds their size, and Spark reads files of up to 2 GB."""
     tune(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parse(with_payload), RECORD)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archives(table(spark, sf_dir, "pages"))
-    found = read_archives(spark, path, with_payload=False).where(F.col("reason").isNull())
+    found = Scratch(spark, "warc").write(read_archives(spark, path, with_payload=False).drop("payload"), "found")
+    if gaps := found.where("reason is not null").select("archive", "start", "stop", "reason").limit(5).collect():
+        raise ValueError(f"archives have gaps: {gaps}")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
