@@ -1,9 +1,9 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
 Documents are aggregated by membership pattern (the set of sources that they belong to).
-The driver solves a min-cost flow from patterns to sources: a pattern can supply its
-words once for nothing, a second and a third time at rising (convex) cost; a source
-takes up to its quota. Only one row per distinct pattern reaches the driver, whatever
+The driver solves a min-cost flow from patterns to sources, by blocking flows: a pattern
+can supply its words once for nothing, a second and a third time at rising (convex) cost;
+a source takes up to its quota. Only one row per distinct pattern reaches the driver, whatever
 the number of documents; their number is checked against PATTERNS first, and beyond it
 mixing fails with a message instead of overrunning the driver. Tables of patterns are
 broadcast, so no shuffle is by pattern and a hot source isn't a hot key. Then documents are selected: all of a pattern's documents as
@@ -25,8 +25,6 @@ take 0. Rows with equal id and text are interchangeable.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -67,57 +65,84 @@ def cycled_weights(sources: list) -> dict:
     return {s: i % 3 + 1 for i, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
 
 
-@dataclass
-class Arc:
-    to: int
-    room: int
-    cost: int
-    back: int
+class Flow:
+    """A network whose flow is raised to the maximum by blocking flows (Dinic), from what
+    it carries already."""
+
+    def __init__(self, nodes: int):
+        self.arcs: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        """Its number; the next one is its reverse."""
+        for x, y, r in ((a, b, room), (b, a, 0)):
+            self.arcs[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def levels(self, begin: int, end: int) -> list[int]:
+        level, queue = [-1] * len(self.arcs), [begin]
+        level[begin] = 0
+        while queue and level[end] < 0:
+            later = []
+            for a in queue:
+                for k in self.arcs[a]:
+                    b = self.to[k]
+                    if self.room[k] and level[b] < 0:
+                        level[b] = level[a] + 1
+                        later.append(b)
+            queue = later
+        return level
+
+    def raise_to_most(self, begin: int, end: int) -> None:
+        to, room, arcs = self.to, self.room, self.arcs
+        while (level := self.levels(begin, end))[end] >= 0:
+            tried, path, at = [0] * len(arcs), [], begin
+            while True:
+                if at == end:
+                    amount = min(room[k] for k in path)
+                    for k in path:
+                        room[k] -= amount
+                        room[k ^ 1] += amount
+                    full = next(i for i, k in enumerate(path) if not room[k])
+                    at = to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                while tried[at] < len(arcs[at]):
+                    k = arcs[at][tried[at]]
+                    if room[k] and level[to[k]] == level[at] + 1:
+                        break
+                    tried[at] += 1
+                if tried[at] < len(arcs[at]):
+                    path.append(arcs[at][tried[at]])
+                    at = to[path[-1]]
+                elif path:
+                    at = to[path.pop() ^ 1]
+                    tried[at] += 1
+                else:
+                    break
 
 
 def min_cost_flow(supply: dict, quota: dict, repetition: tuple[int, ...] = REPETITION) -> dict:
     """supply: words of each pattern (a tuple of sources); quota: words wanted by each
-    source -> {(pattern, source): words}. Successive shortest paths."""
+    source -> {(pattern, source): words}. Costs stand on the supply's arcs alone and rise
+    with each use, and an augmenting path never gives supply back; so the flow of least
+    cost is the maximum with first uses, raised to the maximum with second ones, and so on."""
     patterns, sources = list(supply), list(quota)
-    graph: list[list[Arc]] = [[] for _ in range(len(patterns) + len(sources) + 2)]
-    begin, end = len(graph) - 2, len(graph) - 1
-
-    def arc(a: int, b: int, room: int, cost: int) -> Arc:
-        graph[a].append(Arc(b, room, cost, len(graph[b])))
-        graph[b].append(Arc(a, 0, -cost, len(graph[a]) - 1))
-        return graph[a][-1]
-
+    begin = len(patterns) + len(sources)
+    net = Flow(begin + 2)
     number = {s: len(patterns) + i for i, s in enumerate(sources)}
-    used = {}
-    for i, p in enumerate(patterns):
-        for cost in repetition:
-            arc(begin, i, supply[p], cost)
-        for s in p:
-            used[p, s] = arc(i, number[s], 1 << 62, 0)
+    give = [net.arc(begin, i, 0) for i in range(len(patterns))]
+    used = {(p, s): net.arc(i, number[s], 1 << 62) for i, p in enumerate(patterns) for s in p}
     for s in sources:
-        arc(number[s], end, quota[s], 0)
-    while True:
-        cost, via, queue = {begin: 0}, {}, [begin]
-        while queue:
-            later = []
-            for a in queue:
-                for k, x in enumerate(graph[a]):
-                    if x.room > 0 and (c := cost[a] + x.cost) < cost.get(x.to, 1 << 62):
-                        cost[x.to], via[x.to] = c, (a, k)
-                        later.append(x.to)
-            queue = list(dict.fromkeys(later))
-        if end not in cost:
-            break
-        path, at = [], end
-        while at != begin:
-            a, k = via[at]
-            path.append(graph[a][k])
-            at = a
-        amount = min(x.room for x in path)
-        for x in path:
-            x.room -= amount
-            graph[x.to][x.back].room += amount
-    return {k: (1 << 62) - x.room for k, x in used.items()}
+        net.arc(number[s], begin + 1, quota[s])
+    for _ in sorted(repetition):
+        for i, p in enumerate(patterns):
+            net.room[give[i]] += supply[p]
+        net.raise_to_most(begin, begin + 1)
+    return {k: net.room[x ^ 1] for k, x in used.items()}
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, uid: str | None) -> DataFrame:
