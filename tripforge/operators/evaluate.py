@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType
 
-from tripforge.functions.geo import road_distance_km
+from tripforge.functions.geo import ROAD_FACTOR
 from tripforge.functions.scoring import clip, combine, distance_fit_batch, mobility_score, ratio
-from tripforge.operators.serve import few
+from tripforge.operators import spatial
 
 MODELS = ("global_popularity", "origin_period", "area_a", "area_a_plus_b", "area_a_plus_c", "area_a_plus_b_plus_c")
 #: Of models without questions to tune on.
@@ -28,9 +28,9 @@ def in_tuning_sample(trip_id: pd.Series) -> pd.Series:
 
 def candidates(questions: DataFrame, areas: DataFrame, near: float = 20.0, far: float = 30.0, least: int = 10) -> DataFrame:
     """Questions with each area in reach: road distance within `near`, or within `far`
-    where fewer than `least` are near. Areas are few, which is checked, and broadcast."""
-    rows = questions.crossJoin(few(areas).select(F.col("area_id").alias("candidate"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")))
-    rows = rows.withColumn("distance", road_distance_km(F.col("lat"), F.col("lng"), F.col("a_lat"), F.col("a_lng"))).where(F.col("distance") <= far)
+    where fewer than `least` are near. They are found through cells of the wider circle."""
+    there = areas.select(F.col("area_id").alias("candidate"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
+    rows = spatial.within(questions, there, far / ROAD_FACTOR * (1 + 1e-9)).withColumn("distance", F.col("km") * ROAD_FACTOR).drop("km").where(F.col("distance") <= far)
     close = F.count_if(F.col("distance") <= near).over(Window.partitionBy(*QUESTION))
     return rows.withColumn("_close", close).where((F.col("_close") < least) | (F.col("distance") <= near)).drop("_close", "a_lat", "a_lng")
 

@@ -8,38 +8,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripforge.functions.geo import haversine_km, road_distance_km, route_fallback
-from tripforge.functions.scoring import area_blend, combine, contextual_fit, event_id, poi_quality, proximity_fit, restaurant_score
+from tripforge.functions.geo import ROAD_FACTOR, route_fallback
+from tripforge.functions.scoring import area_blend, contextual_fit, event_id, poi_quality, proximity_fit, restaurant_score
+from tripforge.operators import spatial
 
 AREA_TOP, RESTAURANT_TOP, PER_AREA, SHORTLIST, AT_LEAST = 10, 5, 2, 20, 5
 
 
-#: Areas that a join with points broadcasts; a grid or clustering makes some hundreds.
-AREAS = 100_000
-
-
-def few(areas: DataFrame, most: int = AREAS) -> DataFrame:
-    """The areas, to be broadcast, if there are few of them."""
-    if areas.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} areas")
-    return F.broadcast(areas)
+def nearest_area(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """points: key, lat, lng -> the nearest area, ties by id, with its distance; points
+    without a place have none. Neither side has a limit."""
+    return spatial.nearest(points, areas, key)
 
 
-def nearest_area(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
-    """points: key, lat, lng -> the nearest area, ties by id, with its distance. Areas are
-    few (AREAS at most, which is checked), so they are broadcast and points aren't shuffled
-    for the join."""
-    rows = points.crossJoin(few(areas).select("area_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")))
-    d = haversine_km(F.col("lat"), F.col("lng"), F.col("a_lat"), F.col("a_lng"))
-    return rows.groupBy(key).agg(F.min(F.struct(F.round(d, 9).alias("km"), "area_id")).alias("x")).select(key, "x.area_id", "x.km")
+def in_budget(requests: DataFrame, areas: DataFrame) -> DataFrame:
+    """requests: with lat, lng, budget_km -> each with the areas in its budget, and distance
+    on the road. Areas are found through cells as wide as the largest budget."""
+    most = requests.agg(F.max("budget_km")).first()[0] or 0.0
+    there = areas.select("area_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
+    near = spatial.within(requests, there, most / ROAD_FACTOR * (1 + 1e-9))
+    return near.withColumn("distance", F.col("km") * ROAD_FACTOR).where("distance <= budget_km").drop("km", "a_lat", "a_lng")
 
 
 def rank_areas(requests: DataFrame, areas: DataFrame, stats: DataFrame, weights: tuple[float, float] = (0.30, 0.70), proximity: float = 0.20, top: int = AREA_TOP) -> DataFrame:
     """requests: request_id, lat, lng, period, weekday_class, budget_km; stats: area_id,
     period, weekday_class, area_score. Areas beyond the budget are out. An optional
     c_score column of stats (by request) joins the base score."""
-    rows = requests.join(stats, ["period", "weekday_class"]).join(areas.select("area_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")), "area_id")
-    rows = rows.withColumn("distance", road_distance_km(F.col("lat"), F.col("lng"), F.col("a_lat"), F.col("a_lng"))).where(F.col("distance") <= F.col("budget_km"))
+    rows = in_budget(requests, areas).join(stats, ["area_id", "period", "weekday_class"])
     c = F.col("c_score") if "c_score" in rows.columns else F.lit(None).cast("double")
     base = F.when(c.isNull(), F.col("area_score")).otherwise(weights[0] * F.col("area_score") + weights[1] * c)
     near = proximity_fit(F.col("distance"), F.col("budget_km"))

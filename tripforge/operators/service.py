@@ -30,7 +30,7 @@ def origins(requests: DataFrame, areas: DataFrame) -> DataFrame:
     area's radius, and than LEAST_KM), origin_area_id (null then) and region."""
     near = serve.nearest_area(requests, areas, "request_id").select("request_id", F.col("area_id").alias("nearest_area_id"), "km")
     of = areas.select(F.col("area_id").alias("nearest_area_id"), "radius_p90_km", F.col("region").alias("origin_region"))
-    rows = requests.join(near, "request_id").join(of, "nearest_area_id", "left")
+    rows = requests.join(near, "request_id", "left").join(of, "nearest_area_id", "left")
     far = F.col("km") > F.greatest(2.0 * F.coalesce("radius_p90_km", F.lit(0.0)), F.lit(LEAST_KM))
     return rows.withColumn("origin_fallback", far).withColumn("origin_area_id", F.when(~far, F.col("nearest_area_id"))).drop("km", "radius_p90_km")
 
@@ -43,8 +43,7 @@ def ranked_areas(requests: DataFrame, areas: DataFrame, stats: DataFrame, profil
     cohort: one row of p25, p75, p90 of light riders."""
     own = ["trip_count", "level", "median_km", "p25_km", "p75_km", "p90_km", "weekend_ratio", *[f"{p}_ratio" for p in ("morning", "lunch", "afternoon", "dinner", "night")]]
     rows = requests.join(profiles.select("rider_id", *own), "rider_id", "left").withColumn("budget_km", distance_budget_km(F.col("level"), F.col("median_km")))
-    rows = rows.join(stats, ["period", "weekday_class"]).join(areas.select("area_id", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng")), "area_id")
-    rows = rows.withColumn("distance", 1.30 * haversine_km(F.col("lat"), F.col("lng"), F.col("a_lat"), F.col("a_lng"))).where("distance <= budget_km")
+    rows = serve.in_budget(rows, areas).join(stats, ["area_id", "period", "weekday_class"])
     visits = rider_areas.select("rider_id", "area_id", "period", "visits")
     most = visits.groupBy("rider_id", "period").agg(F.max("visits").alias("most"))
     rows = rows.join(visits, ["rider_id", "area_id", "period"], "left").join(most, ["rider_id", "period"], "left").crossJoin(F.broadcast(cohort.select(F.col("p25").alias("l25"), F.col("p75").alias("l75"), F.col("p90").alias("l90")).limit(1)))
