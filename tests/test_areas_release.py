@@ -160,3 +160,77 @@ def test_a_broken_load_is_replaced_and_a_known_version_filled(spark, tmp_path):
     assert sorted((r.area_id, r.x) for r in release.read(spark, root, "areas", version).collect()) == [(1, "a"), (2, None)]
     assert not release.load(spark, root, version, "cd" * 32, {"areas": rows((1, "z"), (2, "b"))}, {"areas": ["area_id"]})
     assert sorted((r.area_id, r.x) for r in release.read(spark, root, "areas", version).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_a_load_that_stops_anywhere_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    version, root = release.version_of("ef" * 32), str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "area_id int, x string")
+    tables = lambda v: {"areas": rows((1, v), (2, None)), "stats": rows((7, v))}
+    keys = {"areas": ["area_id"], "stats": ["area_id"]}
+    state = lambda: [sorted((r.area_id, r.x) for r in release.read(spark, root, t, version).collect()) for t in ("areas", "stats")]
+    assert release.load(spark, root, version, "ef" * 32, {"areas": rows((1, None), (2, None)), "stats": rows((7, None))}, keys)
+    real, old = release._staged, state()
+    for stop in range(3):
+        calls = iter(range(9))
+
+        def staged(df, *where, stop=stop, calls=calls):
+            if next(calls) == stop:
+                raise RuntimeError("power cut")
+            out = real(df, *where)
+            return out
+
+        def no_row(*a, **k):
+            raise RuntimeError("power cut")
+
+        monkeypatch.setattr(release, "_staged", staged)
+        if stop == 2:  # both tables are written, the row isn't
+            monkeypatch.setattr(release.F, "current_timestamp", no_row)
+        with pytest.raises(RuntimeError):
+            release.load(spark, root, version, "ef" * 32, tables("a"), keys)
+        monkeypatch.undo()
+        assert state() == old
+    assert not release.load(spark, root, version, "ef" * 32, tables("a"), keys)
+    assert state() == [[(1, "a"), (2, None)], [(7, "a")]]
+    assert not release.load(spark, root, version, "ef" * 32, {**tables("b"), "fares": rows((5, "f"))}, {})
+    assert state()[0] == [(1, "a"), (2, None)] and release.read(spark, root, "fares", version).count() == 1
+
+
+def test_reports_are_checked_before_a_load(spark, tmp_path):
+    report = {"scope": "demo", "locked_config": {"selected_model": "area_a_plus_c", "weights": {"area_a_plus_c": [0.3, 0.7]}}, "n": 1.5, "text": "é"}
+    report["report_hash"] = release.report_digest(report)
+    areas = {"areas": spark.createDataFrame([(1,)], "area_id int")}
+    bad = [({"scope": "all"}, "WRONG_SCOPE"), ({"locked_config": {"selected_model": "area_a"}}, "WRONG_MODEL"), ({"n": 2}, "WRONG_HASH")]
+    for change, code in bad:
+        with pytest.raises(release.ServiceError) as x:
+            release.load_report(spark, str(tmp_path), report | change, areas)
+        assert x.value.code == code
+    with pytest.raises(release.ServiceError):
+        release.load_report(spark, str(tmp_path), report, areas, fares={"artifact_type": "train_fare_estimates", "split": "test"})
+    version, new = release.load_report(spark, str(tmp_path), report, areas, fares={"artifact_type": "train_fare_estimates", "split": "train"})
+    row = release.releases(spark, str(tmp_path)).first()
+    assert new and row.model_version == version == "trip-serving-v1-" + report["report_hash"][:16]
+    assert row.selected_model == "area_a_plus_c" and '"weights": [0.3, 0.7]' in row.serving_config_json
+    with pytest.raises(release.ServiceError):
+        release.read(spark, str(tmp_path), "none", version)
+
+
+def test_a_batch_is_there_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    root, kind = str(tmp_path), "request_id string, n int"
+    rows = lambda *r: spark.createDataFrame(list(r), kind)
+    assert release.appended(spark, root, "items", kind).count() == 0
+    assert release.append(spark, root, {"requests": rows(("a", 1)), "items": rows(("a", 1), ("a", 2))}, "first")
+    assert not release.append(spark, root, {"requests": rows(("a", 1)), "items": rows(("a", 1))}, "first")
+    real = release._staged
+
+    def staged(df, root, name, part):
+        if name == "items":
+            raise RuntimeError("power cut")
+        return real(df, root, name, part)
+
+    monkeypatch.setattr(release, "_staged", staged)
+    with pytest.raises(RuntimeError):
+        release.append(spark, root, {"requests": rows(("b", 1)), "items": rows(("b", 1))}, "second")
+    monkeypatch.undo()
+    assert [r.request_id for r in release.appended(spark, root, "requests", kind).collect()] == ["a"]
+    assert release.append(spark, root, {"requests": rows(("b", 1)), "items": rows(("b", 1))}, "second")
+    assert release.appended(spark, root, "requests", kind).count() == 2 and release.appended(spark, root, "items", kind).count() == 3

@@ -1,19 +1,23 @@
 """Versioned serving tables, personas and releases, kept as Parquet by model_version.
 
-A load of a version that exists already only fills in what is null. A version is a folder
-of its own, which a load replaces as a whole. There is no
-transaction over several tables: each write is atomic on its own, and the release row is
-written last, so readers never see a half-loaded version.
+A load or a batch of online rows covers several tables. Each of its tables is written to a
+folder of its own, which nothing reads yet; one row, appended last, names these folders and
+makes all of them visible at once. No folder is ever written again, so a writer that stops
+anywhere leaves readers with what they had, and what it left behind is never read. A load
+of a version that exists already only fills in what is null, as a new set of folders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import hashlib
+import json
+import uuid
 
-from tripforge.sources.scratch import stored
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 PERSONAS = (("demo_rider_full", "frequent", "full"), ("demo_rider_light", "occasional", "light"), ("demo_rider_cold", "new", "cold"))
-RELEASES = "model_version string, report_hash string, loaded_at timestamp"
+RELEASES = "model_version string, report_hash string, loaded_at timestamp, scope string, selected_model string, serving_config_json string, folders map<string,string>"
+BATCHES = "batch string, folders map<string,string>, at timestamp"
 
 
 class ServiceError(Exception):
@@ -65,30 +69,104 @@ def latest(releases: DataFrame) -> DataFrame:
     return releases.orderBy(F.desc("loaded_at"), F.desc("model_version")).limit(1)
 
 
-def load(spark: SparkSession, root: str, version: str, report_hash: str, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> bool:
-    """Writes each table under root/name/model_version=.. and the release row last; True if
-    the version is new. A load that broke off left no release row, and its retry replaces
-    the version's rows, so nothing is there twice. If the version is there already, nulls
-    in tables that have keys are filled from the new rows, and the load returns False."""
+def report_digest(report: dict) -> str:
+    """SHA-256 of a report without its own hash, as JSON with sorted keys and no spaces."""
+    rest = {k: v for k, v in report.items() if k != "report_hash"}
+    return hashlib.sha256(json.dumps(rest, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def checked(report: dict, scope: str, model: str = "area_a_plus_c", fares: dict | None = None) -> str:
+    """The hash of an evaluation report that may be loaded: of the right scope, with the
+    right model selected, unchanged since it was hashed; fares, if given, of training data."""
+    if report.get("scope") != scope:
+        raise ServiceError("WRONG_SCOPE", f"the report's scope is {report.get('scope')!r}, not {scope!r}")
+    if report.get("locked_config", {}).get("selected_model") != model:
+        raise ServiceError("WRONG_MODEL", f"the report doesn't select {model}")
+    if (found := str(report.get("report_hash"))) != report_digest(report):
+        raise ServiceError("WRONG_HASH", "the report was changed after it was hashed")
+    if fares is not None and (fares.get("artifact_type"), fares.get("split")) != ("train_fare_estimates", "train"):
+        raise ServiceError("WRONG_FARES", "fares must be of training data")
+    return found
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def releases(spark: SparkSession, root: str) -> DataFrame:
+    """The latest row of each version."""
     path = f"{root}/model_releases"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    known = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs) and bool(spark.read.schema(RELEASES).parquet(path).where(F.col("model_version") == version).limit(1).count())
+    rows = spark.read.schema(RELEASES).parquet(path) if _exists(spark, path) else spark.createDataFrame([], RELEASES)
+    last = rows.groupBy("model_version").agg(F.max_by(F.struct(*rows.columns), "loaded_at").alias("x"), F.min("loaded_at").alias("first"))
+    return last.select("x.*").drop("loaded_at").join(last.select("model_version", F.col("first").alias("loaded_at")), "model_version").select(*rows.columns)
+
+
+def _staged(df: DataFrame, root: str, name: str, part: str) -> str:
+    """Writes a table to a folder that is new; gives its path below root."""
+    folder = f"{name}/{part}/load={uuid.uuid4().hex[:16]}"
+    df.write.option("compression", "zstd").parquet(f"{root}/{folder}")
+    return folder
+
+
+def load(spark: SparkSession, root: str, version: str, report_hash: str, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None, scope: str | None = None, selected_model: str | None = None, config: dict | None = None) -> bool:
+    """Writes each table to a new folder and then the release row; True if the version is
+    new. If it is there already, nulls in its tables that have keys are filled from the new
+    rows, tables that it lacks are added, and the load returns False. `load_report` checks
+    the report first."""
+    known = releases(spark, root).where(F.col("model_version") == version).first()
+    folders = dict(known.folders) if known else {}
     for name, df in tables.items():
-        at = f"{root}/{name}/model_version={version}"
-        if known and not (keys or {}).get(name):
-            continue
-        if known:
-            own = keys[name]
-            df = stored(filled(spark.read.parquet(at), df, own, [c for c in df.columns if c not in own]), "release")
-        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
-    if not known:
-        row = spark.createDataFrame([(version, report_hash)], "model_version string, report_hash string")
-        row.withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(path)
+        own = (keys or {}).get(name)
+        if name in folders:
+            if not own:
+                continue
+            df = filled(spark.read.parquet(f"{root}/{folders[name]}"), df, own, [c for c in df.columns if c not in own])
+        folders[name] = _staged(df, root, name, f"model_version={version}")
+    if known and folders == dict(known.folders):
+        return False
+    told = (known.serving_config_json if known else None) or (json.dumps(config, sort_keys=True) if config else None)
+    row = (version, report_hash, known.scope if known else scope, known.selected_model if known else selected_model, told, folders)
+    rows = spark.createDataFrame([row], "model_version string, report_hash string, scope string, selected_model string, serving_config_json string, folders map<string,string>")
+    rows = rows.withColumn("loaded_at", F.current_timestamp()).select(*[x.split()[0] for x in RELEASES.split(", ")])
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/model_releases")
     return not known
 
 
+def load_report(spark: SparkSession, root: str, report: dict, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None, scope: str = "demo", model: str = "area_a_plus_c", fares: dict | None = None, cohort: dict | None = None) -> tuple[str, bool]:
+    """`load` of what a report was made of, once it is checked: (version, whether it is new)."""
+    found = checked(report, scope, model, fares)
+    config = {"weights": report["locked_config"].get("weights", {}).get(model), "cohort_distance_reference": cohort}
+    version = version_of(found)
+    return version, load(spark, root, version, found, tables, keys, scope, model, config)
+
+
 def read(spark: SparkSession, root: str, name: str, version: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}").where(F.col("model_version") == version)
+    """A table of a version, as its release row names it."""
+    known = releases(spark, root).where(F.col("model_version") == version).first()
+    if known is None or name not in known.folders:
+        raise ServiceError("RELEASE_NOT_FOUND", f"no table {name} of {version}")
+    return spark.read.parquet(f"{root}/{known.folders[name]}").withColumn("model_version", F.lit(version))
+
+
+def append(spark: SparkSession, root: str, tables: dict[str, DataFrame], batch: str | None = None) -> bool:
+    """Adds rows to several online tables at once; False, and nothing is added, if a batch
+    of that name is there already (a retry)."""
+    batch, path = batch or uuid.uuid4().hex, f"{root}/batches"
+    if _exists(spark, path) and not spark.read.schema(BATCHES).parquet(path).where(F.col("batch") == batch).isEmpty():
+        return False
+    folders = {name: _staged(df, root, name, f"batch={batch}") for name, df in tables.items()}
+    row = spark.createDataFrame([(batch, folders)], "batch string, folders map<string,string>")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+    return True
+
+
+def appended(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """All rows of an online table whose batches are complete."""
+    path = f"{root}/batches"
+    done = [r.f for r in spark.read.schema(BATCHES).parquet(path).select(F.col("folders")[name].alias("f")).where("f IS NOT NULL").collect()] if _exists(spark, path) else []
+    # a path for each batch of requests
+    return spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in done]) if done else spark.createDataFrame([], schema)
 
 
 def select_model(metrics: list[dict]) -> dict:
