@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripforge.functions.geo import haversine_km, region_bucket
+from tripforge.operators.quantiles import quantiles
+from tripforge.sources.scratch import stored
 
 
 def coordinate_pool(trips: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def stratified_sample(points: DataFrame, size: int, key: str, stratum: str = "re
     beginning of a larger one. A point of rank r among n is taken only if (r - 1) / n is at
     most size / total, so counts by hash range tell where the order can be cut: the window
     sees about `size` rows and the last ranges, not all rows of a stratum in one task."""
-    rows = points.withColumn("_h", F.sha2(F.col(key).cast("string"), 256))
+    rows = stored(points.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)), "hashed")
     rows = rows.withColumn("_range", F.coalesce(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), F.lit(-1)))
     ranges = rows.groupBy(F.col(stratum).alias("_s"), "_range").agg(F.count(F.lit(1)).alias("_k"))
     total = ranges.agg(F.sum("_k").alias("_total"))
@@ -48,6 +50,6 @@ def area_summary(points: DataFrame) -> DataFrame:
     region = points.groupBy("area_id", "region").agg(F.count(F.lit(1)).alias("n"))
     region = region.groupBy("area_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "region")).alias("r"))
     away = points.join(centre, "area_id").select("area_id", haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")).alias("km"))
-    radius = away.groupBy("area_id").agg(F.expr("percentile(km, 0.9D)").alias("radius_p90_km"))
+    radius = quantiles(away, ["area_id"], "km", [0.9]).select("area_id", F.col("q")[0].alias("radius_p90_km"))
     out = centre.join(region, "area_id").join(radius, "area_id")
     return out.select("area_id", "members", "c_lat", "c_lng", F.col("r.region").alias("region"), (-F.col("r.n") / F.col("members")).alias("region_share"), "radius_p90_km")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tripforge.functions.calendar import PERIODS, WEEKDAY_CLASSES
 from tripforge.functions.scoring import A_WEIGHTS, ratio, robust_minmax
+from tripforge.operators.quantiles import quantiles
 
 CONTEXT = ["period", "weekday_class"]
 
@@ -60,7 +61,8 @@ def area_grid(trips: DataFrame, areas: DataFrame, alpha: float = 1.0) -> DataFra
 def area_attraction(grid: DataFrame) -> DataFrame:
     """Scales each metric between its 5th and 95th percentile over the grid (area metrics
     count once per context there) and weights them."""
-    scale = grid.agg(*[F.expr(f"percentile({m}, array(0.05D, 0.95D))").alias(f"_{m}") for m in A_WEIGHTS])
+    long = grid.select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in A_WEIGHTS])).alias("x")).select("x.*")
+    scale = quantiles(long, ["m"], "v", [0.05, 0.95]).agg(*[F.max(F.when(F.col("m") == m, F.col("q"))).alias(f"_{m}") for m in A_WEIGHTS])
     rows = grid.crossJoin(F.broadcast(scale))  # one row
     part = {m: robust_minmax(F.col(m), F.col(f"_{m}")[0], F.col(f"_{m}")[1]) for m in A_WEIGHTS}
     score = sum((F.lit(w) * part[m] for m, w in A_WEIGHTS.items()), F.lit(0.0))

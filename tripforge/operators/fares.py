@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tripforge.functions.scoring import distance_bin
+from tripforge.operators.quantiles import quantiles
 
 ALL_PERIODS, ALL_REGIONS = "all_periods", "all_regions"
 LADDER = ("distance_period_region", "distance_period_all_regions", "distance_all_periods_region", "distance_only")
@@ -12,16 +13,14 @@ LADDER = ("distance_period_region", "distance_period_all_regions", "distance_all
 
 def fare_cube(trips: DataFrame, least: int = 30) -> DataFrame:
     """trips: distance_km, period, pickup_region, fare_midpoint of training trips. Four
-    grouping sets, each with the distance bin; groups of fewer than `least` are left out."""
+    grouping sets, each with the distance bin, as four rows a trip; groups of fewer than
+    `least` fares are left out."""
     rows = trips.select(distance_bin(F.col("distance_km")).alias("distance_bin"), "period", F.col("pickup_region").alias("region"), "fare_midpoint")
-    b, p, r = (F.col(c) for c in ("distance_bin", "period", "region"))
-    cube = rows.groupingSets([[b, p, r], [b, p], [b, r], [b]], b, p, r).agg(
-        F.count(F.lit(1)).alias("n"), F.expr("percentile(fare_midpoint, array(0.25D, 0.75D))").alias("q"), F.grouping("period").alias("gp"), F.grouping("region").alias("gr")
-    )
-    return cube.where(F.col("n") >= least).select(
-        "distance_bin", F.when(F.col("gp") == 1, ALL_PERIODS).otherwise(p).alias("period"), F.when(F.col("gr") == 1, ALL_REGIONS).otherwise(r).alias("region"),
-        F.col("n").alias("sample_count"), F.bround(F.col("q")[0], 2).alias("fare_p25"), F.bround(F.col("q")[1], 2).alias("fare_p75"),
-    )
+    group = lambda period, region: F.struct("distance_bin", period.alias("period"), region.alias("region"))
+    period, region = (F.col("period"), F.lit(ALL_PERIODS)), (F.col("region"), F.lit(ALL_REGIONS))
+    long = rows.select("fare_midpoint", F.explode(F.array(*[group(p, r) for p in period for r in region])).alias("g")).select("g.*", "fare_midpoint")
+    cube = quantiles(long, ["distance_bin", "period", "region"], "fare_midpoint", [0.25, 0.75]).where(F.col("n") >= least)
+    return cube.select("distance_bin", "period", "region", F.col("n").alias("sample_count"), F.bround(F.col("q")[0], 2).alias("fare_p25"), F.bround(F.col("q")[1], 2).alias("fare_p75"))
 
 
 def fare_ladder(requests: DataFrame, cube: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tripforge.functions.calendar import PERIODS
 from tripforge.functions.scoring import personalization_level, ratio, rider_key
+from tripforge.operators.quantiles import quantiles
 
 NUMERIC = ["p25_km", "median_km", "p75_km", "p90_km", *[f"{p}_ratio" for p in PERIODS]]
 NEIGHBOURS = 50
@@ -34,10 +35,10 @@ def rider_areas(trips: DataFrame) -> DataFrame:
 
 
 def cohort_quantiles(trips: DataFrame) -> DataFrame:
-    """Distance quantiles of all trips by the riders' level."""
+    """Distance quantiles of all trips that have a distance, by the riders' level."""
     level = trips.groupBy("rider_id").agg(personalization_level(F.count(F.lit(1))).alias("level"))
-    q = trips.join(level, "rider_id").groupBy("level").agg(F.count(F.lit(1)).alias("trips"), F.expr("percentile(distance_km, array(0.25D, 0.5D, 0.75D, 0.9D))").alias("q"))
-    return q.select("level", "trips", *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90"))])
+    q = quantiles(trips.join(level, "rider_id").select("level", "distance_km"), ["level"], "distance_km", [0.25, 0.5, 0.75, 0.9])
+    return q.select("level", F.col("n").alias("trips"), *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90"))])
 
 
 def tier_counts(trips: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def tier_counts(trips: DataFrame) -> DataFrame:
 def b_scale(rider_area: DataFrame, profiles: DataFrame) -> DataFrame:
     """5th and 95th percentile of log(1 + visits) over riders that aren't cold."""
     rows = rider_area.join(profiles.where("level <> 'cold'").select("rider_id"), "rider_id", "left_semi")
-    q = rows.agg(F.expr("percentile(ln(1.0D + visits), array(0.05D, 0.95D))").alias("q"))
+    q = quantiles(rows.select(F.ln(1.0 + F.col("visits")).alias("v")), [], "v", [0.05, 0.95])
     return q.select(F.col("q")[0].alias("p5"), F.col("q")[1].alias("p95"))
 
 

@@ -60,7 +60,7 @@ rungs AS (SELECT request_id, distance_bin, 0 AS rung, 'distance_period_region' A
 hit AS (SELECT request_id, source, fare_p25, fare_p75, sample_count, row_number() OVER (PARTITION BY request_id ORDER BY rung) AS k FROM rungs JOIN cube USING (distance_bin, period, region))
 SELECT request_id, distance_bin, source, fare_p25, fare_p75, sample_count FROM req LEFT JOIN (SELECT * FROM hit WHERE k = 1) USING (request_id)""")
 def fare_ladder(spark, sf_dir):
-    t = eligible(trips(spark, sf_dir))
+    t = stored(eligible(trips(spark, sf_dir)).where("split <> 'validation'").select("trip_id", "distance_km", "period", "pickup_region", "fare_midpoint", "split"), "trips")
     requests = t.where("split = 'test'").select(F.col("trip_id").alias("request_id"), "distance_km", "period", F.col("pickup_region").alias("region"))
     return fares.fare_ladder(requests, fares.fare_cube(t.where("split = 'train'")))
 
@@ -228,12 +228,12 @@ def rider_area_stats(spark, sf_dir):
 
 @query(PROFILES + "SELECT level, count(*) AS trips, " + ", ".join(f"round(quantile_cont(distance_km, {q / 100}), 6) AS p{q}" for q in (25, 50, 75, 90)) + " FROM ok JOIN prof USING (rider_id) WHERE split = 'train' GROUP BY level")
 def cohort_quantiles(spark, sf_dir):
-    return rounded(riders.cohort_quantiles(train(spark, sf_dir)))
+    return rounded(riders.cohort_quantiles(stored(train(spark, sf_dir).select("rider_id", "distance_km"), "trips")))
 
 
 @query(PROFILES + ", ra AS (SELECT rider_id, area_id, period, count(*) AS visits FROM ok JOIN prof USING (rider_id) WHERE split = 'train' AND level <> 'cold' GROUP BY ALL) SELECT round(quantile_cont(ln(1 + visits::DOUBLE), 0.05), 6) AS p5, round(quantile_cont(ln(1 + visits::DOUBLE), 0.95), 6) AS p95 FROM ra")
 def b_scale(spark, sf_dir):
-    t = train(spark, sf_dir)
+    t = stored(train(spark, sf_dir), "trips")
     return rounded(riders.b_scale(riders.rider_areas(t), riders.rider_profiles(t)))
 
 
