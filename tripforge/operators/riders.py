@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tripforge.functions.calendar import PERIODS
 from tripforge.functions.scoring import personalization_level, ratio, rider_key
+from tripforge.operators import neighbours
 from tripforge.operators.quantiles import quantiles
 
 NUMERIC = ["p25_km", "median_km", "p75_km", "p90_km", *[f"{p}_ratio" for p in PERIODS]]
 NEIGHBOURS = 50
+#: Blocks of which all pairs meet.
+FEW_BLOCKS = 8
 
 
 def rider_profiles(trips: DataFrame, salt: str | None = None) -> DataFrame:
@@ -72,33 +75,18 @@ def rider_vectors(profiles: DataFrame, rider_area: DataFrame, level: str = "full
 
 def cosine_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, key: str = "rider_id", block: int = 512) -> DataFrame:
     """vectors: key, v (array of unit length) -> the k most similar others of each, by
-    similarity, then key; none at or below 0. Blocks of rows meet pairwise: a task holds
-    two blocks and returns k rows for each of the first, never all pairs."""
-    import numpy as np
-    import pyarrow as pa
-
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
+    similarity, then key; none at or below 0. Few blocks of rows meet pairwise, each pair in
+    a task; of more, pairs that can't matter are left out first."""
+    blocks = max(1, -(-vectors.count() // block))
+    if blocks > FEW_BLOCKS:
+        return neighbours.nearest(vectors, k, key, block)
     at = F.pmod(F.xxhash64(key), F.lit(blocks))
     rows = vectors.select(F.col(key).alias("key"), F.col("v").cast("array<double>").alias("v"), at.alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("key", "v", F.col("b").alias("i"), every.alias("j"))
+    left = rows.select("key", "v", F.lit(0.0).alias("floor"), F.col("b").alias("i"), every.alias("j"))
     right = rows.select(F.col("key").alias("r_key"), F.col("v").alias("r_v"), every.alias("i"), F.col("b").alias("j"))
 
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"key": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        ka, kb = a["key"].to_numpy(), b["r_key"].to_numpy()
-        va, vb = (np.array(t.to_pylist(), float) for t in (a["v"], b["r_v"]))
-        s = np.round(va @ vb.T, 12)
-        s[ka[:, None] == kb[None, :]] = -2
-        out = []
-        for r in range(len(ka)):
-            order = np.lexsort((kb, -s[r]))[:k]
-            out += [(int(ka[r]), int(kb[c]), float(s[r, c])) for c in order if s[r, c] > 0]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table({"key": pa.array(cols[0], pa.int64()), "neighbour": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], pa.float64())})
-
+    best = lambda a, b: neighbours.best_of(a, b, k)
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "key long, neighbour long, similarity double")
     w = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("key").alias(key), "neighbour", "similarity", "rank")
