@@ -234,3 +234,29 @@ def test_a_batch_is_there_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch)
     assert [r.request_id for r in release.appended(spark, root, "requests", kind).collect()] == ["a"]
     assert release.append(spark, root, {"requests": rows(("b", 1)), "items": rows(("b", 1))}, "second")
     assert release.appended(spark, root, "requests", kind).count() == 2 and release.appended(spark, root, "items", kind).count() == 3
+
+
+def test_prediction_walks_up_the_tree():
+    r = np.random.default_rng(3)
+    at = np.concatenate([r.normal(c, s, (n, 2)) for c, s, n in (((25.0, 121.5), 0.01, 150), ((25.02, 121.53), 0.004, 80), ((25.3, 121.9), 0.02, 120), ((24.9, 121.2), 0.2, 100))])
+    new = np.concatenate([at[::3] + r.normal(0, 0.003, at[::3].shape), r.uniform((24.5, 121.0), (25.6, 122.2), (150, 2)), [[-30.0, 10.0]]])
+    for size, k, selection in ((15, 5, "eom"), (15, 5, "leaf"), (40, 10, "eom")):
+        c = density.fit(np.radians(at), size, k, selection)
+        got = c.predict(np.radians(new), k, block=16)
+        d = density.distances(np.radians(new), np.radians(at))
+        for i in range(len(new)):
+            own = np.sort(d[i])[k - 1]
+            reach = np.maximum(np.maximum(d[i], own), c.core)
+            near = int(reach.argmin())
+            branch, density_ = int(c.branch[near]), 1 / reach[near]
+            if c.left[near] > density_:
+                while c.above[branch] >= 0 and c.began[branch] >= density_:
+                    branch = int(c.above[branch])
+            assert got[i] == c.cluster[branch]
+        assert len(set(got)) > 2 and got[-1] == -1
+        assert all(c.labels[p] == c.cluster[c.branch[p]] for p in range(len(at)))
+
+
+def test_prediction_of_nothing():
+    c = density.fit(np.radians([[25.0, 121.5]]), 5, 2)
+    assert c.predict(np.radians([[25.0, 121.5]]), 2).tolist() == [-1] and c.predict(np.zeros((0, 2)), 2).tolist() == []

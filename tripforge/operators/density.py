@@ -4,15 +4,17 @@ Moulavi and Sander 2013), prediction for new points, and a grid of candidates.
 A fit works on a sample of bounded size within one task, with memory linear in the points
 (minimum spanning tree by Prim's method on mutual reachability); the candidates of a grid
 are fitted in parallel, a task each. A point counts as its own first neighbour. Points are
-radians; distances are kilometres on the sphere. Prediction joins a point to the cluster of
-its nearest neighbour by mutual reachability if that lies within the cluster's own largest
-reach; otherwise it is noise. Labels of other implementations may differ in such details.
+radians; distances are kilometres on the sphere. Prediction follows the published rule: a
+new point joins the tree beside its nearest neighbour by mutual reachability. Where it comes
+in later than that neighbour left its branch, it belongs to the branch above that was there
+already; its label is that of the chosen cluster which holds that branch, or noise. Labels
+of other implementations may differ in details, as in how equal distances are ordered.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -115,25 +117,64 @@ class Clustering:
     labels: np.ndarray
     strengths: np.ndarray
     reach: np.ndarray  # of each cluster: the largest mutual reachability at which it holds
+    branch: np.ndarray = field(default_factory=lambda: np.zeros(0, int))  # that each point left last
+    left: np.ndarray = field(default_factory=lambda: np.zeros(0))  # and at what density (1 / km)
+    #: Of each branch: the one above (-1 at the root), the density at which it began, and the
+    #: cluster that holds it (-1 for none).
+    above: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    began: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    cluster: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
 
     def predict(self, points: np.ndarray, k: int, block: int = 256) -> np.ndarray:
-        out = np.full(len(points), -1)
-        for i in range(0, len(points), block):
-            d = distances(points[i : i + block], self.points)
-            own = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            m = np.maximum(np.maximum(d, own[:, None]), self.core[None, :])
-            near = m.argmin(1)
-            label = self.labels[near]
-            ok = (label >= 0) & (m[np.arange(len(near)), near] <= np.where(label >= 0, self.reach[label] if len(self.reach) else 0, -1))
-            out[i : i + block] = np.where(ok, label, -1)
-        return out
+        if not len(self.branch) or not len(points):
+            return np.full(len(points), -1)
+        near, reach = nearest_reach(points, self.points, self.core, k, block)
+        density, at = 1 / np.maximum(reach, 1e-12), self.branch[near].copy()
+        climbs = self.left[near] > density
+        while (up := climbs & (self.above[at] >= 0) & (self.began[at] >= density)).any():
+            at[up] = self.above[at[up]]
+        return self.cluster[at]
+
+
+def nearest_reach(points: np.ndarray, sample: np.ndarray, core: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point the sample's nearest one by mutual reachability (the first of equals),
+    and that reach; a point's own core distance is that to the k-th of the sample. Blocks of
+    close points first bound both among the sample's points of like latitude, and then look
+    only at those in the box around the block that the bound allows."""
+    n, m = len(sample), len(points)
+    k, v, w = min(k, n), vectors(sample), vectors(points)
+    by_lat = np.argsort(sample[:, 0], kind="stable")
+    strips = max(1, int(np.sqrt(m / block)))
+    strip = np.empty(m, int)
+    strip[np.argsort(points[:, 0], kind="stable")] = np.arange(m) * strips // m
+    order = np.lexsort((points[:, 1], strip))
+    found, reach = np.zeros(m, int), np.zeros(m)
+    for i in range(0, m, block):
+        own = order[i : i + block]
+        lo, hi = np.searchsorted(sample[by_lat, 0], [points[own, 0].min(), points[own, 0].max()])
+        lo, hi = max(0, lo - block - k), min(n, hi + block + k)
+        rows = by_lat[lo:hi] if hi - lo <= 4096 + 2 * k else by_lat[lo:hi][:: max(1, (hi - lo) // (2048 + 2 * k))]
+        d = distances(points[own], sample[rows])
+        kth = np.partition(d, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1] if len(rows) >= k else np.full(len(own), np.pi * EARTH_RADIUS_KM)
+        most = np.maximum(kth, np.maximum(np.maximum(d, kth[:, None]), core[rows]).min(1)).max()
+        chord = 2 * np.sin(min(most / (2 * EARTH_RADIUS_KM), np.pi / 2)) * (1 + 1e-9) + 1e-12
+        low, high = w[:, own].min(1) - chord, w[:, own].max(1) + chord
+        near = np.flatnonzero(((v >= low[:, None]) & (v <= high[:, None])).all(0))
+        for j in range(0, len(own), max(1, (1 << 22) // len(near))):
+            part = own[j : j + max(1, (1 << 22) // len(near))]
+            d = distances(points[part], sample[near])
+            mine = np.partition(d, k - 1, axis=1)[:, k - 1]
+            both = np.maximum(np.maximum(d, mine[:, None]), core[near])
+            at = both.argmin(1)
+            found[part], reach[part] = near[at], both[np.arange(len(part)), at]
+    return found, reach
 
 
 def fit(points: np.ndarray, min_cluster_size: int, min_samples: int, selection: str = "eom") -> Clustering:
     """selection: eom (excess of mass) or leaf. A cluster is never the whole tree."""
     n = len(points)
     if min_cluster_size < 2 or n < min_cluster_size:
-        return Clustering(points, np.zeros(n), np.full(n, -1), np.zeros(n), np.zeros(0))
+        return Clustering(points, np.zeros(n), np.full(n, -1), np.zeros(n), np.zeros(0), np.zeros(n, int), np.zeros(n), np.full(1, -1), np.zeros(1), np.full(1, -1))
     core = core_distances(points, min_samples)
     child, dist, size = dendrogram(spanning_tree(points, core), n)
     lam = 1 / np.maximum(dist, 1e-12)
@@ -186,18 +227,24 @@ def fit(points: np.ndarray, min_cluster_size: int, min_samples: int, selection:
         final[k] = above if above >= 0 else (k if chosen[k] else -1)
     names = {c: i for i, c in enumerate(sorted({c for c in final.values() if c >= 0}))}
     labels, strengths, most = np.full(n, -1), np.zeros(n), np.zeros(len(names))
-    for c, p, at, _ in rows:
-        if p >= 0 and final[c] >= 0:
+    branch, left = np.zeros(n, int), np.zeros(n)
+    for c, p, at, s in rows:
+        if p < 0 or s > 1:
+            continue
+        branch[p], left[p] = c, at
+        if final[c] >= 0:
             k = names[final[c]]
             labels[p], strengths[p] = k, at
             most[k] = max(most[k], at)
     member = labels >= 0
     strengths[member] = np.minimum(1, strengths[member] / np.maximum(most[labels[member]], 1e-12))
     reach = np.array([1 / max(birth[c], 1e-12) for c in sorted(names)])
-    return Clustering(points, core, labels, strengths, reach)
+    tree = [np.array([x[c] for c in sorted(up)]) for x in (up, birth, {c: names.get(final[c], -1) for c in up})]
+    return Clustering(points, core, labels, strengths, reach, branch, left, *tree)
 
 
-POINTS, REACH = "seq long, lat double, lng double, core double, label long, strength double", "cluster int, reach double"
+POINTS, REACH = "seq long, lat double, lng double, core double, label long, strength double, branch long, left double", "cluster int, reach double"
+TREE = "branch long, above long, began double, cluster long"
 GRID = "policy string, size int, min_cluster_size int, min_samples int, status string, clusters int, noise_ratio double, size_p50 double, size_p90 double, radius_p50_km double, radius_p90_km double, coverage map<string,double>, message string"
 
 
@@ -256,9 +303,11 @@ def experiment(points: DataFrame, candidates: DataFrame, most: int | None = None
 def save(spark: SparkSession, model: Clustering, path: str, contract: dict) -> None:
     """The model as tables; the contract, which makes it valid, comes last."""
     delete(spark, f"{path}/contract")
-    rows = pd.DataFrame({"seq": np.arange(len(model.points)), "lat": model.points[:, 0], "lng": model.points[:, 1], "core": model.core, "label": model.labels, "strength": model.strengths})
+    rows = pd.DataFrame({"seq": np.arange(len(model.points)), "lat": model.points[:, 0], "lng": model.points[:, 1], "core": model.core, "label": model.labels, "strength": model.strengths, "branch": model.branch, "left": model.left})
     spark.createDataFrame(rows, POINTS).write.mode("overwrite").parquet(f"{path}/points")
     spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.reach)], REACH).write.mode("overwrite").parquet(f"{path}/reach")
+    tree = [(i, int(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(model.above, model.began, model.cluster, strict=True))]
+    spark.createDataFrame(tree, TREE).write.mode("overwrite").parquet(f"{path}/tree")
     spark.createDataFrame([(json.dumps(contract, sort_keys=True),)], "contract string").write.mode("overwrite").parquet(f"{path}/contract")
 
 
@@ -273,7 +322,8 @@ def load(spark: SparkSession, path: str, contract: dict) -> Clustering | None:
         return None
     p = spark.read.schema(POINTS).parquet(f"{path}/points").orderBy("seq").toPandas()
     reach = spark.read.schema(REACH).parquet(f"{path}/reach").orderBy("cluster").toPandas()
-    return Clustering(p[["lat", "lng"]].to_numpy(), p["core"].to_numpy(), p["label"].to_numpy(), p["strength"].to_numpy(), reach["reach"].to_numpy())
+    tree = spark.read.schema(TREE).parquet(f"{path}/tree").orderBy("branch").toPandas()
+    return Clustering(p[["lat", "lng"]].to_numpy(), *(p[c].to_numpy() for c in ("core", "label", "strength")), reach["reach"].to_numpy(), p["branch"].to_numpy(), p["left"].to_numpy(), *(tree[c].to_numpy() for c in ("above", "began", "cluster")))
 
 
 def fit_once(sample: DataFrame, path: str, contract: dict, min_cluster_size: int, min_samples: int) -> Clustering:
@@ -300,3 +350,12 @@ def assign(points: DataFrame, model: Clustering, min_samples: int, region: str =
     inside = (F.col("_label") >= 0) & (F.col("region") == region)
     fallback = F.concat(F.lit(f"{prefix}fallback-"), F.when(F.col("region") == OTHER_REGION, "other").otherwise(F.lower("region")))
     return rows.withColumn("area_id", F.when(inside, F.concat(F.lit(prefix), F.format_string("%04d", "_label"))).otherwise(fallback)).withColumn("assignment", F.when(inside, "density").otherwise("fallback")).drop("_label")
+
+
+def assign_trips(trips: DataFrame, model: Clustering, min_samples: int, **more) -> DataFrame:
+    """Both ends of trips in one pass over them: pickup_ and dropoff_ area_id, assignment and
+    region, from pickup_lat, pickup_lng, dropoff_lat, dropoff_lng."""
+    for side in ("pickup", "dropoff"):
+        own = trips.withColumns({"lat": F.col(f"{side}_lat"), "lng": F.col(f"{side}_lng")})
+        trips = assign(own, model, min_samples, **more).withColumnsRenamed({c: f"{side}_{c}" for c in ("area_id", "assignment", "region")}).drop("lat", "lng")
+    return trips
