@@ -51,3 +51,15 @@ def fallbacks(trips: DataFrame) -> DataFrame:
     pickup_assignment, dropoff_region, dropoff_assignment."""
     ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_region").alias("region"), F.col(f"{s}_assignment").alias("assignment")) for s in ("pickup", "dropoff")]))
     return trips.select(ends.alias("e")).select("e.*").where("assignment = 'fallback'").groupBy("side", "region").agg(F.count(F.lit(1)).alias("n"))
+
+
+def evidence_points(areas: DataFrame, probes: DataFrame, period: str = "dinner", day: str = "weekday") -> DataFrame:
+    """Two requests that show both ways of `recommend`: verified_area, the centre of the
+    first area by id, and fallback_area, the first probe that no area takes (or else the
+    first probe, marked so). areas: area_id, lat, lng; probes: seq, lat, lng, assignment."""
+    dense = areas.orderBy("area_id").limit(1).select(F.lit("verified_area").alias("request_id"), "lat", "lng", F.lit("density").alias("assignment"))
+    missed = F.col("assignment") != "fallback"
+    probe = probes.orderBy(F.coalesce(missed, F.lit(True)), "seq").limit(1)
+    named = F.when(F.coalesce(missed, F.lit(True)), "fallback_probe_not_found").otherwise("fallback")
+    out = dense.unionByName(probe.select(F.lit("fallback_area").alias("request_id"), "lat", "lng", named.alias("assignment")))
+    return out.withColumn("period", F.lit(period)).withColumn("weekday_class", F.lit(day))
