@@ -43,6 +43,16 @@ def rank_areas(requests: DataFrame, areas: DataFrame, stats: DataFrame, weights:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("request_id", "rank", "area_id", F.round("distance", 4).alias("distance_km"), "base_score", "proximity", "score")
 
 
+def area_records(ranked: DataFrame, areas: DataFrame, mobility: str = "personal_mobility") -> DataFrame:
+    """request_id, rank, area: a record of each ranked area as services return it, with its
+    centre and what its score is made of. ranked: request_id, rank, area_id, distance_km,
+    score, and any of area_attraction, personal_mobility, base_score, proximity."""
+    have = lambda c: F.col(c) if c in ranked.columns else F.lit(None).cast("double")
+    of = areas.select("area_id", F.struct(F.col("lat").alias("latitude"), F.col("lng").alias("longitude")).alias("centroid"), F.col("radius_p90_km").alias("radius_km"))
+    parts = F.struct(have("area_attraction").alias("area_attraction"), have(mobility).alias("personal_mobility"), have("base_score").alias("base_model_score"), have("proximity").alias("proximity_fit"))
+    return ranked.join(of, "area_id").select("request_id", "rank", F.struct("area_id", "centroid", "radius_km", "distance_km", "score", parts.alias("score_breakdown")).alias("area"))
+
+
 def best_source(places: DataFrame) -> DataFrame:
     """Open places (or of unknown status), each with its best source area, first seen."""
     w = Window.partitionBy("request_id", "place_id").orderBy(F.desc("source_area_score"), "seq")
