@@ -40,13 +40,15 @@ def ranked_areas(requests: DataFrame, areas: DataFrame, stats: DataFrame, profil
     rank, score, distance_km, area_attraction, personal_mobility, budget_km. requests: with
     rider_id (null for new riders), lat, lng, period, weekday_class; stats: area_id,
     period, weekday_class, area_score; profiles and rider_areas as `riders` makes them;
-    cohort: one row of p25, p75, p90 of light riders."""
+    cohort: one row of p25, p75, p90 of light riders, or none."""
     own = ["trip_count", "level", "median_km", "p25_km", "p75_km", "p90_km", "weekend_ratio", *[f"{p}_ratio" for p in ("morning", "lunch", "afternoon", "dinner", "night")]]
     rows = requests.join(profiles.select("rider_id", *own), "rider_id", "left").withColumn("budget_km", distance_budget_km(F.col("level"), F.col("median_km")))
     rows = serve.in_budget(rows, areas).join(stats, ["area_id", "period", "weekday_class"])
     visits = rider_areas.select("rider_id", "area_id", "period", "visits")
     most = visits.groupBy("rider_id", "period").agg(F.max("visits").alias("most"))
-    rows = rows.join(visits, ["rider_id", "area_id", "period"], "left").join(most, ["rider_id", "period"], "left").crossJoin(F.broadcast(cohort.select(F.col("p25").alias("l25"), F.col("p75").alias("l75"), F.col("p90").alias("l90")).limit(1)))
+    rows = rows.join(visits, ["rider_id", "area_id", "period"], "left").join(most, ["rider_id", "period"], "left")
+    light = cohort.select(F.col("p25").alias("l25"), F.col("p75").alias("l75"), F.col("p90").alias("l90")).limit(1)
+    rows = rows.join(F.broadcast(light), F.lit(True), "left")  # one row, or none
     full = F.col("level") == "full"
     p25, p75 = (F.when(full, F.col(f"p{q}_km")).otherwise(f("median_km", f"l{q}")) for q, f in ((25, F.least), (75, F.greatest)))
     p90 = F.when(full, F.col("p90_km")).otherwise(F.greatest(p75 + 0.1, F.col("l90")))
@@ -99,7 +101,7 @@ def recommend(requests: DataFrame, ranked: DataFrame, searches: DataFrame, fixtu
     of = requests.select("request_id", F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), "period", "rider_id")
     places = places.join(of, "request_id").withColumn("distance", haversine_km(F.col("o_lat"), F.col("o_lng"), F.col("lat"), F.col("lng")))
     short = serve.with_routes(serve.shortlist(places), routes)
-    short = short.join(profiles.select("rider_id", F.col("median_min").alias("typical_min"), "p90_km"), "rider_id", "left").crossJoin(F.broadcast(cohort.select(F.col("p90").alias("light_p90")).limit(1)))
+    short = short.join(profiles.select("rider_id", F.col("median_min").alias("typical_min"), "p90_km"), "rider_id", "left").join(F.broadcast(cohort.select(F.col("p90").alias("light_p90")).limit(1)), F.lit(True), "left")  # one row, or none
     top = serve.restaurant_top(short)
     info = short.select("request_id", "place_id", "area_id", "area_score", "restaurant_source", "route_source", "route_km", "route_min", "period")
     rows = top.join(info, ["request_id", "place_id"]).join(ranked.select("request_id", "area_id", "area_attraction", "personal_mobility"), ["request_id", "area_id"])

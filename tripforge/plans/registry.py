@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripforge.operators import areas as area_ops, attraction, clean, demo, evaluate, fares, riders, serve
 from tripforge.plans.testbed import SQL, areas, eligible, trips
-from tripforge.sources.scratch import stored
+from tripforge.sources.scratch import stored, stored_all
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -324,17 +324,20 @@ def _score_rows(spark, sf_dir, split, b=False):
     rows = evaluate.candidates(_questions(t, split), areas(spark))
     as_candidate = F.col("area_id").alias("candidate")
     # stored tables have a known size: Spark broadcasts the small ones and shuffles for others
-    glob = stored(attraction.popularity(fit, ["period", "weekday_class"]).select("period", "weekday_class", as_candidate, F.col("n").alias("g")), "global")
-    origin = stored(attraction.popularity(fit, ["origin_id", "period", "weekday_class"]).select("origin_id", "period", "weekday_class", as_candidate, F.col("n").alias("o")), "origin")
+    kept = stored_all({
+        "global": attraction.popularity(fit, ["period", "weekday_class"]).select("period", "weekday_class", as_candidate, F.col("n").alias("g")),
+        "origin": attraction.popularity(fit, ["origin_id", "period", "weekday_class"]).select("origin_id", "period", "weekday_class", as_candidate, F.col("n").alias("o")),
+        "profiles": riders.rider_profiles(fit), "visits": fit.groupBy("rider_id", "area_id").agg(F.count(F.lit(1)).alias("visits")),
+        "cohorts": riders.cohort_quantiles(fit), "grid": attraction.area_grid(fit, areas(spark)),
+    })
+    glob, origin, profiles, visits = (kept[x] for x in ("global", "origin", "profiles", "visits"))
     has = origin.select("origin_id", "period", "weekday_class", F.lit(True).alias("has")).distinct()
     rows = rows.join(glob, ["period", "weekday_class", "candidate"], "left").join(origin, ["origin_id", "period", "weekday_class", "candidate"], "left").join(has, ["origin_id", "period", "weekday_class"], "left")
     g = F.coalesce("g", F.lit(0))
     rows = rows.withColumn("global_score", g).withColumn("origin_score", F.when(F.col("has"), F.coalesce("o", F.lit(0))).otherwise(g)).drop("g", "o", "has")
-    scored = stored(_scored(fit, spark).select(as_candidate, "period", "weekday_class", F.col("area_score").alias("a_score")), "scored")
+    scored = stored(attraction.area_attraction(kept["grid"]).select(as_candidate, "period", "weekday_class", F.col("area_score").alias("a_score")), "scored")
     rows = rows.join(scored, ["candidate", "period", "weekday_class"])
-    profiles = stored(riders.rider_profiles(fit), "profiles")
-    visits = stored(fit.groupBy("rider_id", "area_id").agg(F.count(F.lit(1)).alias("visits")), "visits")
-    rows = evaluate.c_scores(rows, profiles, visits, stored(riders.cohort_quantiles(fit), "cohorts"))
+    rows = evaluate.c_scores(rows, profiles, visits, kept["cohorts"])
     rows = evaluate.with_b(rows, *_b_parts(fit)) if b else rows.withColumn("b_score", F.lit(None).cast("double"))
     return rows.join(profiles.select("rider_id", "level"), "rider_id", "left").withColumn("level", F.coalesce("level", F.lit("cold")))
 
@@ -489,3 +492,7 @@ def area_summary(spark, sf_dir):
     t = eligible(trips(spark, sf_dir))
     points = t.select("area_id", (F.col("d_lat") / F.lit(1000.0)).alias("lat"), (F.col("d_lng") / F.lit(1000.0)).alias("lng"), F.col("pickup_region").alias("region"))
     return rounded(area_ops.area_summary(points))
+
+
+# Further queries, which register themselves.
+from tripforge.plans import inputs, records, services  # noqa: E402, F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,9 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_all(tables: dict[str, DataFrame], at_once: int = 4) -> dict[str, DataFrame]:
+    """Several tables that don't depend on each other, stored side by side."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(tables, pool.map(lambda item: stored(item[1], item[0]), tables.items()), strict=True))
