@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     from tripforge.sources.trips_csv import audit, read_trips
 
     try:
-        path = config.choose_input(".", args.input)
+        path = config.choose_input(".", args.input).resolve()
     except FileNotFoundError as x:
         print(x, file=sys.stderr)
         return 2

@@ -90,8 +90,9 @@ def duration_seconds(text: Column) -> Column:
 
 
 def route_minutes(duration: Column) -> Column:
-    """Whole minutes, at least one."""
-    return F.greatest(F.lit(1).cast("long"), F.bround(duration_seconds(duration) / F.lit(60.0), 0).cast("long"))
+    """Whole minutes, at least one; null without a duration."""
+    seconds = duration_seconds(duration)
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(1).cast("long"), F.bround(seconds / F.lit(60.0), 0).cast("long")))
 
 
 def route_km(metres: Column) -> Column:

@@ -76,7 +76,7 @@ def ask(requests: DataFrame, url: str, key: str | None, fields: str, key_header:
             said = [None if b is None else post(url, b, {key_header: key, fields_header: fields}, timeout) for b in batch["body"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(said, pa.string())], [*kept, "answer"])
 
-    return requests.mapInArrow(run, requests.drop("body").withColumn("answer", F.lit("")).schema)
+    return requests.mapInArrow(run, requests.drop("body").withColumn("answer", F.lit(None).cast("string")).schema)
 
 
 def places(answers: DataFrame, by: list[str]) -> DataFrame:
