@@ -50,7 +50,7 @@ def request_origins(spark, sf_dir):
 went AS (SELECT rider_id, area_id, period, count(*) AS visits FROM ok WHERE split = 'train' GROUP BY ALL),
 mo AS (SELECT rider_id, period, max(visits) AS most FROM went GROUP BY ALL),
 b0 AS (SELECT req.*, level, trip_count, weekend_ratio, p25_km, p75_km, p90_km, median_km, CASE period WHEN 'morning' THEN morning_ratio WHEN 'lunch' THEN lunch_ratio WHEN 'afternoon' THEN afternoon_ratio WHEN 'dinner' THEN dinner_ratio ELSE night_ratio END AS ratio,
-  CASE WHEN level <> 'cold' AND median_km > 0 THEN round(least(10, greatest(6, 1.5 * median_km)), 3) ELSE 8 END AS budget_km FROM req LEFT JOIN prof USING (rider_id)),
+  CASE WHEN level <> 'cold' AND median_km > 0 THEN round_even(least(10, greatest(6, 1.5 * median_km)), 3) ELSE 8 END AS budget_km FROM req LEFT JOIN prof USING (rider_id)),
 b1 AS (SELECT b0.*, spot.area_id, 1.3 * {km_sql('b0.', 'spot.')} AS distance, attr.area_score, coalesce(went.visits, 0) AS visits, coalesce(most, 0) AS most, l25, l75, l90
   FROM b0 CROSS JOIN spot CROSS JOIN li JOIN attr ON attr.area_id = spot.area_id AND attr.period = b0.period AND attr.weekday_class = b0.weekday_class LEFT JOIN went ON went.rider_id = b0.rider_id AND went.area_id = spot.area_id AND went.period = b0.period LEFT JOIN mo ON mo.rider_id = b0.rider_id AND mo.period = b0.period),
 b2 AS (SELECT *, CASE WHEN level = 'full' THEN p25_km ELSE least(median_km, l25) END AS q25, CASE WHEN level = 'full' THEN p75_km ELSE greatest(median_km, l75) END AS q75, CASE WHEN level = 'full' THEN p90_km ELSE greatest(greatest(median_km, l75) + 0.1, l90) END AS q90 FROM b1 WHERE distance <= budget_km),
