@@ -317,6 +317,24 @@ def test_headers_have_no_limit(spark):
     assert set(got) == {1, 2} and got[1].reason is None and len(got[1].url) == 9 + (2 << 20)
 
 
+def test_query_keeps_pages_with_long_urls(spark, tmp_path):
+    page_table(spark, [(1, "http://a/" + "u" * (3 << 20), "text"), (2, "u", "text")]).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in warc.op5_warc(spark, str(tmp_path)).collect()}
+    assert {i: (r.payload_bytes, r.record_type, r.refers_to) for i, r in got.items()} == {1: (4, "revisit", 2), 2: (4, "response", None)}
+
+
+@pytest.mark.parametrize("end", [b"", b"no colon\r\n", b"\r\n", b"Content-Length: 9\r\n\r\n", b"Content-Length: 0\r\n\r\n"])
+def test_headers_are_read_once(end):
+    lost = b"WARC/1.1\r\n" + b"a:WARC/1.1\r\n" * 4000 + b"b:" + b"x" * (2 << 20)
+    kept = [warc.member({"WARC-Page-ID": "1"}, b"text"), warc.member({"WARC-Page-ID": "2", "a": "x" * (2 << 20)}, b"text", False)]
+    began = time.time()
+    # a packed record within the lost lines, a plain one with a long line after them
+    found = list(warc.salvage(lost + b"\r\n" + end + kept[0] + lost + kept[0] + b"\r\n" + end + kept[1]))
+    assert time.time() - began < 4
+    assert [x.header["warc-page-id"] for x in found if x.reason is None] == ["1", "1", "2"]
+    assert all(a.stop == b.start for a, b in zip(found, found[1:]))
+
+
 def test_output_before_the_damage_is_kept():
     records = [warc.member({"WARC-Type": "resource", "WARC-Page-ID": str(i)}, random.Random(i).randbytes(2000), False) for i in range(20)]
     raw = gzip.compress(b"".join(records))

@@ -33,8 +33,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tripforge.llm.common import Scratch, fresh_dir, lookup, numbered, table, tune
 
 ARCHIVE_BYTES = 16 << 20
-#: Longest line of a header.
-LINE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -144,7 +142,12 @@ class Found:
 
 
 class Bad(Exception):
-    pass
+    """What is wrong, and the position before which every other version line fails too, as
+    its header is the rest of this one and meets the same fault."""
+
+    def __init__(self, reason: str, upto: int = 0):
+        super().__init__(reason)
+        self.upto = upto
 
 
 def plain_record(data, at: int) -> Found:
@@ -152,23 +155,23 @@ def plain_record(data, at: int) -> Found:
     if not (version := VERSION.match(data, at)):
         raise Bad("no version line")
     header, stop = {}, version.end() - 2
-    # line by line: the next version line is no header line, so a header is read once
+    # line by line, of any length: with Bad.upto a header is read once
     while data[stop : stop + 4] != b"\r\n\r\n":
-        begin, stop = stop + 2, data.find(b"\r\n", stop + 2, stop + 2 + LINE)
+        begin, stop = stop + 2, data.find(b"\r\n", stop + 2)
         if stop < 0:
-            raise Bad("header does not end")
+            raise Bad("header does not end", begin)
         key, colon, value = data[begin:stop].partition(b":")
         if not colon:
-            raise Bad("malformed header line")
+            raise Bad("malformed header line", begin)
         header[key.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
     length, body = header.get("content-length", ""), stop + 4
     if not length.isascii() or not length.isdigit():
-        raise Bad("no length")
+        raise Bad("no length", stop)
     end = body + int(length)
     if end + 4 > len(data):
-        raise Bad("truncated")
+        raise Bad("truncated", stop)
     if data[end : end + 4] != b"\r\n\r\n":
-        raise Bad("wrong length")
+        raise Bad("wrong length", stop)
     block = bytes(data[body:end])
     if (want := header.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != sha1_text(block):
         raise Bad("wrong block digest")
@@ -203,7 +206,7 @@ def gzip_member(data, at: int) -> tuple[bytes, int, bool]:
 def salvage(data: bytes) -> Iterator[Found]:
     """All valid records, and the gaps between them. Records out of a gzip stream with
     several of them have their positions in the inflated stream."""
-    at, gap, reason = 0, None, ""
+    at, gap, reason, known = 0, None, "", (0, "")
     while at < len(data):
         got: list[Found] = []
         try:
@@ -219,10 +222,13 @@ def salvage(data: bytes) -> Iterator[Found]:
                     got = [x for x in got if x.reason is None]
                     stop = nxt.start() if nxt else len(data)
                     got.append(Found(at, stop, "damaged member"))
+            elif at < known[0] and VERSION.match(data, at):
+                raise Bad(known[1])
             else:
                 got = [plain_record(data, at)]
                 stop = got[0].stop
         except Bad as x:
+            known = max(known, (x.upto, str(x)))
             if gap is None:
                 gap, reason = at, str(x)
             nxt = START.search(data, at + 1)
