@@ -57,6 +57,20 @@ def test_candidates_and_calls_are_bounded(spark):
     assert {r.area_id for r in few.collect()} == {f"x{i:02}" for i in range(5)}  # two calls each
 
 
+def test_only_answers_that_can_matter_meet_requests(spark):
+    """A place that a provider names a thousand times is a row of a search, and no more than
+    CANDIDATES places of a search meet a request."""
+    rows = [("a", False, i, f"p{i % 200}", 25.0, 121.5, None, 4.0, i) for i in range(20_000)]
+    found = spark.createDataFrame(rows, "area_id string, wide boolean, seq int, place_id string, lat double, lng double, open_status string, rating double, review_count long")
+    assert service._answers(found).count() == service.CANDIDATES
+    asked = spark.createDataFrame([(f"r{i}", "a", 1, 0.5) for i in range(3)], "request_id string, area_id string, rank int, score double")
+    got = service.found_places(asked, found).collect()
+    assert len(got) == 3 * service.CANDIDATES and all(r.place_id == f"p{r.review_count}" for r in got)  # each as first seen
+    told = spark.createDataFrame([("r0", i, f"w{(i + 2) % 3}") for i in range(3000)], "request_id string, seq int, warning string")
+    said = service.warnings(asked.select("request_id", F.lit(False).alias("origin_fallback")), found.limit(0).select(F.lit("").alias("request_id"), F.lit("").alias("restaurant_source")), told)
+    assert said.where("request_id = 'r0'").first().warnings == ["w2", "w0", "w1"]
+
+
 def test_recommend_and_estimate(spark):
     top, profiles, cohort = ranked(spark)
     fixture = spark.createDataFrame([(f"f{i}", 25.0, 121.5 + i / 100, 4.0, 5) for i in range(6)], "place_id string, lat double, lng double, rating double, review_count long")

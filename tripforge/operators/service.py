@@ -13,6 +13,7 @@ from tripforge.functions.calendar import serving_period_of_hour, weekday_class
 from tripforge.functions.geo import haversine_km
 from tripforge.functions.scoring import distance_budget_km, distance_fit_serving, event_id, explanation, mobility_score
 from tripforge.operators import fares, serve
+from tripforge.sources.scratch import stored
 
 #: Candidates and provider calls of a request, rows below which a search is
 #: repeated in a wider circle, and the share of proximity in the area score.
@@ -76,15 +77,28 @@ def found_places(ranked: DataFrame, searches: DataFrame) -> DataFrame:
     again = (F.col("narrow") > 0) & (F.col("narrow") < FEW_ROWS)
     asked = asked.withColumn("made", F.coalesce(F.sum(1 + again.cast("int")).over(before), F.lit(0)))
     asked = asked.where(F.col("made") < CALLS).withColumn("use_wide", again & (F.col("made") + 1 < CALLS))
-    places = asked.select("request_id", "area_id", "rank", "score", "use_wide").join(searches.withColumnRenamed("seq", "_seq"), "area_id").where(F.col("wide") == F.col("use_wide"))
-    places = places.where(F.coalesce(F.col("open_status"), F.lit("")) != "closed")
+    answers = stored(_answers(searches).withColumnRenamed("seq", "_seq"), "answers")
+    places = asked.select("request_id", "area_id", "rank", "score", F.col("use_wide").alias("wide")).join(answers, ["area_id", "wide"])
+    # the windows below are all of a request: one shuffle serves them
+    places = places.repartition("request_id")
     seen = Window.partitionBy("request_id", "place_id").orderBy("rank", "_seq")
     places = places.withColumn("_turn", F.row_number().over(seen))
     so_far = F.sum(F.when(F.col("_turn") == 1, 1).otherwise(0)).over(Window.partitionBy("request_id").orderBy("rank", "_seq", "place_id").rowsBetween(Window.unboundedPreceding, -1))
     places = places.withColumn("_there", F.coalesce(so_far, F.lit(0))).where(F.col("_there") < CANDIDATES)
     best = Window.partitionBy("request_id", "place_id").orderBy(F.desc("score"), "rank", "_seq")
     places = places.withColumn("_best", F.row_number().over(best)).where("_best = 1")
-    return places.withColumnRenamed("rank", "area_rank").withColumnRenamed("score", "area_score").drop("_turn", "_there", "_best", "_seq", "wide", "use_wide")
+    return places.withColumnRenamed("rank", "area_rank").withColumnRenamed("score", "area_score").drop("_turn", "_there", "_best", "_seq", "wide")
+
+
+def _answers(searches: DataFrame) -> DataFrame:
+    """Of each search (area_id, wide) the rows that can matter to a request: the first open
+    one of each place, and of these the first CANDIDATES. A later row of a place is neither
+    its first nor its best, as the search has one score; and with CANDIDATES places before
+    it in its own search, a row is beyond the bound in any request."""
+    first = Window.partitionBy("area_id", "wide", "place_id").orderBy("seq")
+    rows = searches.where(F.coalesce(F.col("open_status"), F.lit("")) != "closed").withColumn("_first", F.row_number().over(first)).where("_first = 1")
+    order = Window.partitionBy("area_id", "wide").orderBy("seq", "place_id")
+    return rows.withColumn("_first", F.row_number().over(order)).where(F.col("_first") <= CANDIDATES).drop("_first")
 
 
 def recommend(requests: DataFrame, ranked: DataFrame, searches: DataFrame, fixture: DataFrame, cohort: DataFrame, profiles: DataFrame, routes: DataFrame | None = None) -> DataFrame:
