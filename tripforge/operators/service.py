@@ -108,7 +108,7 @@ def recommend(requests: DataFrame, ranked: DataFrame, searches: DataFrame, fixtu
     fixture: place_id, lat, lng, rating, review_count, for requests with fewer than five
     places, placed in their first area."""
     columns = ["request_id", "place_id", "area_id", "area_rank", "area_score", "lat", "lng", "rating", "review_count"]
-    live = found_places(ranked, searches).select(*columns)
+    live = stored(found_places(ranked, searches).select(*columns), "found")  # read twice, as is the shortlist
     first = ranked.where("rank = 1").select("request_id", "area_id", F.col("rank").alias("area_rank"), F.col("score").alias("area_score"))
     instead = first.crossJoin(F.broadcast(fixture.select("place_id", "lat", "lng", "rating", "review_count")))  # a dozen rows
     places = serve.with_fixture(live.withColumn("restaurant_source", F.lit("live")), instead.select(*columns, F.lit("fallback_fixture").alias("restaurant_source")))
@@ -116,6 +116,7 @@ def recommend(requests: DataFrame, ranked: DataFrame, searches: DataFrame, fixtu
     places = places.join(of, "request_id").withColumn("distance", haversine_km(F.col("o_lat"), F.col("o_lng"), F.col("lat"), F.col("lng")))
     short = serve.with_routes(serve.shortlist(places), routes)
     short = short.join(profiles.select("rider_id", F.col("median_min").alias("typical_min"), "p90_km"), "rider_id", "left").join(F.broadcast(cohort.select(F.col("p90").alias("light_p90")).limit(1)), F.lit(True), "left")  # one row, or none
+    short = stored(short, "short")
     top = serve.restaurant_top(short)
     info = short.select("request_id", "place_id", "area_id", "area_score", "restaurant_source", "route_source", "route_km", "route_min", "period")
     rows = top.join(info, ["request_id", "place_id"]).join(ranked.select("request_id", "area_id", "area_attraction", "personal_mobility"), ["request_id", "area_id"])
