@@ -139,7 +139,8 @@ def warnings(requests: DataFrame, items: DataFrame, provider: DataFrame) -> Data
     """request_id, warnings: for fixture places, of the providers (request_id, seq, warning;
     each once, in order), and for an origin outside all areas."""
     first = items.groupBy("request_id").agg(F.first("restaurant_source").alias("source"))
-    told = provider.groupBy("request_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "warning"))), lambda x: x["warning"])).alias("told"))
+    once = provider.groupBy("request_id", "warning").agg(F.min(F.struct("seq")).alias("s")).select("request_id", F.col("s.seq").alias("seq"), "warning")
+    told = once.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "warning"))), lambda x: x["warning"]).alias("told"))
     rows = requests.join(first, "request_id", "left").join(told, "request_id", "left")
     some = lambda x, text: F.when(x, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
     return rows.select("request_id", F.concat(some(F.col("source") == "fallback_fixture", "fixture_places"), F.coalesce("told", F.array().cast("array<string>")), some(F.col("origin_fallback"), "origin_fallback")).alias("warnings"))
