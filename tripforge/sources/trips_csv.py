@@ -192,5 +192,5 @@ def _files(spark: SparkSession, path: str) -> tuple[bool, list[str]]:
 
 
 def audit(rows: DataFrame, width: int) -> DataFrame:
-    """Rows, rows of a wrong width, rows that the contract rejects (of `classified`)."""
+    """Rows, rows of a wrong width, rows that the contract rejects (of `parsed` or `classified`)."""
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("width") != width).alias("wrong_width"), F.count_if((F.col("width") == width) & F.col("bad").isNotNull()).alias("rejected"))
